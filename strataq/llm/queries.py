@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, quality_rules
+from . import bpe, decontaminate, line_dedup, near_dedup, quality_rules
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -33,5 +33,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"), 2)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}

@@ -27,3 +27,16 @@ SELECT p.id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM p LEFT JOIN c ON p.id = c.id LEFT JOIN s ON p.id = s.id WHERE kind = 'd'
 """
+
+ORACLE_SQL["op9_minhash_near_dedup"] = r"""
+WITH RECURSIVE p AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 1], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 1) + 1)) AS i FROM p WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT DISTINCT a AS node, a AS least FROM e UNION SELECT e.b, r.least FROM r JOIN e ON e.a = r.node WHERE r.least < e.b),
+m AS (SELECT node, min(least) AS least FROM r GROUP BY node)
+SELECT p.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.least, p.doc_id) AS component_id, coalesce(m.least, p.doc_id) = p.doc_id AS kept
+FROM p LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.node = p.doc_id
+"""
