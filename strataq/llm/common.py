@@ -37,13 +37,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case, everything else as it is."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z in lower case, everything else as it is. Texts without other letters take the quick way."""
+    slow = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(slow)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """Tells rows apart even if a doc_id is null or repeats with another text."""
-    return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("\x00")), F.coalesce(F.col(text), F.lit("\x00")), F.length(text))
+    """struct(id, h): tells rows apart even if a doc_id is null or repeats with another text; equal rows have equal keys."""
+    return F.struct(F.col(doc_id).cast("string").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit("\x00"))).alias("h"))
 
 
 def in_groups(positions: Column, width: int) -> Column:
