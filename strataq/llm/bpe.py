@@ -79,36 +79,37 @@ class PerfectHash:
         return i if i >= 0 and self.keys[i] == key else -1
 
 
-def merged(piece: bytes, rank_of) -> list[int]:
-    """Ids of a pre-token: pairs of neighbours merge by rank, leftmost first; a heap holds the pairs, links hold the order."""
-    n = len(piece)
-    end, before, after = [i + 1 for i in range(n)], list(range(-1, n - 1)), list(range(1, n + 1))
-    alive, heap = [True] * n, []
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a pre-token: pairs of neighbours merge by rank, leftmost first; a heap holds the pairs, links hold the order.
 
-    def offer(i: int) -> None:
-        j = after[i]
-        if j < n and (rank := rank_of(piece[i : end[j]])) >= 0:
-            heap.append((rank, i, end[j])) if not started else heapq.heappush(heap, (rank, i, end[j]))
-
-    started = False
-    for i in range(n - 1):
-        offer(i)
+    A part begins at i and ends at after[i]; rank[i] is that of the pair which it begins, so that older entries of the heap are known as such.
+    """
+    n, get, pop, push = len(piece), ranks.get, heapq.heappop, heapq.heappush
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    rank = [get(piece[i : i + 2], -1) for i in range(n - 1)]
+    rank.append(-1)
+    heap = [r * n + i for i, r in enumerate(rank) if r >= 0]
     heapq.heapify(heap)
-    started = True
     while heap:
-        _, i, stop = heapq.heappop(heap)
-        if not alive[i] or after[i] >= n or end[after[i]] != stop:
-            continue  # one of the two has merged meanwhile
+        r, i = divmod(pop(heap), n)
+        if rank[i] != r:
+            continue
         j = after[i]
-        alive[j], end[i], after[i] = False, stop, after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
+        stop = after[i] = after[j]
+        rank[i] = rank[j] = -1
+        if stop < n:
+            before[stop] = i
+            rank[i] = r = get(piece[i : after[stop]], -1)
+            if r >= 0:
+                push(heap, r * n + i)
+        h = before[i]
+        if h >= 0:
+            rank[h] = r = get(piece[h:stop], -1)
+            if r >= 0:
+                push(heap, r * n + h)
     out, i = [], 0
     while i < n:
-        out.append(rank_of(piece[i : end[i]]))
+        out.append(ranks[piece[i : after[i]]])
         i = after[i]
     return out
 
@@ -119,11 +120,12 @@ class Codec(dict):
     def __init__(self, tokens: list[bytes], pattern: str):
         super().__init__()
         self.tokens, self.index, self.split = tokens, PerfectHash(tokens), regex.compile(pattern).findall
+        self.ranks = {t: i for i, t in enumerate(tokens)}  # of the parts that merges make
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode()
         i = self.index.get(raw)
-        out = (i,) if i >= 0 else tuple(merged(raw, self.index.get))
+        out = (i,) if i >= 0 else tuple(merged(raw, self.ranks))
         if len(self) >= MEMO:
             self.clear()
         if len(piece) < 64:
