@@ -7,8 +7,7 @@ by hash, each hit is verified on the words, and spans or documents go.
 
 Cases: null or wordless texts have no windows and no hits; an item shorter than
 ``width`` words is one window, compared with windows of its own length; items
-and rows may repeat; a doc_id may repeat or be null, as rows are told apart by
-id and text; an empty benchmark hits nothing; other columns are kept by
+and rows may repeat, a doc_id may repeat or be null; an empty benchmark hits nothing; other columns are kept by
 ``decontaminate``.
 """
 
@@ -23,6 +22,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 10
 #: Windows of the benchmark up to which their set is broadcast (about 100 bytes each).
 BROADCAST_ROWS = 500_000
+#: Longest words of the windows up to which texts are told apart by them first.
+MARKS = 5_000
 
 
 def words_of(text: Column) -> Column:
@@ -38,25 +39,46 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, *, item: str = "
     return each.groupBy("n_window", F.array_join("own", " ").alias("words")).agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, *, doc: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """row_key, hits (sorted array of word positions and widths), items (array): one row a document with a hit."""
+def _windows(docs: DataFrame, benchmark: DataFrame, width: int, doc: str, text: str, broadcast_rows: int) -> DataFrame:
+    """row (a number of the row, unique), key, doc_id, n_words, hit (null: none), items: a row a document at least, one a hit; what is broadcast is counted first."""
     windows = benchmark_windows(benchmark, width)
     sizes = {r["n_window"]: r["n"] for r in windows.groupBy("n_window").agg(F.count("*").alias("n")).collect()}  # a row a width, ten at most
-    rows = docs.select(row_key(doc, text).alias("row_key"), words_of(F.col(text)).alias("w"))
-    hits = None
-    for n in sorted(sizes):
-        own = windows.where(F.col("n_window") == n).select("items", "words", window_hashes(F.split("words", " "), n)[0].alias("hash"))
-        probes = rows.withColumn("hashes", window_hashes(F.col("w"), n))
-        same = F.array_join(F.slice("w", F.col("i") + 1, n), " ") == F.col("words")
-        if sizes[n] <= broadcast_rows:  # the words are at hand for the rows that meet the set
-            met = probes.select("row_key", "w", F.posexplode("hashes").alias("i", "hash")).join(F.broadcast(own), "hash").where(same)
-        else:
-            met = probes.select("row_key", F.posexplode("hashes").alias("i", "hash")).join(own, "hash").join(rows, "row_key").where(same)
-        met = met.select("row_key", F.struct(F.col("i").cast("long").alias("i"), F.lit(n).alias("n")).alias("hit"), "items")
-        hits = met if hits is None else hits.unionByName(met)
-    if hits is None:
-        return docs.sparkSession.createDataFrame([], "row_key long, hits array<struct<i:bigint,n:int>>, items array<bigint>")
-    return hits.groupBy("row_key").agg(F.sort_array(F.collect_set("hit")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), row_key(doc, text).alias("key"), F.col(doc).alias("doc_id"), words_of(F.col(text)).alias("w"))
+    rows = rows.withColumn("n_words", F.size("w").cast("long"))
+    lists = windows.withColumn("list", F.split("words", " "))
+    longest = F.array_max(F.transform("list", lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
+    marks = [r[0] for r in lists.select(longest).distinct().limit(MARKS + 1).collect()]  # bounded by MARKS
+
+    def hashes(words: Column, n: int) -> Column:
+        return F.transform(window_hashes(words, n), lambda h, i: F.struct(F.lit(n).alias("n"), i.cast("long").alias("i"), h.alias("hash")))
+
+    own = lists.select("n_window", "words", "items", F.coalesce(*[F.when(F.col("n_window") == n, window_hashes(F.col("list"), n)[0]) for n in sorted(sizes)]).alias("hash")) if sizes else None
+    hit = F.struct(F.col("x.i").alias("i"), F.col("x.n").alias("n"))
+    if own is None:
+        return rows.select("row", "key", "doc_id", "n_words", F.lit(None).cast("struct<i:bigint,n:int>").alias("hit"), F.lit(None).cast("array<bigint>").alias("items"))
+    every = F.concat(*[hashes(F.col("w"), n) for n in sorted(sizes)])
+    same = F.array_join(F.slice("w", F.col("x.i").cast("int") + 1, F.col("x.n")), " ") == F.col("words")
+    if len(marks) <= MARKS and sum(sizes.values()) <= broadcast_rows:
+        # a text with none of the windows' longest words holds no window: its windows needn't be hashed
+        marked = F.arrays_overlap("w", F.array(*[F.lit(m) for m in marks]))
+        probes = rows.withColumn("x", F.when(marked, every).otherwise(F.array().cast("array<struct<n:int,i:bigint,hash:bigint>>")))
+        probes = probes.select("row", "key", "doc_id", "n_words", "w", F.explode_outer("x").alias("x"))
+        met = probes.join(F.broadcast(own), (F.col("x.hash") == F.col("hash")) & (F.col("x.n") == F.col("n_window")) & same, "left")
+        return met.select("row", "key", "doc_id", "n_words", F.when(F.col("words").isNotNull(), hit).alias("hit"), "items")
+    probes = rows.select("key", F.explode(every).alias("x"))
+    met = probes.join(own, (F.col("x.hash") == F.col("hash")) & (F.col("x.n") == F.col("n_window"))).drop("hash", "n_window")
+    met = met.join(rows.select("key", "w"), "key").where(same).select("key", hit.alias("hit"), "items")
+    return rows.select("row", "key", "doc_id", "n_words").join(met, "key", "left")
+
+
+def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, *, doc: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, n_words, n_hit, items (that have a window in it), hits (sorted array of struct(i, n): first word and words), key: a row a document.
+
+    One scan; a task holds whole documents, so that its partial aggregation leaves a row a document to shuffle.
+    """
+    found = _windows(docs, benchmark, width, doc, text, broadcast_rows)
+    rows = found.groupBy("row", "key", "doc_id", "n_words").agg(F.sort_array(F.collect_set("hit")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    return rows.select("doc_id", "n_words", hit_words(F.col("hits")).alias("n_hit"), "items", "hits", "key")
 
 
 def hit_words(hits: Column) -> Column:
@@ -70,18 +92,10 @@ def hit_words(hits: Column) -> Column:
     return F.aggregate(hits, start, step, lambda s: s["n"])
 
 
-def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, *, doc: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, n_words, n_hit, items (null: none): one row a document."""
-    found = find(docs, benchmark, width, doc=doc, text=text, broadcast_rows=broadcast_rows)
-    every = docs.select(F.col(doc).alias("doc_id"), row_key(doc, text).alias("row_key"), F.regexp_count(lower_ascii(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD)).cast("long").alias("n_words"))
-    return every.join(found, "row_key", "left").select("doc_id", "n_words", F.coalesce(hit_words(F.col("hits")), F.lit(0).cast("long")).alias("n_hit"), "items", "hits")
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, *, doc: str = "doc_id", text: str = "text", remove: str = "documents") -> DataFrame:
     """docs without contaminated documents, or (``remove="spans"``) without the words hit; the words left are joined by one blank in texts with hits, other texts stay as they are."""
-    keys = find(docs, benchmark, width, doc=doc, text=text)
+    keys = report(docs, benchmark, width, doc=doc, text=text).where("n_hit > 0").groupBy(F.col("key").alias("_row_key")).agg(F.first("hits").alias("hits"))
     tagged = docs.withColumn("_row_key", row_key(doc, text))
-    keys = keys.withColumnRenamed("row_key", "_row_key")
     if remove == "documents":
         return tagged.join(keys.select("_row_key"), "_row_key", "left_anti").select(*docs.columns)
     if remove != "spans":
