@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +78,15 @@ def window_hashes(words: Column, width: int) -> Column:
         return let(joined(got, got, have), lambda g: grow(g, 2 * have, left, out, done))
 
     return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: grow(h, 1, width, None, 0))
+
+
+class HashMemo(dict):
+    """64-bit hashes of words (str or bytes), remembered up to a bound."""
+
+    def __missing__(self, word: str | bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = self.hash(word)
+        return h
+
+    hash = staticmethod(xxhash.xxh3_64_intdigest)

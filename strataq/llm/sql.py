@@ -40,3 +40,10 @@ m AS (SELECT node, min(least) AS least FROM r GROUP BY node)
 SELECT p.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.least, p.doc_id) AS component_id, coalesce(m.least, p.doc_id) = p.doc_id AS kept
 FROM p LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.node = p.doc_id
 """
+
+ORACLE_SQL["op6_token_counts"] = r"""
+WITH d AS (SELECT source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n1, coalesce(len(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 0) AS n2 FROM documents)
+SELECT source, lang, 'words-2' AS tokenizer, count(*)::BIGINT AS n_docs, sum(n2)::BIGINT AS n_tokens FROM d WHERE lang = 'en' GROUP BY 1, 2
+UNION ALL
+SELECT source, lang, 'words-1', count(*)::BIGINT, sum(n1)::BIGINT FROM d WHERE (lang IS NULL OR lang <> 'en') AND n2 >= 20 GROUP BY 1, 2
+"""
