@@ -19,11 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 from .components import components
 
 #: Full sets that a task remembers while it confirms pairs.
 KNOWN = 256
+#: Nodes up to which a shingle is rare.
+RARE = 1_000
+#: Shingles by which repetitions of a pair are known early.
+FIRST = 10
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -66,13 +70,14 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], np.nda
                 common.append(n)
                 either.append(len(p) + len(q) - n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "common", "either"])
+        release(known)
 
     kind = pairs.schema["a"].dataType.simpleString()
     return both.mapInArrow(run, f"a {kind}, b {kind}, common long, either long")
 
 
 def _rarest(nodes: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], percent: int) -> DataFrame:
-    """rep, x: of each node's shingles the rarest among ``nodes``, so many that two linked nodes share one of them.
+    """rep, x, rare, first (those with the least hashes among the rare ones or the others, as x is), n_rare, n_often: of each node's shingles the rarest among ``nodes``, so many that two linked nodes share one of them.
 
     Sets with a similarity of t have ceil(t n) of n shingles in common at least, so that the first n - ceil(t n) + 1 of
     each in one order for all share one. Rare ones first, a passage that many texts share brings none of them together.
@@ -89,7 +94,10 @@ def _rarest(nodes: DataFrame, texts: DataFrame, shingles: Callable[[str], np.nda
     often = written(rows.groupBy("x").agg(F.count("*").alias("n")).where("n > 1"), "often")  # one that a single node has brings nothing together
     ranked = rows.join(often, "x", "left").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "x"))).alias("own"))
     first = F.size("own") - F.ceil(F.size("own") * F.lit(percent) / 100).cast("int") + 1
-    return ranked.select("rep", F.explode(F.slice("own", F.lit(1), first)).alias("s")).where("s.n > 1").select("rep", F.col("s.x").alias("x"))
+    n_rare = F.size(F.filter("own", lambda s: s["n"] <= RARE))
+    each = ranked.select("rep", n_rare.alias("n_rare"), (F.size("own") - n_rare).alias("n_often"), F.filter(F.slice("own", F.lit(1), first), lambda s: s["n"] > 1).alias("first"))
+    each = each.withColumn("s", F.explode("first"))
+    return each.select("rep", F.col("s.x").alias("x"), (F.col("s.n") <= RARE).alias("rare"), F.slice(F.array_sort(F.transform(F.filter("first", lambda s: (s["n"] <= RARE) == (F.col("s.n") <= RARE)), lambda s: s["x"])), 1, FIRST).alias("first"), "n_rare", "n_often")
 
 
 def link(met: DataFrame, traits: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], plausible: Callable[[str, str], Column], percent: int) -> DataFrame:
@@ -118,10 +126,15 @@ def link(met: DataFrame, traits: DataFrame, texts: DataFrame, shingles: Callable
     itself = to_pivot.select(F.col("a").alias("rep"), F.struct(F.col("a").alias("pivot"), F.lit(0.0).alias("d")).alias("to"))
     near = to_first.unionByName(itself).groupBy("rep").agg(F.min("to").alias("to"))
     own = written(_rarest(apart.select("rep"), texts, shingles, percent), "rarest")
-    own = written(own.join(apart, "rep").join(near, "rep", "left").select("rep", "x", "component", "to"), "rest")
+    own = written(own.join(apart, "rep").join(near, "rep", "left"), "rest")
     p, q = own.alias("p"), own.alias("q")
     ruled_out = F.coalesce((F.col("p.to.pivot") == F.col("q.to.pivot")) & (F.abs(F.col("p.to.d") - F.col("q.to.d")) > 1 - percent / 100 + 1e-9), F.lit(False))
-    rest = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.rep") < F.col("q.rep")) & (F.col("p.component") != F.col("q.component")) & ~ruled_out)
+    # the first shingle that two nodes share brings them together; if it isn't rare, they share no rare one, so that
+    # their intersection is made of the others and their union holds all rare ones of both
+    least, most = F.least("p.n_often", "q.n_often"), F.greatest("p.n_often", "q.n_often")
+    enough = F.col("p.rare") | (100 * least >= percent * (most + F.col("p.n_rare") + F.col("q.n_rare")))
+    once = F.coalesce(F.get(F.array_intersect("p.first", "q.first"), F.lit(0)) == F.col("p.x"), F.lit(True))  # spares most repetitions of a pair
+    rest = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.rep") < F.col("q.rep")) & (F.col("p.component") != F.col("q.component")) & enough & ~ruled_out & once)
     last = tested(written(rest.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct(), "pairs"))
     more = linked(last)
     return found if more.isEmpty() else components(links.unionByName(more))

@@ -9,13 +9,8 @@ similarity of 0.8 differ in 9.6 lanes on average; more than 23 has a chance of
 about 4 in a million.) Pairs that meet are held against the signature distance,
 and links are confirmed on the full sets.
 
-Equal sets are one class and take part once. Of a key's classes not all pairs
-are emitted: first each class is held against the key's smallest one, then,
-where classes of a key are in different components still, against another one,
-and what is left is enumerated exactly, each pair under its first common key,
-without those that the triangle inequality of the Jaccard distance rules out
-(distances to the key's smallest class are known by then). So the pairs grow
-with the members of a group, and no link that could join two components is lost.
+Equal sets are one class and take part once; ``linking`` says how the pairs of
+a key are held against each other without being all emitted.
 
 Cases: documents without words or text have an empty set and are linked with
 nothing; with fewer words than a shingle has, the whole sequence is one; rows
@@ -35,8 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, written
-from .components import components
+from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, HashMemo, release, written
+from .linking import link, shared_keys
 
 CHUNKS, LANES = 12, 4
 DISTANCE = 2 * CHUNKS - 1
@@ -45,17 +40,7 @@ _MULTIPLIERS = np.random.default_rng(20240607).integers(0, 2**63, CHUNKS * LANES
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    """Hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
+_words = HashMemo()
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -95,6 +80,7 @@ def fingerprints(docs: DataFrame, width: int, *, doc: str = "doc_id", text: str
             empty = np.array(sizes, np.int64) == 0
             table = np.array(found, np.int64).reshape(-1, CHUNKS)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), *[pa.array(table[:, c].copy(), mask=empty) for c in range(CHUNKS)]], names)
+        release(_words)
 
     return docs.select(F.col(doc).cast("long"), F.col(text)).mapInArrow(run, schema)
 
@@ -126,81 +112,16 @@ def _plausible(p: str, q: str, percent: int) -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (_lanes_apart(p, q) <= DISTANCE)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """a, b, common, either: sizes of intersection and union of the full sets of each pair.
-
-    The smaller rows (pairs) are dealt by ``a``, which may be hot, and then by ``b`` with the text of ``a``.
-    """
-    first = pairs.select("a", "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
-
-        def of(x: str) -> np.ndarray:
-            if x not in known:
-                if len(known) >= 256:
-                    known.clear()
-                known[x] = shingles(x, width)
-            return known[x]
-
-        for batch in batches:
-            common, either = [], []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = of(x.as_py()), of(y.as_py())
-                at = np.searchsorted(p, q)
-                at[at == len(p)] = 0
-                n = int((p[at] == q).sum())
-                common.append(n)
-                either.append(len(p) + len(q) - n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "common", "either"])
-
-    return both.mapInArrow(run, "a long, b long, common long, either long")
-
-
-def groups(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT, *, doc: str = "doc_id", text: str = "text", stars: int = 2) -> DataFrame:
+def groups(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row a document."""
     every = written(fingerprints(docs, width, doc=doc, text=text), "signatures")
     known = every.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
     classes = written(known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), *[F.first(s).alias(s) for s in SIGNATURE]), "classes")
     sig = classes.select("rep", "n_shingles", *SIGNATURE)
-    keys = classes.select("rep", F.explode(F.array(*_keys(lambda c: F.col(f"s{c}")))).alias("key"))
-    pivots = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot != last").select("key", "pivot")
-    met = written(keys.join(pivots, "key"), "met")  # key, rep, pivot: only keys with several classes
+    met = shared_keys(classes.select("rep", F.explode(F.array(*_keys(lambda c: F.col(f"s{c}")))).alias("key")))
     reps = met.select("rep").distinct()
     texts = written(docs.select(F.col(doc).cast("long").alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(reps, "rep", "left_semi"), "texts")
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        near = pairs.distinct().join(sig.alias("p"), F.col("a") == F.col("p.rep")).join(sig.alias("q"), F.col("b") == F.col("q.rep")).where(_plausible("p", "q", percent)).select("a", "b")
-        return written(confirm(near, texts, width), "confirmed")
-
-    linked = lambda t: t.where(f"100 * common >= {percent} * either").select("a", "b")
-    to_pivot = tested(met.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
-    links = linked(to_pivot)
-    found = components(links)
-    placed = met
-    for k in range(stars):
-        named = placed.select("key", "rep", "pivot").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "pivot", F.coalesce("component", "rep").alias("component"))
-        split = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "component")).alias("next")).where("least != most and n > 2")
-        placed = written(named.join(split.select("key", "next"), "key"), "split")  # only keys whose classes are apart
-        if k == stars - 1 or placed.isEmpty():
-            break
-        more = linked(tested(placed.where("component != next.component").select(F.least("rep", "next.rep").alias("a"), F.greatest("rep", "next.rep").alias("b"))))
-        links = written(links.unionByName(more), "links")
-        found = components(links)
-    if not placed.isEmpty():
-        # what is left: each pair of a key's classes in different components, under its first common key
-        far = to_pivot.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (1 - F.col("common") / F.col("either")).alias("d"))
-        own = placed.select("key", "rep", "pivot", "component").join(far, ["pivot", "rep"], "left").withColumn("d", F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("d")))
-        own = written(own.join(sig, "rep"), "rest")
-        p, q = own.alias("p"), own.alias("q")
-        of = lambda side: lambda c: F.col(f"{side}.s{c}")
-        first = F.coalesce(*[F.when(x == y, x) for x, y in zip(_keys(of("p")), _keys(of("q")))])
-        ruled_out = F.coalesce(F.abs(F.col("p.d") - F.col("q.d")) > 1 - percent / 100 + 1e-9, F.lit(False))
-        rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.rep") < F.col("q.rep")) & (F.col("p.component") != F.col("q.component")) & ~ruled_out & _plausible("p", "q", percent) & (first == F.col("p.key")))
-        last = written(confirm(rest.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct(), texts, width), "confirmed")
-        links = links.unionByName(linked(last))
-        found = components(links)
+    found = link(met, classes.select("rep", "n_shingles", *SIGNATURE), texts, lambda x: shingles(x, width), lambda p, q: _plausible(p, q, percent), percent)
     of_class = classes.select("set_hash", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
     out = every.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left")
     # versions of a document count together; an empty set is a group of its own
