@@ -22,11 +22,17 @@ def core_phrases(df: DataFrame, *keys: str, text: str = "raw_text") -> DataFrame
 
     A line of 2 to 6 words gives itself and its runs of 2 to 4 words (so that of 2 to 4 words counts twice), longer ones only runs.
     """
-    each = df.select(*keys, F.posexplode(tx.lines(text)).alias("line_no", "line")).withColumn("core", tx.strip_context_tail("line"))
-    each = each.where(~tx.is_noise("core")).withColumn("tokens", tx.tokenize_phrase("core")).where(F.size("tokens") >= 2)
-    whole = F.when(F.size("tokens") <= 6, F.array("tokens")).otherwise(F.array().cast("array<array<string>>"))
-    grams = each.withColumn("grams", F.filter(F.concat(whole, tx.ngrams(F.col("tokens"), 2, 4)), tx.valid_ngram))
-    out = grams.select(*keys, "line_no", "line", F.explode("grams").alias("gram")).select(*keys, "line_no", "line", F.array_join("gram", " ").alias("phrase"))
+    each = df.select(*keys, F.posexplode(tx.lines(text)).alias("line_no", "line"))
+    # in one expression, each step once: a filter on the way would make the optimizer evaluate the steps before it again
+    tokens = tx.let(tx.strip_context_tail("line"), lambda c: F.when(tx.is_noise(c), F.array().cast("array<string>")).otherwise(tx.tokenize_phrase(c)))
+    pairs = F.transform(tokens, lambda t: F.struct(t.alias("t"), tx.ascii_fold(t).alias("f")))
+
+    def grams_of(p):
+        whole = F.when((F.size(p) >= 2) & (F.size(p) <= 6), F.array(p)).otherwise(F.array().cast("array<array<struct<t:string,f:string>>>"))
+        return F.filter(F.concat(whole, tx.ngrams(p, 2, 4)), lambda g: tx.valid_ngram(g["t"], F.array_join(g["f"], " ")))
+
+    grams = each.select(*keys, "line_no", "line", F.explode(F.transform(tx.let(pairs, grams_of), lambda g: F.array_join(g["t"], " "))).alias("phrase"))
+    out = grams
     out = out.groupBy(*keys, "phrase").agg(F.count("*").alias("occurrence_count"), F.min_by("line", "line_no").alias("line"))
     return out.select(*keys, "phrase", tx.ascii_fold(tx.normalize_text("phrase")).alias("normalized_phrase"), "occurrence_count", tx.normalize_text("line").alias("source_line"))
 
