@@ -22,10 +22,13 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import release
+
 #: Pre-tokens a worker remembers at most, and ids in an outgoing batch.
-MEMO, BATCH_IDS = 400_000, 2_000_000
+MEMO, BATCH_IDS = 200_000, 1_000_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -158,7 +161,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    source = docs.select(*keep, text)
+    source = docs.select(*keep, F.col(text).alias("_text"))  # which ``keep`` may name too
     fields = [source.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.BinaryType())] * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +186,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
                     at, found, total = i + 1, [], 0
             if found:
                 yield batch(kept.slice(at), found)
+        release(codec)
 
     return source.mapInArrow(run, T.StructType(fields))
 
