@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, HashMemo, row_key, written
+from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, HashMemo, release, row_key, written
 from .linking import link, shared_keys
 from .near_dedup import shingles as shingles_of
 
@@ -131,6 +131,7 @@ def paragraphs(docs: DataFrame, *, text: str = "text", width: int = SHINGLE_WORD
                     who, place, first, stop, names_of, bands = [], [], [], [], [], []
             if who:
                 yield out()
+        release(_words)
 
     return docs.select("id", "h", text).mapInArrow(run, schema)
 

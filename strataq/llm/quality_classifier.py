@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashMemo
+from .common import HashMemo, release
 
 BUCKETS, SAMPLE, SCALE = 1 << 19, 8_000, 20.0
 _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
@@ -101,5 +101,6 @@ def apply(docs: DataFrame, w: np.ndarray, *, text: str = "text", keep: tuple[str
         for b in batches:
             found = pa.array([score(own, x.as_py()) for x in b.column(len(keep))], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.select(list(keep)).columns, found], [*keep, "score"])
+        release(_memo)
 
     return source.mapInArrow(run, schema)
