@@ -93,7 +93,8 @@ def labelled(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: s
     known = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(doc).agg((F.min(label) == 0).cast("int").alias("bad"))
     known = known.withColumn("order", F.xxhash64(doc)).orderBy("order", doc).limit(sample)
     found = measures(docs.select(doc, text).join(F.broadcast(known), doc), text)  # at most ``sample`` short rows
-    return written(found.where(~F.col("base_failed")).select("bad", (F.pmod(F.xxhash64(doc, F.lit("part")), F.lit(3)) == 0).cast("int").alias("part"), *MEASURES), "labelled")
+    # the filter stands behind the table: before it, the optimizer would measure every text to filter it below the join
+    return written(found.select("base_failed", "bad", (F.pmod(F.xxhash64(doc, F.lit("part")), F.lit(3)) == 0).cast("int").alias("part"), *MEASURES), "labelled").where(~F.col("base_failed"))
 
 
 def learn(rows: DataFrame, *, bins: int = BINS, most: int = RULES, conditions: int = CONDITIONS, precision: float = PRECISION, least: int = LEAST) -> list[list[Condition]]:
@@ -102,8 +103,10 @@ def learn(rows: DataFrame, *, bins: int = BINS, most: int = RULES, conditions: i
     limits = rows.agg(F.count("*").alias("n"), *[F.percentile(m, F.array(*[F.lit(c) for c in cuts])).alias(f"all_{m}") for m in MEASURES], *[F.percentile(F.when(F.col("bad") == 1, F.col(m)), F.array(*[F.lit(c) for c in (0.05, 0.25, 0.5, 0.75, 0.95)])).alias(f"bad_{m}") for m in MEASURES]).first()
     if not limits["n"]:
         return []
-    thresholds = {m: sorted({*(limits[f"all_{m}"] or []), *(limits[f"bad_{m}"] or [])}) for m in MEASURES}
-    bin_of = lambda m: F.array_size(F.filter(F.array(*[F.lit(x) for x in thresholds[m]]), lambda x: F.col(m) > x))
+    values = {m: sorted({*(limits[f"all_{m}"] or []), *(limits[f"bad_{m}"] or [])}) for m in MEASURES}
+    # halfway between two quantiles: a rule keeps its distance from both kinds
+    thresholds = {m: [(a + b) / 2 for a, b in zip(v, v[1:])] for m, v in values.items()}
+    bin_of = lambda m: F.array_size(F.filter(F.array(*[F.lit(x) for x in thresholds[m]]).cast("array<double>"), lambda x: F.col(m) > x))
     table = rows.select("bad", "part", *MEASURES, F.array(*[bin_of(m) for m in MEASURES]).alias("bins")).groupBy("bad", "part", "bins", *MEASURES).agg(F.count("*").alias("n"))
     table = written(table.coalesce(1), "binned")
 
