@@ -215,8 +215,8 @@ def spans(docs: DataFrame, length: int = LENGTH, *, doc: str = "doc_id", text: s
     key = row_key(doc, text)
     rows = docs.select(key["id"].alias("id"), key["h"].alias("h"), F.col(text).alias("text"))
     every = written(_runs(rows, length), "runs")
-    often = every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
-    every = written(every.join(often, "anchor"), "candidates")
+    often = written(every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "often")
+    every = written(every.join(often, "anchor"), "candidates")  # of two plain exchanges, so that a hot anchor is split at run time
     place = F.struct("id", "h", "start")
     runs = every.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("times"), F.min(place).alias("at"), F.first("run").alias("run"), F.first("lead").alias("lead"))
     runs = written(runs, "different")
