@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from .common import release
 
-#: Pre-tokens a worker remembers at most, and ids in an outgoing batch.
-MEMO, BATCH_IDS = 200_000, 1_000_000
+#: Pre-tokens in each half of what a worker remembers, and ids in an outgoing batch.
+MEMO, BATCH_IDS = 120_000, 1_000_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -123,18 +123,30 @@ class Codec(dict):
     def __init__(self, tokens: list[bytes], pattern: str):
         super().__init__()
         self.tokens, self.index, self.split = tokens, PerfectHash(tokens), regex.compile(pattern).findall
+        self.most = MEMO
+        self.older: dict[str, tuple[int, ...]] = {}
         self.ranks = {t: i for i, t in enumerate(tokens)}  # of the parts that merges make
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        i = self.index.get(raw)
-        out = (i,) if i >= 0 else tuple(merged(raw, self.ranks))
-        if len(self) >= MEMO:
+        out = self.older.get(piece)
+        if out is None:
+            raw = piece.encode()
+            i = self.index.get(raw)
+            out = (i,) if i >= 0 else tuple(merged(raw, self.ranks))
+        if len(self) >= self.most:  # what was asked for of late stays: half of the table is older
+            self.older = dict(self)
             self.clear()
         if len(piece) < 64:
             self[piece] = out
         return out
 
+    def forget(self) -> None:
+        """At the end of a task: a third stays, that which was asked for first, as frequent words are."""
+        first = dict(islice(self.items(), self.most // 3))
+        self.older = {}
+        release(self)
+        self.update(first)
+
     def encode(self, text: str | None) -> np.ndarray:
         return np.fromiter(chain.from_iterable(map(self.__getitem__, self.split(text or ""))), np.int32)
 
@@ -154,7 +166,7 @@ def _codec(shared, pattern: str) -> Codec:
     return _codecs[id(tokens)]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False, memo: int = MEMO) -> DataFrame:
     """``keep``, n_tokens, ids (array of int) and, if asked for, the bytes that the ids decode to.
 
     A narrow map: no shuffle. The vocabulary is the only broadcast; its size is that of the rank file.
@@ -166,6 +178,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
+        codec.most = memo  # more is faster and takes about 300 bytes each, twice
 
         def batch(kept: pa.RecordBatch, found: list[np.ndarray]) -> pa.RecordBatch:
             sizes = np.array([len(x) for x in found], np.int64)
@@ -186,7 +199,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
                     at, found, total = i + 1, [], 0
             if found:
                 yield batch(kept.slice(at), found)
-        release(codec)
+        codec.forget()
 
     return source.mapInArrow(run, T.StructType(fields))
 
