@@ -251,6 +251,19 @@ def absorb_boxes(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page", "id", *[F.col(s).cast("long").alias(s) for s in g.SIDES])
 
 
+def box_components_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of all boxes; box_components is held to its SQL, whose closure is over the first two lines of an order."""
+    own = boxes(spark, d)
+    return bx.components(own, bx.touch_pairs(own, 6)).select("page", "id", "component")
+
+
+def absorb_boxes_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of all boxes, as box_components_all."""
+    own = boxes(spark, d)
+    out = bx.merged(own, bx.absorb_pairs(own, 8, 0.25))
+    return out.select("page", "id", *[F.col(s).cast("long").alias(s) for s in g.SIDES])
+
+
 def attach_small(spark: SparkSession, d: str) -> DataFrame:
     own = boxes(spark, d)
     return bx.attach_small(own.where("l_linenumber = 1"), own.where("l_linenumber > 1"))
@@ -351,7 +364,7 @@ QUERIES = {
     for f in (
         normalize_text, ascii_fold, strip_tail, noise_filter, tokenize, safe_filename, line_kind, classify, classify_fallback, classify_scores, classify_large_dictionary, ngram_frequency, core_phrases, phrase_rollup, token_window, line_segments,
         unpivot_elements, context_keywords, reference_terms, synonyms_from_elements, suggest_substring, suggest_fuzzy, import_accepted, canonical_maps, material_conflict, numbers, area_type, clip_sanitize, extraction_report, export_metadata,
-        box_metrics, component_kind, geometry_role, fallback_cores, touch_pairs, absorb_pairs, box_components, absorb_boxes, attach_small, attach_text, side_knn, percentile_split, unique_texts, greedy_dedupe, detail_candidates,
+        box_metrics, component_kind, geometry_role, fallback_cores, touch_pairs, absorb_pairs, box_components, absorb_boxes, box_components_all, absorb_boxes_all, attach_small, attach_text, side_knn, percentile_split, unique_texts, greedy_dedupe, detail_candidates,
         dedupe_elements, infer_context, context_boost, final_candidates, fuzzy_topk, fuzzy_match, synonym_candidates,
     )
 }
