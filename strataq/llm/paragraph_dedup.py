@@ -9,8 +9,11 @@ a band meet (``linking``), exact Jaccard similarity confirms them, connected
 components are the groups, and all but a group's first paragraph, by doc_id and
 place, are removed.
 
-Cases: texts without words, empty and null ones have no paragraphs; shorter
-paragraphs never go; paragraphs that repeat in a text count as any other; rows
+``whole_report`` adds what pieces don't stand for: lines of fewer than ``LEAST``
+words, and lines that are cut as a whole, with their ends, go where their words
+repeat exactly.
+
+Cases: texts without words, empty and null ones have no paragraphs; paragraphs that repeat in a text count as any other; rows
 equal in doc_id and text count as one place; a null doc_id sorts first; an
 empty table gives an empty one; very long texts are cut and held whole.
 """
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, HashMemo, release, row_key, written
@@ -176,14 +179,87 @@ def report(docs: DataFrame, percent: int = SIMILARITY_PERCENT, width: int = SHIN
     return counted.select(F.struct("id", "h").alias("key"), "n_paragraphs").join(gone.select(F.struct("id", "h").alias("key"), "removed"), "key", "left")
 
 
-def dedup(docs: DataFrame, percent: int = SIMILARITY_PERCENT, width: int = SHINGLE_WORDS, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with ``text`` without the paragraphs removed, plus n_paragraphs (of enough words) and n_removed.
+def _runs(docs: DataFrame) -> DataFrame:
+    """id, h, p, a, b, x, y: lines that no piece stands for as a whole (short ones, and long ones, which are cut), from word a to b; x and y are 128 bits of their words."""
+    names = ["id", "h", "p", "a", "b", "x", "y"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            who: list[int] = []
+            table: list[tuple[int, int, int]] = []
+            digests: list[bytes] = []
+
+            def out() -> pa.RecordBatch:
+                at = pa.array(np.array(who, np.int64))
+                spots = np.array(table, np.int32).reshape(-1, 3)
+                xy = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(spots[:, k].copy()) for k in range(3)], *[pa.array(xy[:, k].copy()) for k in range(2)]], names)
+
+            for r, x in enumerate(batch.column(2)):
+                words, lines = split_words(x.as_py())
+                if not words:
+                    continue
+                h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+                stops = np.cumsum(lines)
+                for n, b in zip(lines.tolist(), stops.tolist()):
+                    if n < LEAST or n > LONG:
+                        who.append(r)
+                        table.append((b - n, b - n, b))
+                        digests.append(xxhash.xxh3_128_digest(h[b - n : b].tobytes()))
+                if len(who) >= 100_000:
+                    yield out()
+                    who, table, digests = [], [], []
+            if who:
+                yield out()
+        release(_words)
+
+    return docs.select("id", "h", "text").mapInArrow(run, "id string, h long, p int, a int, b int, x long, y long")
+
+
+def _merged(spans: Column) -> Column:
+    """Spans (sorted) of words as the fewest that cover the same words."""
+
+    @F.pandas_udf("array<struct<a:int,b:int>>")
+    def fewest(column):
+        out = []
+        for own in column:
+            got: list[dict[str, int]] = []
+            for s in own:
+                if got and s["a"] <= got[-1]["b"]:
+                    got[-1]["b"] = max(got[-1]["b"], s["b"])
+                else:
+                    got.append({"a": s["a"], "b": s["b"]})
+            out.append(got)
+        import pandas as pd
+
+        return pd.Series(out)
+
+    return fewest(spans)
+
+
+def whole_report(docs: DataFrame, percent: int = SIMILARITY_PERCENT, width: int = SHINGLE_WORDS, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_paragraphs, removed (array of struct(a, b), words from a to b, apart and sorted; null: none): what ``report`` removes, and lines that repeat exactly."""
+    key = row_key(doc, text)
+    rows = docs.select(key["id"].alias("id"), key["h"].alias("h"), F.col(text).alias("text"))
+    found = written(report(docs, percent, width, doc=doc, text=text), "report")
+    at = F.struct(F.col("id").cast(docs.schema[doc].dataType).alias("doc"), "h", "p")
+    runs = written(_runs(rows).withColumn("at", at), "runs")
+    first = written(runs.groupBy("x", "y").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first != last").drop("last"), "repeated")
+    again = runs.join(first, ["x", "y"]).where("at != first").select("id", "h", "a", "b")
+    pieces = found.where("removed is not null").select("key.id", "key.h", F.explode("removed").alias("s")).select("id", "h", "s.a", "s.b")
+    gone = pieces.unionByName(again).groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("removed"))
+    gone = gone.select(F.struct("id", "h").alias("key"), _merged(F.col("removed")).alias("removed"))
+    return found.select("key", "n_paragraphs").join(gone, "key", "full").select("key", F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"), "removed")
+
+
+def dedup(docs: DataFrame, percent: int = SIMILARITY_PERCENT, width: int = SHINGLE_WORDS, *, doc: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """docs with ``text`` without the paragraphs removed (``whole``: without all that ``whole_report`` removes), plus n_paragraphs (of enough words) and n_removed.
 
     The words left of texts that lose some keep their case, their lines and the white space between them.
     """
     import re
 
-    found = report(docs, percent, width, doc=doc, text=text)
+    found = (whole_report if whole else report)(docs, percent, width, doc=doc, text=text)
     tagged = docs.select(*[c for c in docs.columns if c not in ("n_paragraphs", "n_removed")]).withColumn("_key", row_key(doc, text))
     both = tagged.join(found.withColumnsRenamed({"key": "_key", "n_paragraphs": "_n", "removed": "_removed"}), "_key", "left")
     words_at = re.compile(rb"[^ \t\n\r\x0b\x0c]+")

@@ -37,11 +37,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = paragraph_dedup.report(docs)
+    found = paragraph_dedup.whole_report(docs)
     every = docs.select("doc_id", row_key().alias("key")).join(found, "key", "left")
-    places = F.coalesce(F.transform("removed", lambda x: x["i"]), F.array().cast("array<int>"))
-    words = F.aggregate(F.coalesce("removed", F.array().cast("array<struct<i:int,a:int,b:int>>")), F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
-    return every.select("doc_id", F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"), F.size(places).cast("long").alias("n_removed"), words.alias("n_words_removed"), F.array_join(places, ",").alias("removed"))
+    spans = F.coalesce("removed", F.array().cast("array<struct<a:int,b:int>>"))
+    words = F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
+    places = F.array_join(F.transform(spans, lambda x: F.concat_ws("-", x["a"].cast("string"), x["b"].cast("string"))), ",")
+    return every.select("doc_id", F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"), F.size(spans).cast("long").alias("n_removed"), words.alias("n_words_removed"), places.alias("removed"))
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
