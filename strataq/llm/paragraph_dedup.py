@@ -11,7 +11,10 @@ place, are removed.
 
 ``whole_report`` adds what pieces don't stand for: lines of fewer than ``LEAST``
 words, and lines that are cut as a whole, with their ends, go where their words
-repeat exactly.
+repeat exactly; so does every window of ``PASSAGE`` words, within lines or
+across. Windows meet under their least run of ``RUN`` words: stretches of windows
+with the same run are held against each other as a whole, and window by window
+where a run has different stretches.
 
 Cases: texts without words, empty and null ones have no paragraphs; paragraphs that repeat in a text count as any other; rows
 equal in doc_id and text count as one place; a null doc_id sorts first; an
@@ -38,6 +41,8 @@ RECALL, APART = 0.99, 0.2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIERS = np.random.default_rng(20240611).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _MOST = np.uint64(2**64 - 1)
+#: Words of a passage that goes wherever it repeats, and of the runs in it of which one, chosen by content, brings equal passages together.
+PASSAGE, RUN = 51, 12
 _words = HashMemo()
 
 
@@ -179,21 +184,50 @@ def report(docs: DataFrame, percent: int = SIMILARITY_PERCENT, width: int = SHIN
     return counted.select(F.struct("id", "h").alias("key"), "n_paragraphs").join(gone.select(F.struct("id", "h").alias("key"), "removed"), "key", "left")
 
 
+def _grams(h: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each window of ``width`` words, of the words' hashes."""
+    out = np.zeros(len(h) - width + 1, np.uint64)
+    for k in range(width):
+        out = (out ^ h[k : k + len(out)]) * _MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _stretches(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each run of ``RUN`` words that is the least (the first of equal ones) of some window of ``PASSAGE``: place p, hash, and the words from a to b of all windows whose least it is."""
+    own = _grams(h, RUN)
+    least, at = own.copy(), np.arange(len(own))
+    width, have = PASSAGE - RUN + 1, 1
+    while have < width:  # the least of 2, 4, ... runs, then of a window's
+        step = min(have, width - have)
+        n = len(least) - step
+        right = least[step:] < least[:n]
+        at = np.where(right, at[step:], at[:n])
+        least = np.where(right, least[step:], least[:n])
+        have += step
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    last = np.append(first[1:], len(at)) - 1
+    return at[first], own[at[first]], first, last + PASSAGE
+
+
 def _runs(docs: DataFrame) -> DataFrame:
-    """id, h, p, a, b, x, y: lines that no piece stands for as a whole (short ones, and long ones, which are cut), from word a to b; x and y are 128 bits of their words."""
-    names = ["id", "h", "p", "a", "b", "x", "y"]
+    """id, h, line, p, a, b, x, y: words from a to b, x and y their 128 bits or those of their run and of themselves.
+
+    Lines that no piece stands for as a whole (short ones, and long ones, which are cut), and stretches of all windows that share a run.
+    """
+    names = ["id", "h", "line", "p", "a", "b", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             who: list[int] = []
-            table: list[tuple[int, int, int]] = []
+            table: list[tuple[int, int, int, int]] = []
             digests: list[bytes] = []
 
             def out() -> pa.RecordBatch:
                 at = pa.array(np.array(who, np.int64))
-                spots = np.array(table, np.int32).reshape(-1, 3)
+                spots = np.array(table, np.int32).reshape(-1, 4)
                 xy = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(spots[:, k].copy()) for k in range(3)], *[pa.array(xy[:, k].copy()) for k in range(2)]], names)
+                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(spots[:, 0] == 1), *[pa.array(spots[:, k].copy()) for k in (1, 2, 3)], *[pa.array(xy[:, k].copy()) for k in range(2)]], names)
 
             for r, x in enumerate(batch.column(2)):
                 words, lines = split_words(x.as_py())
@@ -204,8 +238,13 @@ def _runs(docs: DataFrame) -> DataFrame:
                 for n, b in zip(lines.tolist(), stops.tolist()):
                     if n < LEAST or n > LONG:
                         who.append(r)
-                        table.append((b - n, b - n, b))
+                        table.append((1, b - n, b - n, b))
                         digests.append(xxhash.xxh3_128_digest(h[b - n : b].tobytes()))
+                if len(h) >= PASSAGE:
+                    for p, x, a, b in zip(*[v.tolist() for v in _stretches(h)]):
+                        who.append(r)
+                        table.append((0, p, a, b))
+                        digests.append(x.to_bytes(8, "little") + xxhash.xxh3_64_digest(h[a:b].tobytes()))
                 if len(who) >= 100_000:
                     yield out()
                     who, table, digests = [], [], []
@@ -213,7 +252,28 @@ def _runs(docs: DataFrame) -> DataFrame:
                 yield out()
         release(_words)
 
-    return docs.select("id", "h", "text").mapInArrow(run, "id string, h long, p int, a int, b int, x long, y long")
+    return docs.select("id", "h", "text").mapInArrow(run, "id string, h long, line boolean, p int, a int, b int, x long, y long")
+
+
+def _windows(rows: DataFrame, stretches: DataFrame) -> DataFrame:
+    """id, h, x, p (first word), w (hash): each window of ``PASSAGE`` words in the stretches (id, h, x, a, b)."""
+    spots = stretches.groupBy("id", "h").agg(F.collect_list(F.struct("x", "a", "b")).alias("spots")).select(F.struct("id", "h").alias("key"), "spots")
+    both = rows.select(F.struct("id", "h").alias("key"), "text").join(spots, "key").select("key.id", "key.h", "text", "spots")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                words = split_words(batch.column(2)[r].as_py())[0]
+                own = _grams(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)), PASSAGE).view(np.int64)
+                spots = batch.column(3)[r].values
+                a, b = (spots.field(k).to_numpy() for k in ("a", "b"))
+                n = b - a - PASSAGE + 1
+                place = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+                at = pa.array(np.full(len(place), r))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(spots.field("x").to_numpy(), n)), pa.array(place.astype(np.int32)), pa.array(own[place])], ["id", "h", "x", "p", "w"])
+        release(_words)
+
+    return both.mapInArrow(run, "id string, h long, x long, p int, w long")
 
 
 def _merged(spans: Column) -> Column:
@@ -238,16 +298,25 @@ def _merged(spans: Column) -> Column:
 
 
 def whole_report(docs: DataFrame, percent: int = SIMILARITY_PERCENT, width: int = SHINGLE_WORDS, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_paragraphs, removed (array of struct(a, b), words from a to b, apart and sorted; null: none): what ``report`` removes, and lines that repeat exactly."""
+    """key, n_paragraphs, removed (array of struct(a, b), words from a to b, apart and sorted; null: none): what ``report`` removes, lines that repeat exactly, and all words of passages of ``PASSAGE`` words or more that do."""
     key = row_key(doc, text)
     rows = docs.select(key["id"].alias("id"), key["h"].alias("h"), F.col(text).alias("text"))
     found = written(report(docs, percent, width, doc=doc, text=text), "report")
     at = F.struct(F.col("id").cast(docs.schema[doc].dataType).alias("doc"), "h", "p")
-    runs = written(_runs(rows).withColumn("at", at), "runs")
-    first = written(runs.groupBy("x", "y").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first != last").drop("last"), "repeated")
-    again = runs.join(first, ["x", "y"]).where("at != first").select("id", "h", "a", "b")
+    # a window of a text that repeats in itself goes if it doesn't reach into the first
+    apart = (F.col("at.doc").eqNullSafe(F.col("first.doc")) & (F.col("at.h") == F.col("first.h")) & (F.col("at.p") < F.col("first.p") + PASSAGE)) == F.lit(False)
+    runs = written(_runs(rows), "runs")
+    spots = runs.withColumn("at", at)
+    classes = written(spots.groupBy("line", "x", "y").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min_by(F.struct("id", "h", "a", "b"), "at").alias("s")), "classes")
+    repeated = written(classes.where("first != last").select("line", "x", "y", "first"), "repeated")
+    again = spots.join(repeated, ["line", "x", "y"]).where("at != first").where(F.col("line") | apart).select("id", "h", "a", "b")
+    # windows of different stretches around the same run
+    shared = written(classes.where("not line").groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x"), "shared")
+    each = written(_windows(rows, classes.where("not line").join(shared, "x").select("s.id", "s.h", "x", "s.a", "s.b")).distinct().withColumn("at", at), "windows")
+    least = each.groupBy("x", "w").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first != last").drop("last")
+    within = each.join(written(least, "least"), ["x", "w"]).where("at != first").where(apart).select("id", "h", F.col("p").alias("a"), (F.col("p") + PASSAGE).alias("b"))
     pieces = found.where("removed is not null").select("key.id", "key.h", F.explode("removed").alias("s")).select("id", "h", "s.a", "s.b")
-    gone = pieces.unionByName(again).groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("removed"))
+    gone = pieces.unionByName(again).unionByName(within).groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("removed"))
     gone = gone.select(F.struct("id", "h").alias("key"), _merged(F.col("removed")).alias("removed"))
     return found.select("key", "n_paragraphs").join(gone, "key", "full").select("key", F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"), "removed")
 
