@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, HashMemo, release, written
+from .components import components
 from .linking import link, shared_keys
 
 CHUNKS, LANES = 12, 4
@@ -65,24 +66,24 @@ def signature(own: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_hash (128 bits), s0 to s11 (null for empty sets): a narrow map."""
-    schema = "doc_id long, n_shingles long, set_hash binary, " + ", ".join(f"{s} long" for s in SIGNATURE)
-    names = ["doc_id", "n_shingles", "set_hash", *SIGNATURE]
+    """doc_id, h (of the text), n_shingles, set_hash (128 bits), s0 to s11 (null for empty sets): a narrow map."""
+    schema = "doc_id long, h long, n_shingles long, set_hash binary, " + ", ".join(f"{s} long" for s in SIGNATURE)
+    names = ["doc_id", "h", "n_shingles", "set_hash", *SIGNATURE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, hashes, found = [], [], []
-            for x in b.column(1):
+            for x in b.column(2):
                 own = shingles(x.as_py(), width)
                 sizes.append(len(own))
                 hashes.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                 found.append(signature(own).view(np.int64) if len(own) else np.zeros(CHUNKS, np.int64))
             empty = np.array(sizes, np.int64) == 0
             table = np.array(found, np.int64).reshape(-1, CHUNKS)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), *[pa.array(table[:, c].copy(), mask=empty) for c in range(CHUNKS)]], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), *[pa.array(table[:, c].copy(), mask=empty) for c in range(CHUNKS)]], names)
         release(_words)
 
-    return docs.select(F.col(doc).cast("long"), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(doc).cast("long"), F.xxhash64(text), F.col(text)).mapInArrow(run, schema)
 
 
 def _keys(s) -> list[Column]:
@@ -116,14 +117,22 @@ def groups(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARIT
     """doc_id, n_shingles, component_id, kept: a row a document."""
     every = written(fingerprints(docs, width, doc=doc, text=text), "signatures")
     known = every.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
-    classes = written(known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), *[F.first(s).alias(s) for s in SIGNATURE]), "classes")
-    sig = classes.select("rep", "n_shingles", *SIGNATURE)
+    # nodes are the sets, each with the text of one row, as rows that share a doc_id may differ
+    classes = written(known.groupBy("set_hash").agg(F.min(F.struct("doc_id", "h")).alias("of"), F.first("n_shingles").alias("n_shingles"), *[F.first(s).alias(s) for s in SIGNATURE]), "classes").withColumnRenamed("set_hash", "rep")
     met = shared_keys(classes.select("rep", F.explode(F.array(*_keys(lambda c: F.col(f"s{c}")))).alias("key")))
-    reps = met.select("rep").distinct()
-    texts = written(docs.select(F.col(doc).cast("long").alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(reps, "rep", "left_semi"), "texts")
-    found = link(met, classes.select("rep", "n_shingles", *SIGNATURE), texts, lambda x: shingles(x, width), lambda p, q: _plausible(p, q, percent), percent)
-    of_class = classes.select("set_hash", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
-    out = every.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left")
+    spots = classes.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "of.doc_id", "of.h")
+    all_texts = docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = written(all_texts.join(spots, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("rep", "text"), "texts")
+    found = written(link(met, classes.select("rep", "n_shingles", *SIGNATURE), texts, lambda x: shingles(x, width), lambda p, q: _plausible(p, q, percent), percent), "found")
+    named = classes.select("rep", "of.doc_id").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = named.join(least, "component").select(F.col("rep").alias("set_hash"), "component_id")
+    out = written(every.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left"), "named")
+    # a document with versions in several components joins them
+    versions = out.where(F.col("component_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a != b").select("doc_id", "a")
+    links = written(out.join(versions, "doc_id").select("a", F.col("component_id").alias("b")).where("a != b").distinct(), "versions")
+    if not links.isEmpty():
+        out = out.join(components(links).select(F.col("node").alias("component_id"), "component"), "component_id", "left").withColumn("component_id", F.coalesce("component", "component_id"))
     # versions of a document count together; an empty set is a group of its own
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
