@@ -7,18 +7,18 @@ paragraphs of ``LEAST`` words or more, five-word shingles give a few minima,
 grouped into bands that are tuned for the wanted recall. Paragraphs that share
 a band meet (``linking``), exact Jaccard similarity confirms them, connected
 components are the groups, and all but a group's first paragraph, by doc_id and
-place, are removed.
+place, are removed. Shorter paragraphs, from ``shortest`` words on, go where
+they repeat exactly.
 
-``whole_report`` adds what pieces don't stand for: lines of fewer than ``LEAST``
-words, and lines that are cut as a whole, with their ends, go where their words
-repeat exactly; so does every window of ``PASSAGE`` words, within lines or
-across. Windows meet under their least run of ``RUN`` words: stretches of windows
-with the same run are held against each other as a whole, and window by window
-where a run has different stretches.
+A passage that stands inside other text needn't hold a whole paragraph. So
+every window of ``PASSAGE`` words that repeats, within lines or across, goes as
+well. Windows meet under their least run of ``RUN`` words: runs that occur once
+are left out, stretches of windows with the same run are held against each
+other as a whole, and window by window where a run has different stretches.
 
 Cases: texts without words, empty and null ones have no paragraphs; paragraphs that repeat in a text count as any other; rows
 equal in doc_id and text count as one place; a null doc_id sorts first; an
-empty table gives an empty one; very long texts are cut and held whole.
+empty table gives an empty one; very long texts are cut and held whole; columns of other names pass through ``dedup``.
 """
 
 from __future__ import annotations
@@ -31,12 +31,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, HashMemo, release, row_key, written
+from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, HashMemo, drop_written, release, row_key, written
 from .linking import link, shared_keys
 from .near_dedup import shingles as shingles_of
 
 #: Words up to which a line is never cut, half the stretch in which a cut is the least, words that a paragraph has at least.
-LONG, RADIUS, LEAST = 24, 8, 9
+#: The lines that thousands of documents share have up to 16 words; from 17 on they are 2 % of the documents without a repeated passage.
+LONG, RADIUS = 64, 16
+LEAST = RADIUS + 1
 RECALL, APART = 0.99, 0.2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIERS = np.random.default_rng(20240611).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,7 +77,10 @@ def cut(words: np.ndarray, lines: np.ndarray, radius: int = RADIUS, long: int =
         have += step
     own = np.flatnonzero((least[place - radius] == pair) & (pair != _MOST) & np.repeat(lines > long, lines))
     tie = np.diff(place[own], prepend=-radius - 1) <= radius  # of equal ones in a stretch the first
-    return np.union1d(starts, own[~tie])
+    own = own[~tie]
+    line = np.searchsorted(starts, own, "right") - 1
+    inside = (own - starts[line] > radius) & (starts[line] + lines[line] - own > radius)  # no piece at an end is shorter than others
+    return np.union1d(starts, own[inside])
 
 
 def split_words(text: str | None) -> tuple[list[bytes], np.ndarray]:
@@ -89,101 +94,6 @@ def split_words(text: str | None) -> tuple[list[bytes], np.ndarray]:
     return words, np.array(lines, np.int64)
 
 
-def paragraphs(docs: DataFrame, *, text: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
-    """id, h (key of the row), i (place), a, b (first word, and the one behind the last), rep (128-bit hash of the words), k0, ... (hashes of bands)."""
-    names = ["id", "h", "i", "a", "b", "rep", *[f"k{j}" for j in range(BANDS)]]
-    schema = "id string, h long, i int, a int, b int, rep binary, " + ", ".join(f"k{j} long" for j in range(BANDS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            who, place, first, stop, names_of, bands = [], [], [], [], [], []
-
-            def out() -> pa.RecordBatch:
-                at = pa.array(np.array(who, np.int64).repeat([len(x) for x in first]))
-                table = np.concatenate(bands, axis=1)
-                ints = [pa.array(np.concatenate(x).astype(np.int32)) for x in (place, first, stop)]
-                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *ints, pa.array(names_of, pa.binary()), *[pa.array(x) for x in table]], names)
-
-            for r, x in enumerate(batch.column(2)):
-                words, lines = split_words(x.as_py())
-                if len(words) < LEAST:
-                    continue
-                h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-                a = cut(h, lines)
-                b = np.append(a[1:], len(h))
-                keep = np.flatnonzero(b - a >= LEAST)
-                if not len(keep):
-                    continue
-                a, b = a[keep], b[keep]
-                own = np.zeros(len(h) - width + 1, np.uint64)
-                for k in range(width):
-                    own = (own ^ h[k : k + len(own)]) * _MIX
-                    own ^= own >> np.uint64(29)
-                minima = []
-                edges = np.stack([a, b - width + 1], axis=1).ravel()
-                for m in _MULTIPLIERS[: BANDS * ROWS]:
-                    minima.append(np.minimum.reduceat(np.append(own * m, _MOST), edges)[0::2])
-                table = np.array(minima).reshape(BANDS, ROWS, len(a))
-                key = np.zeros((BANDS, len(a)), np.uint64) + np.arange(BANDS, dtype=np.uint64)[:, None]
-                for j in range(ROWS):
-                    key = (key ^ table[:, j]) * _MIX
-                    key ^= key >> np.uint64(29)
-                who.append(r)
-                place.append(keep)
-                first.append(a)
-                stop.append(b)
-                names_of += [xxhash.xxh3_128_digest(h[p:q].tobytes()) for p, q in zip(a.tolist(), b.tolist())]
-                bands.append((key >> np.uint64(16)).view(np.int64))  # 48 bits are enough to meet
-                if len(names_of) >= 100_000:
-                    yield out()
-                    who, place, first, stop, names_of, bands = [], [], [], [], [], []
-            if who:
-                yield out()
-        release(_words)
-
-    return docs.select("id", "h", text).mapInArrow(run, schema)
-
-
-def _texts(rows: DataFrame, needed: DataFrame) -> DataFrame:
-    """rep, text of the paragraphs needed (id, h, a, b, rep): their texts are met once and cut."""
-    spots = needed.groupBy("id", "h").agg(F.collect_list(F.struct("rep", "a", "b")).alias("spots"))
-    both = rows.select(F.coalesce("id", F.lit("")).alias("id"), "h", "text").join(spots, ["id", "h"]).select("text", "spots")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            reps, found = [], []
-            for x, spots in zip(batch.column(0), batch.column(1)):
-                words = split_words(x.as_py())[0]
-                for s in spots.as_py():
-                    reps.append(s["rep"])
-                    found.append(b" ".join(words[s["a"] : s["b"]]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.binary()), pa.array(found, pa.string())], ["rep", "text"])
-
-    return both.mapInArrow(run, "rep binary, text string").dropDuplicates(["rep"])
-
-
-def report(docs: DataFrame, percent: int = SIMILARITY_PERCENT, width: int = SHINGLE_WORDS, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """key (row_key), doc_id, n_paragraphs, removed (array of struct(i, a, b), sorted by i; null: none): a row a document with paragraphs."""
-    key = row_key(doc, text)
-    rows = docs.select(F.col(doc).alias("doc"), key["id"].alias("id"), key["h"].alias("h"), F.col(text).alias("text"))
-    every = written(paragraphs(rows, width=width), "paragraphs")
-    keys = every.select("rep", F.explode(F.array(*[f"k{j}" for j in range(BANDS)])).alias("key"))
-    met = shared_keys(keys)
-    nodes = met.select("rep").distinct()
-    spots = every.select("rep", F.struct(F.coalesce("id", F.lit("")).alias("id"), "h", "a", "b").alias("at"), *[f"k{j}" for j in range(BANDS)]).join(nodes, "rep", "left_semi")
-    traits = written(spots.groupBy("rep").agg(F.min("at").alias("at"), *[F.first(f"k{j}").alias(f"k{j}") for j in range(BANDS)]), "nodes")
-    texts = written(_texts(rows, traits.select("rep", "at.*")), "texts")
-    found = link(met, traits.drop("at"), texts, lambda x: shingles_of(x, width), lambda p, q: F.lit(True), percent)
-    often = every.groupBy("rep").agg(F.count("*").alias("n"), F.min("id").alias("_")).where("n > 1").select(F.col("rep").alias("node"), F.col("rep").alias("component"))
-    groups = written(found.unionByName(often.join(found, "node", "left_anti")), "groups").withColumnRenamed("node", "rep")
-    place = F.struct(F.col("id").cast(docs.schema[doc].dataType).alias("doc"), F.col("h"), F.col("i"))
-    members = written(every.join(groups, "rep").select("component", place.alias("at"), "id", "h", "i", "a", "b"), "members")
-    first = members.groupBy("component").agg(F.min("at").alias("first"))
-    gone = members.join(written(first, "first"), "component").where("at != first").groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("i", "a", "b"))).alias("removed"))
-    counted = every.groupBy("id", "h").agg(F.count_distinct("i").alias("n_paragraphs"))
-    return counted.select(F.struct("id", "h").alias("key"), "n_paragraphs").join(gone.select(F.struct("id", "h").alias("key"), "removed"), "key", "left")
-
-
 def _grams(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of each window of ``width`` words, of the words' hashes."""
     out = np.zeros(len(h) - width + 1, np.uint64)
@@ -210,53 +120,106 @@ def _stretches(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return at[first], own[at[first]], first, last + PASSAGE
 
 
-def _runs(docs: DataFrame) -> DataFrame:
-    """id, h, line, p, a, b, x, y: words from a to b, x and y their 128 bits or those of their run and of themselves.
+def paragraphs(docs: DataFrame, *, text: str = "text", width: int = SHINGLE_WORDS, shortest: int = LEAST, passages: bool = True) -> DataFrame:
+    """id, h (key of the row) and a, b (first word, and the one behind the last) of two kinds of rows.
 
-    Lines that no piece stands for as a whole (short ones, and long ones, which are cut), and stretches of all windows that share a run.
+    Paragraphs: i (place), rep (128-bit hash of the words), k0, ... (hashes of bands; null below ``LEAST`` words, for paragraphs of
+    ``shortest`` words on that only their equals meet). Stretches of all windows of ``PASSAGE`` words that share their
+    least run (rep is null): p (of the run), x (its hash), y (of all words).
     """
-    names = ["id", "h", "line", "p", "a", "b", "x", "y"]
+    bands = [f"k{j}" for j in range(BANDS)]
+    schema = "id string, h long, i int, p int, a int, b int, rep binary, x long, y long, " + ", ".join(f"{k} long" for k in bands)
+    names = ["id", "h", "i", "p", "a", "b", "rep", "x", "y", *bands]
+
+    def minima(own: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        edges = np.stack([a, b - width + 1], axis=1).ravel()
+        least = [np.minimum.reduceat(np.append(own * m, _MOST), edges)[0::2] for m in _MULTIPLIERS[: BANDS * ROWS]]
+        table = np.array(least).reshape(BANDS, ROWS, len(a))
+        key = np.zeros((BANDS, len(a)), np.uint64) + np.arange(BANDS, dtype=np.uint64)[:, None]
+        for j in range(ROWS):
+            key = (key ^ table[:, j]) * _MIX
+            key ^= key >> np.uint64(29)
+        return (key >> np.uint64(16)).view(np.int64)  # 48 bits are enough to meet
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            who: list[int] = []
-            table: list[tuple[int, int, int, int]] = []
-            digests: list[bytes] = []
-
-            def out() -> pa.RecordBatch:
-                at = pa.array(np.array(who, np.int64))
-                spots = np.array(table, np.int32).reshape(-1, 4)
-                xy = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(spots[:, 0] == 1), *[pa.array(spots[:, k].copy()) for k in (1, 2, 3)], *[pa.array(xy[:, k].copy()) for k in range(2)]], names)
-
-            for r, x in enumerate(batch.column(2)):
-                words, lines = split_words(x.as_py())
-                if not words:
+            who: list[tuple[int, int]] = []  # row, how many
+            parts: list[list[np.ndarray]] = []  # i, a, b, k0, ...
+            reps: list[bytes] = []
+            whose: list[tuple[int, int]] = []
+            places: list[list[np.ndarray]] = []  # p, a, b, x, y
+
+            def rows_of(owners: list[tuple[int, int]], columns: dict[str, pa.Array]) -> pa.RecordBatch:
+                at = pa.array(np.repeat(*map(np.array, zip(*owners))))
+                n = len(at)
+                kinds = {"rep": pa.binary(), **dict.fromkeys(["x", "y", *bands], pa.int64())}
+                rest = [columns[c] if c in columns else pa.nulls(n, kinds.get(c, pa.int32())) for c in names[2:]]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *rest], names)
+
+            def out() -> Iterator[pa.RecordBatch]:
+                if who:
+                    ints = [np.concatenate(x) for x in zip(*parts)]
+                    short = ints[2] - ints[1] < LEAST
+                    yield rows_of(who, {**{c: pa.array(v.astype(np.int32)) for c, v in zip(("i", "a", "b"), ints)}, "rep": pa.array(reps, pa.binary()), **{k: pa.array(v, mask=short) for k, v in zip(bands, ints[3:])}})
+                if whose:
+                    p, a, b, x, y = (np.concatenate(v) for v in zip(*places))
+                    yield rows_of(whose, {**{c: pa.array(v.astype(np.int32)) for c, v in (("p", p), ("a", a), ("b", b))}, "x": pa.array(x), "y": pa.array(y)})
+                for table in (who, parts, reps, whose, places):
+                    table.clear()
+
+            total = 0
+            for r, value in enumerate(batch.column(2)):
+                words, lines = split_words(value.as_py())
+                if len(words) < shortest:
                     continue
                 h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-                stops = np.cumsum(lines)
-                for n, b in zip(lines.tolist(), stops.tolist()):
-                    if n < LEAST or n > LONG:
-                        who.append(r)
-                        table.append((1, b - n, b - n, b))
-                        digests.append(xxhash.xxh3_128_digest(h[b - n : b].tobytes()))
-                if len(h) >= PASSAGE:
-                    for p, x, a, b in zip(*[v.tolist() for v in _stretches(h)]):
-                        who.append(r)
-                        table.append((0, p, a, b))
-                        digests.append(x.to_bytes(8, "little") + xxhash.xxh3_64_digest(h[a:b].tobytes()))
-                if len(who) >= 100_000:
-                    yield out()
-                    who, table, digests = [], [], []
-            if who:
-                yield out()
+                a = cut(h, lines)
+                b = np.append(a[1:], len(h))
+                keep = np.flatnonzero(b - a >= shortest)
+                if len(keep):
+                    a, b = a[keep], b[keep]
+                    keys = np.zeros((BANDS, len(a)), np.int64)
+                    if len(long := np.flatnonzero(b - a >= LEAST)):
+                        keys[:, long] = minima(_grams(h, width), a[long], b[long])
+                    who.append((r, len(a)))
+                    parts.append([keep, a, b, *keys])
+                    reps += [xxhash.xxh3_128_digest(h[s:e].tobytes()) for s, e in zip(a.tolist(), b.tolist())]
+                    total += len(a)
+                if passages and len(h) >= PASSAGE:
+                    p, x, a, b = _stretches(h)
+                    y = np.frombuffer(b"".join(xxhash.xxh3_64_digest(h[s:e].tobytes()) for s, e in zip(a.tolist(), b.tolist())), "<i8")
+                    whose.append((r, len(p)))
+                    places.append([p, a, b, x.view(np.int64), y])
+                    total += len(p)
+                if total >= 100_000:
+                    yield from out()
+                    total = 0
+            yield from out()
         release(_words)
 
-    return docs.select("id", "h", "text").mapInArrow(run, "id string, h long, line boolean, p int, a int, b int, x long, y long")
+    return docs.select("id", "h", text).mapInArrow(run, schema)
+
+
+def _texts(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """rep, text of the paragraphs needed (id, h, a, b, rep): their texts are met once and cut."""
+    spots = needed.groupBy("id", "h").agg(F.collect_list(F.struct("rep", "a", "b")).alias("spots"))
+    both = rows.select(F.coalesce("id", F.lit("")).alias("id"), "h", "text").join(spots, ["id", "h"]).select("text", "spots")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps, found = [], []
+            for x, spots in zip(batch.column(0), batch.column(1)):
+                words = split_words(x.as_py())[0]
+                for s in spots.as_py():
+                    reps.append(s["rep"])
+                    found.append(b" ".join(words[s["a"] : s["b"]]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.binary()), pa.array(found, pa.string())], ["rep", "text"])
+
+    return both.mapInArrow(run, "rep binary, text string").dropDuplicates(["rep"])
 
 
 def _windows(rows: DataFrame, stretches: DataFrame) -> DataFrame:
-    """id, h, x, p (first word), w (hash): each window of ``PASSAGE`` words in the stretches (id, h, x, a, b)."""
+    """id, h, x, a, w: hashes of all windows of ``PASSAGE`` words in each of the stretches (id, h, x, a, b), the first at word a."""
     spots = stretches.groupBy("id", "h").agg(F.collect_list(F.struct("x", "a", "b")).alias("spots")).select(F.struct("id", "h").alias("key"), "spots")
     both = rows.select(F.struct("id", "h").alias("key"), "text").join(spots, "key").select("key.id", "key.h", "text", "spots")
 
@@ -266,14 +229,15 @@ def _windows(rows: DataFrame, stretches: DataFrame) -> DataFrame:
                 words = split_words(batch.column(2)[r].as_py())[0]
                 own = _grams(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)), PASSAGE).view(np.int64)
                 spots = batch.column(3)[r].values
-                a, b = (spots.field(k).to_numpy() for k in ("a", "b"))
+                x, a, b = (spots.field(k).to_numpy() for k in ("x", "a", "b"))
                 n = b - a - PASSAGE + 1
                 place = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-                at = pa.array(np.full(len(place), r))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(spots.field("x").to_numpy(), n)), pa.array(place.astype(np.int32)), pa.array(own[place])], ["id", "h", "x", "p", "w"])
+                at = pa.array(np.full(len(a), r))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(own[place]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(x), pa.array(a), lists], ["id", "h", "x", "a", "w"])
         release(_words)
 
-    return both.mapInArrow(run, "id string, h long, x long, p int, w long")
+    return both.mapInArrow(run, "id string, h long, x long, a int, w array<long>")
 
 
 def _merged(spans: Column) -> Column:
@@ -297,38 +261,72 @@ def _merged(spans: Column) -> Column:
     return fewest(spans)
 
 
-def whole_report(docs: DataFrame, percent: int = SIMILARITY_PERCENT, width: int = SHINGLE_WORDS, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_paragraphs, removed (array of struct(a, b), words from a to b, apart and sorted; null: none): what ``report`` removes, lines that repeat exactly, and all words of passages of ``PASSAGE`` words or more that do."""
-    key = row_key(doc, text)
-    rows = docs.select(key["id"].alias("id"), key["h"].alias("h"), F.col(text).alias("text"))
-    found = written(report(docs, percent, width, doc=doc, text=text), "report")
+def _pieces(docs: DataFrame, rows: DataFrame, every: DataFrame, percent: int, width: int, doc: str) -> DataFrame:
+    """id, h, a, b of the paragraphs that aren't the first of their group."""
+    own = every.where("rep is not null")
+    met = shared_keys(own.where("k0 is not null").select("rep", F.explode(F.array(*[f"k{j}" for j in range(BANDS)])).alias("key")))
+    nodes = met.select("rep").distinct()
+    spots = own.select("rep", F.struct(F.coalesce("id", F.lit("")).alias("id"), "h", "a", "b").alias("at"), *[f"k{j}" for j in range(BANDS)]).join(nodes, "rep", "left_semi")
+    traits = written(spots.groupBy("rep").agg(F.min("at").alias("at"), *[F.first(f"k{j}").alias(f"k{j}") for j in range(BANDS)]), "nodes")
+    texts = written(_texts(rows, traits.select("rep", "at.*")), "texts")
+    found = link(met, traits.drop("at"), texts, lambda x: shingles_of(x, width), lambda p, q: F.lit(True), percent)
+    often = own.groupBy("rep").agg(F.count("*").alias("n"), F.min("id").alias("_")).where("n > 1").select(F.col("rep").alias("node"), F.col("rep").alias("component"))
+    groups = written(found.unionByName(often.join(found, "node", "left_anti")), "groups").withColumnRenamed("node", "rep")
+    drop_written(met, traits, texts)
+    place = F.struct(F.col("id").cast(docs.schema[doc].dataType).alias("doc"), F.col("h"), F.col("i"))
+    members = written(own.join(groups, "rep").select("component", place.alias("at"), "id", "a", "b"), "members")
+    first = members.groupBy("component").agg(F.min("at").alias("first"))
+    return members.join(written(first, "first"), "component").where("at != first").select("id", "at.h", "a", "b")
+
+
+def _passages(docs: DataFrame, rows: DataFrame, every: DataFrame, doc: str) -> DataFrame:
+    """id, h, a, b of words in windows of ``PASSAGE`` words that stand somewhere before; a window that repeats in its own text goes if it doesn't reach into the first."""
     at = F.struct(F.col("id").cast(docs.schema[doc].dataType).alias("doc"), "h", "p")
-    # a window of a text that repeats in itself goes if it doesn't reach into the first
     apart = (F.col("at.doc").eqNullSafe(F.col("first.doc")) & (F.col("at.h") == F.col("first.h")) & (F.col("at.p") < F.col("first.p") + PASSAGE)) == F.lit(False)
-    runs = written(_runs(rows), "runs")
+    runs = every.where("rep is null").select("id", "h", "p", "a", "b", "x", "y")
+    often = written(runs.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x"), "often")
+    runs = written(runs.join(often, "x"), "runs")  # a run that occurs once has no window that repeats
     spots = runs.withColumn("at", at)
-    classes = written(spots.groupBy("line", "x", "y").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min_by(F.struct("id", "h", "a", "b"), "at").alias("s")), "classes")
-    repeated = written(classes.where("first != last").select("line", "x", "y", "first"), "repeated")
-    again = spots.join(repeated, ["line", "x", "y"]).where("at != first").where(F.col("line") | apart).select("id", "h", "a", "b")
+    classes = written(spots.groupBy("x", "y").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min_by(F.struct("id", "h", "a", "b"), "at").alias("s")), "classes")
+    repeated = written(classes.where("first != last").select("x", "y", "first"), "repeated")
+    again = written(spots.join(repeated, ["x", "y"]).where("at != first").select("id", "h", "x", "a", "b", apart.alias("apart")), "again")
+    drop_written(often, runs, repeated)
     # windows of different stretches around the same run
-    shared = written(classes.where("not line").groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x"), "shared")
-    each = written(_windows(rows, classes.where("not line").join(shared, "x").select("s.id", "s.h", "x", "s.a", "s.b")).distinct().withColumn("at", at), "windows")
-    least = each.groupBy("x", "w").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first != last").drop("last")
-    within = each.join(written(least, "least"), ["x", "w"]).where("at != first").where(apart).select("id", "h", F.col("p").alias("a"), (F.col("p") + PASSAGE).alias("b"))
-    pieces = found.where("removed is not null").select("key.id", "key.h", F.explode("removed").alias("s")).select("id", "h", "s.a", "s.b")
-    gone = pieces.unionByName(again).unionByName(within).groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("removed"))
+    shared = written(classes.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x"), "shared")
+    stretches = classes.select("s.id", "s.h", "x", "s.a", "s.b").unionByName(again.where("not apart").drop("apart"))  # reaching into the first with its neighbours doesn't keep a window apart from an earlier one
+    each = written(_windows(rows, stretches.join(shared, "x")), "windows")
+    drop_written(classes, shared)
+    each = each.select("id", "h", "x", "a", F.posexplode("w").alias("p", "w")).withColumn("p", F.col("a") + F.col("p")).withColumn("at", at)
+    least = written(each.groupBy("x", "w").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first != last").drop("last"), "least")
+    within = each.join(least, ["x", "w"]).where("at != first").where(apart).select("id", "h", F.col("p").alias("a"), (F.col("p") + PASSAGE).alias("b"))
+    return again.where("apart").select("id", "h", "a", "b").unionByName(within)
+
+
+def report(docs: DataFrame, percent: int = SIMILARITY_PERCENT, width: int = SHINGLE_WORDS, *, doc: str = "doc_id", text: str = "text", shortest: int = LEAST, passages: bool = True) -> DataFrame:
+    """key (row_key), n_paragraphs, removed (array of struct(a, b), words from a to b, apart and sorted; null: none): a row a document with paragraphs.
+
+    shortest: words of the shortest paragraphs that go where they repeat exactly. passages: repeated windows go as well.
+    """
+    key = row_key(doc, text)
+    rows = docs.select(key["id"].alias("id"), key["h"].alias("h"), F.col(text).alias("text"))
+    every = written(paragraphs(rows, width=width, shortest=shortest, passages=passages), "paragraphs")
+    gone = _pieces(docs, rows, every, percent, width, doc)
+    if passages:
+        gone = gone.unionByName(_passages(docs, rows, every, doc))
+    gone = gone.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("removed"))
     gone = gone.select(F.struct("id", "h").alias("key"), _merged(F.col("removed")).alias("removed"))
-    return found.select("key", "n_paragraphs").join(gone, "key", "full").select("key", F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"), "removed")
+    counted = every.where("rep is not null").groupBy("id", "h").agg(F.count_distinct("i").alias("n_paragraphs"))
+    return counted.select(F.struct("id", "h").alias("key"), "n_paragraphs").join(gone, "key", "full").select("key", F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"), "removed")
 
 
-def dedup(docs: DataFrame, percent: int = SIMILARITY_PERCENT, width: int = SHINGLE_WORDS, *, doc: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
-    """docs with ``text`` without the paragraphs removed (``whole``: without all that ``whole_report`` removes), plus n_paragraphs (of enough words) and n_removed.
+def dedup(docs: DataFrame, percent: int = SIMILARITY_PERCENT, width: int = SHINGLE_WORDS, *, doc: str = "doc_id", text: str = "text", shortest: int = LEAST, passages: bool = True) -> DataFrame:
+    """docs with ``text`` without the words that ``report`` removes, plus n_paragraphs and n_removed (spans).
 
     The words left of texts that lose some keep their case, their lines and the white space between them.
     """
     import re
 
-    found = (whole_report if whole else report)(docs, percent, width, doc=doc, text=text)
+    found = report(docs, percent, width, doc=doc, text=text, shortest=shortest, passages=passages)
     tagged = docs.select(*[c for c in docs.columns if c not in ("n_paragraphs", "n_removed")]).withColumn("_key", row_key(doc, text))
     both = tagged.join(found.withColumnsRenamed({"key": "_key", "n_paragraphs": "_n", "removed": "_removed"}), "_key", "left")
     words_at = re.compile(rb"[^ \t\n\r\x0b\x0c]+")

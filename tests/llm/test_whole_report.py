@@ -1,4 +1,4 @@
-"""What pieces don't stand for: short lines, the ends of long ones, passages of just over 50 words."""
+"""What pieces don't stand for: lines below the least size, passages of just over 50 words."""
 
 import random
 
@@ -12,7 +12,7 @@ def word(r):
 
 
 def left(spark, rows):
-    return {r["doc_id"]: r["text"].split() for r in op.dedup(spark.createDataFrame(rows, SCHEMA), whole=True).collect()}
+    return {r["doc_id"]: r["text"].split() for r in op.dedup(spark.createDataFrame(rows, SCHEMA), shortest=1).collect()}
 
 
 def test_short_and_long_lines_go_whole(spark):
@@ -26,9 +26,16 @@ def test_short_and_long_lines_go_whole(spark):
     assert all(got[i] == own[i].split() for i in (1, 2, 3))
 
 
+def test_shorter_lines_stay_by_default(spark):
+    r = random.Random(5)
+    line = {n: " ".join(word(r) for _ in range(n)) for n in (op.LEAST - 1, op.LEAST)}
+    got = {x["doc_id"]: x["text"].split() for x in op.dedup(spark.createDataFrame([(i, "\n".join(line.values())) for i in range(2)], SCHEMA)).collect()}
+    assert got[1] == line[op.LEAST - 1].split()
+
+
 def test_null_ids_and_equal_rows(spark):
     rows = [(None, "a b c\nd e"), (1, "a b c\nx"), (1, "a b c\nx"), (2, None), (3, "")]
-    got = sorted((str(r["doc_id"]), (r["text"] or "").split()) for r in op.dedup(spark.createDataFrame(rows, SCHEMA), whole=True).collect())
+    got = sorted((str(r["doc_id"]), (r["text"] or "").split()) for r in op.dedup(spark.createDataFrame(rows, SCHEMA), shortest=1).collect())
     assert got == [("1", ["x"]), ("1", ["x"]), ("2", []), ("3", []), ("None", ["a", "b", "c", "d", "e"])]
 
 
@@ -78,6 +85,6 @@ def test_stretches_against_all_windows(spark):
             j, q = first.setdefault(tuple(words[p : p + op.PASSAGE]), (i, p))
             if (j, q) != (i, p) and (j != i or p >= q + op.PASSAGE):
                 gone[i] |= set(range(p, p + op.PASSAGE))
-    found = op.whole_report(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], SCHEMA)).collect()
+    found = op.report(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], SCHEMA)).collect()
     spans = {int(f["key"]["id"]): {k for s in f["removed"] or () for k in range(s["a"], s["b"])} for f in found}
     assert all(gone[i] <= spans.get(i, set()) for i in gone) and sum(map(len, gone.values())) > 1000
