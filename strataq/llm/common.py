@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 
+import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +94,71 @@ def window_hashes(words: Column, width: int) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: grow(h, 1, width, None, 0))
 
 
+class _Powers:
+    """Powers of an odd number modulo 2**64, and those of its inverse: tables that grow when they are asked for more."""
+
+    def __init__(self, base: int) -> None:
+        self.base, self.n = base, 0
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > self.n:
+            self.n = max(n, 2 * self.n, 1 << 12)
+            self.table = [np.cumprod(np.array([1] + [b] * (self.n - 1), np.uint64)) for b in (self.base, pow(self.base, -1, 2**64))]
+        return self.table[0][:n], self.table[1][:n]
+
+
+_random = np.random.default_rng(20240601)
+_BYTE = _random.integers(0, 2**64 - 1, 256, np.uint64, endpoint=True)
+_INSIDE = np.array([not (x == 32 or 9 <= x <= 13) for x in range(256)])
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_IN_WORD, _IN_TEXT = _Powers(0xD1342543DE82EF95), (_Powers(0xAF251AF3B0F025B5), _Powers(0xC6BC279692B5CC83))
+#: Bytes of a text whose words are hashed together.
+_BLOCK = 1 << 20
+
+
+def hashed_words(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a text (without ASCII white space, A-Z lowered), and how many words each line with words has.
+
+    Sums of random values of the bytes times powers of an odd number, over whole arrays: no step a word.
+    """
+    raw = np.frombuffer(b" %b " % (text or "").encode().lower(), np.uint8)
+    inside = _INSIDE.take(raw)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # of a word's first byte, and of the one behind it
+    if not len(edges):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    first = edges[0::2]
+    parts, at = [], 0
+    while at < len(first):
+        low = first[at]
+        to = max(at + 1, int(np.searchsorted(first, low + _BLOCK)))
+        own = edges[2 * at : 2 * to] - low
+        power, inverse = _IN_WORD.upto(int(own[-1]) + 1)
+        sums = np.add.reduceat(_BYTE.take(raw[low : low + own[-1] + 1]) * power, own)[0::2]
+        parts.append(sums * inverse[own[0::2]])
+        at = to
+    h = parts[0] if len(parts) == 1 else np.concatenate(parts)
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    breaks = np.searchsorted(first, np.flatnonzero(raw == 10))
+    lines = np.diff(np.concatenate([[0], breaks, [len(first)]]))
+    return h ^ (h >> np.uint64(29)), lines[lines > 0]
+
+
+def hashed_ranges(h: np.ndarray, first: np.ndarray, stop: np.ndarray, kind: int = 0) -> np.ndarray:
+    """64-bit hashes of the ranges [first, stop) of words, whose hashes are h; two kinds, independent of each other."""
+    power, inverse = _IN_TEXT[kind].upto(len(h))
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum((h if not kind else (h ^ (h >> np.uint64(31))) * _MIX) * power, out=sums[1:])
+    own = (sums[stop] - sums[first]) * inverse[first]
+    own = (own ^ (own >> np.uint64(32))) * _MIX
+    return own ^ (own >> np.uint64(29))
+
+
+def hashed_windows(h: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hash of each window of ``width`` words (at least as many as there are)."""
+    first = np.arange(len(h) - width + 1)
+    return hashed_ranges(h, first, first + width)
+
+
 class HashMemo(dict):
     """64-bit hashes of words (str or bytes), remembered up to a bound."""
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, HashMemo, release, written
+from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, hashed_windows, hashed_words, release, written
 from .components import components
 from .linking import link, shared_keys
 
@@ -41,21 +41,10 @@ _MULTIPLIERS = np.random.default_rng(20240607).integers(0, 2**63, CHUNKS * LANES
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-_words = HashMemo()
-
-
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted 64-bit hashes of the different shingles: words without ASCII white space, A-Z lowered."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(words) - width + 1)
-    own = np.zeros(n, np.uint64)
-    for k in range(min(width, len(words))):
-        own = (own ^ h[k : k + n]) * _MIX
-        own ^= own >> np.uint64(29)
-    return np.unique(own)
+    h, _ = hashed_words(text)
+    return np.unique(hashed_windows(h, min(width, len(h)))) if len(h) else h
 
 
 def signature(own: np.ndarray) -> np.ndarray:
@@ -81,7 +70,7 @@ def fingerprints(docs: DataFrame, width: int, *, doc: str = "doc_id", text: str
             empty = np.array(sizes, np.int64) == 0
             table = np.array(found, np.int64).reshape(-1, CHUNKS)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), *[pa.array(table[:, c].copy(), mask=empty) for c in range(CHUNKS)]], names)
-        release(_words)
+        release()
 
     return docs.select(F.col(doc).cast("long"), F.xxhash64(text), F.col(text)).mapInArrow(run, schema)
 

@@ -27,13 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, HashMemo, drop_written, release, row_key, written
+from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, drop_written, hashed_ranges, hashed_windows, hashed_words, release, row_key, written
 from .linking import link, shared_keys
 from .near_dedup import shingles as shingles_of
+from .substring_exact import sliding_least
 
 #: Words up to which a line is never cut, half the stretch in which a cut is the least, words that a paragraph has at least.
 #: The lines that thousands of documents share have up to 16 words; from 17 on they are 2 % of the documents without a repeated passage.
@@ -45,7 +45,6 @@ _MULTIPLIERS = np.random.default_rng(20240611).integers(0, 2**63, 64, np.uint64)
 _MOST = np.uint64(2**64 - 1)
 #: Words of a passage that goes wherever it repeats, and of the runs in it of which one, chosen by content, brings equal passages together.
 PASSAGE, RUN = 51, 12
-_words = HashMemo()
 
 
 def tuned(similarity: float = SIMILARITY_PERCENT / 100, recall: float = RECALL, apart: float = APART, most: int = 64) -> tuple[int, int]:
@@ -83,43 +82,27 @@ def cut(words: np.ndarray, lines: np.ndarray, radius: int = RADIUS, long: int =
     return np.union1d(starts, own[inside])
 
 
-def split_words(text: str | None) -> tuple[list[bytes], np.ndarray]:
-    """Words in lower case, and how many each line with words has."""
-    words: list[bytes] = []
-    lines = []
-    for line in (text or "").encode().lower().split(b"\n"):
-        if own := line.split():
-            words += own
-            lines.append(len(own))
-    return words, np.array(lines, np.int64)
-
-
-def _grams(h: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each window of ``width`` words, of the words' hashes."""
-    out = np.zeros(len(h) - width + 1, np.uint64)
-    for k in range(width):
-        out = (out ^ h[k : k + len(out)]) * _MIX
-        out ^= out >> np.uint64(29)
-    return out
+def split_words(text: str | None) -> list[bytes]:
+    """Words in lower case, as ``hashed_words`` takes them."""
+    return (text or "").encode().lower().split()
 
 
 def _stretches(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Each run of ``RUN`` words that is the least (the first of equal ones) of some window of ``PASSAGE``: place p, hash, and the words from a to b of all windows whose least it is."""
-    own = _grams(h, RUN)
-    least, at = own.copy(), np.arange(len(own))
-    width, have = PASSAGE - RUN + 1, 1
-    while have < width:  # the least of 2, 4, ... runs, then of a window's
-        step = min(have, width - have)
-        n = len(least) - step
-        right = least[step:] < least[:n]
-        at = np.where(right, at[step:], at[:n])
-        least = np.where(right, least[step:], least[:n])
-        have += step
+    own = hashed_windows(h, RUN)
+    low = np.uint64(2**32 - 1)  # half of the hash tells which is the least, the other half is its place
+    at = (sliding_least((own & ~low) | np.arange(len(own), dtype=np.uint64), PASSAGE - RUN + 1) & low).astype(np.int64)
     first = np.flatnonzero(np.diff(at, prepend=-1))
     last = np.append(first[1:], len(at)) - 1
     return at[first], own[at[first]], first, last + PASSAGE
 
 
+def _binary(table: np.ndarray) -> pa.Array:
+    """Rows of two 64-bit numbers as values of 16 bytes."""
+    ends = np.arange(0, 16 * len(table) + 1, 16, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(table), [None, pa.py_buffer(ends), pa.py_buffer(table.tobytes())])
+
+
 def paragraphs(docs: DataFrame, *, text: str = "text", width: int = SHINGLE_WORDS, shortest: int = LEAST, passages: bool = True) -> DataFrame:
     """id, h (key of the row) and a, b (first word, and the one behind the last) of two kinds of rows.
 
@@ -145,7 +128,7 @@ def paragraphs(docs: DataFrame, *, text: str = "text", width: int = SHINGLE_WORD
         for batch in batches:
             who: list[tuple[int, int]] = []  # row, how many
             parts: list[list[np.ndarray]] = []  # i, a, b, k0, ...
-            reps: list[bytes] = []
+            reps: list[np.ndarray] = []  # 128 bits each
             whose: list[tuple[int, int]] = []
             places: list[list[np.ndarray]] = []  # p, a, b, x, y
 
@@ -160,7 +143,7 @@ def paragraphs(docs: DataFrame, *, text: str = "text", width: int = SHINGLE_WORD
                 if who:
                     ints = [np.concatenate(x) for x in zip(*parts)]
                     short = ints[2] - ints[1] < LEAST
-                    yield rows_of(who, {**{c: pa.array(v.astype(np.int32)) for c, v in zip(("i", "a", "b"), ints)}, "rep": pa.array(reps, pa.binary()), **{k: pa.array(v, mask=short) for k, v in zip(bands, ints[3:])}})
+                    yield rows_of(who, {**{c: pa.array(v.astype(np.int32)) for c, v in zip(("i", "a", "b"), ints)}, "rep": _binary(np.concatenate(reps)), **{k: pa.array(v, mask=short) for k, v in zip(bands, ints[3:])}})
                 if whose:
                     p, a, b, x, y = (np.concatenate(v) for v in zip(*places))
                     yield rows_of(whose, {**{c: pa.array(v.astype(np.int32)) for c, v in (("p", p), ("a", a), ("b", b))}, "x": pa.array(x), "y": pa.array(y)})
@@ -169,10 +152,9 @@ def paragraphs(docs: DataFrame, *, text: str = "text", width: int = SHINGLE_WORD
 
             total = 0
             for r, value in enumerate(batch.column(2)):
-                words, lines = split_words(value.as_py())
-                if len(words) < shortest:
+                h, lines = hashed_words(value.as_py())
+                if len(h) < shortest:
                     continue
-                h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
                 a = cut(h, lines)
                 b = np.append(a[1:], len(h))
                 keep = np.flatnonzero(b - a >= shortest)
@@ -180,14 +162,14 @@ def paragraphs(docs: DataFrame, *, text: str = "text", width: int = SHINGLE_WORD
                     a, b = a[keep], b[keep]
                     keys = np.zeros((BANDS, len(a)), np.int64)
                     if len(long := np.flatnonzero(b - a >= LEAST)):
-                        keys[:, long] = minima(_grams(h, width), a[long], b[long])
+                        keys[:, long] = minima(hashed_windows(h, width), a[long], b[long])
                     who.append((r, len(a)))
                     parts.append([keep, a, b, *keys])
-                    reps += [xxhash.xxh3_128_digest(h[s:e].tobytes()) for s, e in zip(a.tolist(), b.tolist())]
+                    reps.append(np.stack([hashed_ranges(h, a, b, kind) for kind in (0, 1)], axis=1))
                     total += len(a)
                 if passages and len(h) >= PASSAGE:
                     p, x, a, b = _stretches(h)
-                    y = np.frombuffer(b"".join(xxhash.xxh3_64_digest(h[s:e].tobytes()) for s, e in zip(a.tolist(), b.tolist())), "<i8")
+                    y = hashed_ranges(h, a, b, 1).view(np.int64)
                     whose.append((r, len(p)))
                     places.append([p, a, b, x.view(np.int64), y])
                     total += len(p)
@@ -195,7 +177,7 @@ def paragraphs(docs: DataFrame, *, text: str = "text", width: int = SHINGLE_WORD
                     yield from out()
                     total = 0
             yield from out()
-        release(_words)
+        release()
 
     return docs.select("id", "h", text).mapInArrow(run, schema)
 
@@ -209,7 +191,7 @@ def _texts(rows: DataFrame, needed: DataFrame) -> DataFrame:
         for batch in batches:
             reps, found = [], []
             for x, spots in zip(batch.column(0), batch.column(1)):
-                words = split_words(x.as_py())[0]
+                words = split_words(x.as_py())
                 for s in spots.as_py():
                     reps.append(s["rep"])
                     found.append(b" ".join(words[s["a"] : s["b"]]).decode())
@@ -226,8 +208,7 @@ def _windows(rows: DataFrame, stretches: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                words = split_words(batch.column(2)[r].as_py())[0]
-                own = _grams(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)), PASSAGE).view(np.int64)
+                own = hashed_windows(hashed_words(batch.column(2)[r].as_py())[0], PASSAGE).view(np.int64)
                 spots = batch.column(3)[r].values
                 x, a, b = (spots.field(k).to_numpy() for k in ("x", "a", "b"))
                 n = b - a - PASSAGE + 1
@@ -235,7 +216,7 @@ def _windows(rows: DataFrame, stretches: DataFrame) -> DataFrame:
                 at = pa.array(np.full(len(a), r))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(own[place]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(x), pa.array(a), lists], ["id", "h", "x", "a", "w"])
-        release(_words)
+        release()
 
     return both.mapInArrow(run, "id string, h long, x long, a int, w array<long>")
 

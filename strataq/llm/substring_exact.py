@@ -49,7 +49,8 @@ def _gram_hashes(raw: bytes) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours (at least as many as there are)."""
     n = len(x)
     blocks = -(-n // width)
     padded = np.full(blocks * width, np.uint64(2**64 - 1))
@@ -66,7 +67,7 @@ def runs_of(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, n
     for at in range(0, max(0, len(raw) - length + 1), SLICE):
         h = _gram_hashes(raw[at : at + SLICE + length - 1])
         tagged = (h & np.uint64(2**64 - 2**24)) | np.arange(len(h), dtype=np.uint64)
-        place = (_sliding_least(tagged, width) & np.uint64(2**24 - 1)).astype(np.int64)
+        place = (sliding_least(tagged, width) & np.uint64(2**24 - 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         parts.append((first + at, np.diff(np.append(first, len(place))), place[first] - first, h[place[first]].view(np.int64)))
     if not parts:

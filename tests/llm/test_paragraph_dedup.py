@@ -2,17 +2,15 @@
 
 import random
 
-import numpy as np
-
 from strataq.llm import paragraph_dedup as op
+from strataq.llm.common import hashed_words
 
 
 def units(text):
-    words, lines = op.split_words(text)
+    words = op.split_words(text)
     if not words:
         return []
-    h = np.fromiter(map(op._words.__getitem__, words), np.uint64, len(words))
-    a = op.cut(h, lines).tolist()
+    a = op.cut(*hashed_words(text)).tolist()
     return [(i, p, q, tuple(words[p:q])) for i, (p, q) in enumerate(zip(a, [*a[1:], len(words)])) if q - p >= op.LEAST]
 
 
@@ -20,7 +18,7 @@ def windows(rows):
     """(row, word) of all words in windows that stand somewhere before."""
     first, gone = {}, set()
     for i, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
-        words, _ = op.split_words(text)
+        words = op.split_words(text)
         for p in range(len(words) - op.PASSAGE + 1):
             j, q = first.setdefault(tuple(words[p : p + op.PASSAGE]), (i, p))
             if j != i or p >= q + op.PASSAGE:
