@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .cut import cut
 
 COLUMNS = ["page", "id", "x0", "y0", "x1", "y1"]
 CELL = 256
 
 
+# The detector's settings, and those of its catalogue.
 @dataclass(frozen=True)
 class Detector:
     """Settings of the detector, in pixels."""
@@ -237,16 +239,17 @@ def detail_candidates(components_: DataFrame, texts: DataFrame, pages: DataFrame
     """
     sized = components_.join(pages.select("page", "w", "h"), "page")
     geometry = sized.where((F.col("kind") == "geometry") & (g.area() < F.col("w") * F.col("h") * cfg.max_area_ratio)).withColumn("role", geometry_role(cfg))
-    roles = fallback_cores(geometry)
+    roles = cut(fallback_cores(geometry).select(*COLUMNS, "role"))  # tables that several steps read are computed once
     cores, small = roles.where("role = 'core'").select(*COLUMNS), roles.where("role = 'small'").select(*COLUMNS)
     first = merged(cores, touch_pairs(cores, cfg.geometry_touch))
     limit = F.col("w") * F.col("h") * cfg.max_area_ratio
     on_page = lambda df: df.join(pages.select("page", "w", "h"), "page")
     first = on_page(first).where((g.area() >= cfg.min_area * 0.5) & (g.area() <= limit)).select(*COLUMNS)
-    first = merged(first, absorb_pairs(first, cfg.absorb_margin, cfg.absorb_overlap)).select(*COLUMNS)
+    first = cut(first)
+    first = cut(merged(first, absorb_pairs(first, cfg.absorb_margin, cfg.absorb_overlap)).select(*COLUMNS))
     added = attach_small(first, small, cfg).join(small.withColumnRenamed("id", "small"), ["page", "small"]).select("page", F.col("core").alias("id"), "x0", "y0", "x1", "y1")
     grown = first.unionByName(added).groupBy("page", "id").agg(*g.union())
-    grown = on_page(grown).where(g.area() <= limit).select(*COLUMNS)
+    grown = cut(on_page(grown).where(g.area() <= limit).select(*COLUMNS))
     texts = texts.select(*COLUMNS, "text")
     sides = side_texts(grown, texts, min(cfg.side_search, cfg.side_limit), min(cfg.vertical_slack, cfg.side_slack_limit), cfg.texts_a_side).select("page", "core", "text_id")
     taken = attach_text(grown, texts, cfg).unionByName(sides).distinct().join(texts.withColumnRenamed("id", "text_id"), ["page", "text_id"])
@@ -257,3 +260,18 @@ def detail_candidates(components_: DataFrame, texts: DataFrame, pages: DataFrame
     final = on_page(final.join(grown.select("page", "id", g.struct(*g.box()).alias("core")), ["page", "id"])).withColumn("b", g.expanded(cfg.output_margin, F.col("w"), F.col("h")))
     final = final.select("page", "id", "b.*", "core", "text_ids", "w", "h").where((g.width() >= cfg.min_width) & (g.height() >= cfg.min_height) & (g.area() >= cfg.min_area) & (g.area() <= limit)).drop("w", "h")
     return suppressed(final, cfg.dedupe_overlap)
+
+
+def detect_details(components_: DataFrame, native: DataFrame, recognised: DataFrame, pages: DataFrame, cfg: Detector = DEFAULT) -> DataFrame:
+    """Candidates of details from measured components and two sources of texts, all pages at once.
+
+    components_: boxes with pixel_area and text_pixels. native, recognised: boxes with text; each page takes one source.
+    pages: page, w, h; pages without a size, and those without geometry, give no candidate and don't disturb the others.
+    """
+    from .extraction import text_source
+
+    sized = pages.where("w > 0 and h > 0")
+    measured = component_ratios(components_).join(sized.select("page", "w", "h"), "page").where(g.area() <= F.col("w") * F.col("h") * cfg.max_component_area_ratio).drop("w", "h")
+    large = lambda df: df.where((g.width() >= cfg.min_text_width) & (g.height() >= cfg.min_text_height)).select(*COLUMNS, "text")
+    texts = unique_texts(text_source(large(native), large(recognised)).select(*COLUMNS, "text"))
+    return detail_candidates(measured.withColumn("kind", component_kind(cfg)), texts, sized, cfg)

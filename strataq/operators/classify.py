@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .dictionary import effective_synonyms
 
 THRESHOLD, MULTI_WORD, FUZZY, PRIORITY, SPLIT = 0.5, 1.3, 0.7, 100.0, 40.0
 HIGH, LOW = 2, 1
@@ -21,7 +22,9 @@ def phrases_of(synonyms: DataFrame, negatives: DataFrame | None = None, order: s
     phrase = tx.search_form("Phrase")
     weight = F.nanvl(col("weight", F.lit(1.0)).cast("double"), F.lit(0.0))
     boost = weight * F.when(F.contains(phrase, F.lit(" ")), MULTI_WORD).otherwise(1.0) * F.when(F.lower(col("matchtype", F.lit(""))) == "fuzzy", FUZZY).otherwise(1.0)
-    out = synonyms.where(col("active", F.lit(True)).cast("boolean")).select(F.col("ElementCode").cast("string").alias("code"), phrase.alias("phrase"), boost.alias("contribution"), F.lit(True).alias("positive"), F.struct(F.lit(0).alias("part"), F.col(order).cast("long").alias("o")).alias("ord"))
+    # synonyms made from elements are ordered by row and then column
+    place = F.col(f"{order}.o1").cast("long") * 10 + F.col(f"{order}.o2") if synonyms.schema[order].dataType.typeName() == "struct" else F.col(order).cast("long")
+    out = synonyms.where(col("active", F.lit(True)).cast("boolean")).select(F.col("ElementCode").cast("string").alias("code"), phrase.alias("phrase"), boost.alias("contribution"), F.lit(True).alias("positive"), F.struct(F.lit(0).alias("part"), place.alias("o")).alias("ord"))
     if negatives is not None:
         penalty = F.coalesce(F.nanvl(F.col("Penalty").cast("double"), F.lit(0.0)), F.lit(0.0))
         out = out.unionByName(negatives.select(F.col("ElementCode").cast("string").alias("code"), tx.search_form("Phrase").alias("phrase"), (-penalty).alias("contribution"), F.lit(False).alias("positive"), F.struct(F.lit(1).alias("part"), F.col(order).cast("long").alias("o")).alias("ord")))
@@ -38,7 +41,11 @@ def contains_join(texts: DataFrame, phrases: DataFrame, broadcast_phrases: int =
         return texts.join(F.broadcast(phrases), F.contains("search_text", "phrase"))
     short, long = phrases.where(F.length("phrase") < 3), phrases.where(F.length("phrase") >= 3)  # short ones: bounded by the alphabet
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, F.lit(3))))
-    keyed = long.withColumn("gram", F.array_min(F.transform(grams("phrase"), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
+    # each phrase is dealt by its trigram that the fewest phrases have
+    each = long.select("phrase").distinct().withColumn("gram", F.explode(grams("phrase")))
+    rare = each.groupBy("gram").agg(F.count("*").alias("n"))
+    own = each.join(rare, "gram").groupBy("phrase").agg(F.min(F.struct("n", "gram")).alias("own")).select("phrase", F.col("own.gram").alias("gram"))
+    keyed = long.join(own, "phrase")
     dealt = texts.where(F.length("search_text") >= 3).withColumn("gram", F.explode(grams("search_text")))
     met = dealt.join(keyed, "gram").where(F.contains("search_text", "phrase")).drop("gram")
     return met.unionByName(texts.join(F.broadcast(short), F.contains("search_text", "phrase")))
@@ -77,12 +84,12 @@ def ranked(weights: DataFrame, row_id: str = "crop_id", threshold: float = THRES
 
 
 def classify(texts: DataFrame, synonyms: DataFrame, negatives: DataFrame | None = None, elements: DataFrame | None = None, *, row_id: str = "crop_id", text: str = "raw_text", threshold: float = THRESHOLD, **limits: int) -> DataFrame:
-    """A row a text: code, elements, confidence, keywords, tags, search text, status."""
-    weights = weighted(scores(hits(texts, phrases_of(synonyms, negatives), row_id, text, **limits), row_id), elements)
-    total = weights.groupBy(row_id).agg(F.sum(F.greatest("weighted", F.lit(0.0))).alias("total"))
-    top = ranked(weights, row_id, threshold).groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("place", "code", "weighted", "phrases"))).alias("top"))
+    """A row a text: code, elements, confidence, keywords, tags, search text, status. Without synonyms those made from the elements are taken."""
+    found = hits(texts, phrases_of(effective_synonyms(synonyms, elements), negatives), row_id, text, **limits)
+    weights = weighted(scores(found, row_id), elements).withColumn("total", F.sum(F.greatest("weighted", F.lit(0.0))).over(Window.partitionBy(row_id)))
+    top = ranked(weights, row_id, threshold).groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("place", "code", "weighted", "phrases"))).alias("top"), F.first("total").alias("total"))
     normal = tx.normalize_text(text)
-    joined = texts.join(top, row_id, "left").join(total, row_id, "left")
+    joined = texts.join(top, row_id, "left")
     n = F.size(F.coalesce("top", F.array()))
     codes = F.coalesce(F.transform("top", lambda t: t["code"]), F.array().cast("array<string>"))
     keywords = F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("top", lambda t: t["phrases"])))), F.array().cast("array<string>"))
@@ -98,3 +105,15 @@ def classify(texts: DataFrame, synonyms: DataFrame, negatives: DataFrame | None
         "status": F.when(F.size("detected_elements") > 0, "matched").otherwise("unmatched"),
         "matched_dictionary_key": F.coalesce(F.get("detected_elements", F.lit(0)), F.lit("")),
     })
+
+
+def text_element_matches(classified: DataFrame, row_id: str = "crop_id") -> DataFrame:
+    """The short report: a row a text with its code, the dictionary's key, score and normalised text."""
+    return classified.select(F.col(row_id).cast("string").alias("crop_id"), "classification_code", "matched_dictionary_key", "match_score", "normalized_text")
+
+
+def classification_report(classified: DataFrame, source_file: str, row_id: str = "crop_id") -> DataFrame:
+    """The long report. A plan of columns has no failing rows of its own, so that error_message is empty; a failing read fails as a whole."""
+    return classified.select(
+        F.lit(source_file).alias("source_file"), F.col(row_id).cast("string").alias("extracted_text_file"), "normalized_text", "matched_dictionary_key", "classification_code", "match_score", "confidence", "status", F.lit("").alias("error_message")
+    )

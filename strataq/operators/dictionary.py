@@ -64,6 +64,13 @@ def synonyms_from_elements(elements: DataFrame, order: str = "row_ord") -> DataF
     return each.select("ElementCode", "Phrase", "Weight", F.lit("exact").alias("MatchType"), F.lit(True).alias("Active"), F.col("o.o").alias("o1"), F.col("o.column").alias("o2"))
 
 
+def effective_synonyms(synonyms: DataFrame, elements: DataFrame | None, order: str = "row_ord") -> DataFrame:
+    """The synonyms; where there are none, those made from the elements' names."""
+    if elements is None or not synonyms.isEmpty():
+        return synonyms
+    return synonyms_from_elements(elements, order).withColumn(order, F.struct("o1", "o2"))
+
+
 def reference_terms(elements: DataFrame, synonyms: DataFrame, order: str = "row_ord") -> DataFrame:
     """code, term, term_ord: titles by row and column, then synonyms."""
     parts = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,29 +17,39 @@ GENERIC_PENALTY, ANCHOR_FACTOR, CONTEXT_FACTOR = 15.0, 0.15, 0.25
 NO_MATERIAL = ["", "none", "mixed", "unknown"]
 FINAL_SCORE, STRONG_SCORE, SIDE_MIN, SIDE_APART, GROUP_LIMIT = 100.0, 95.0, 30.0, 20.0, 1
 FUZZY_ACCEPT = 90.0
-#: Reference terms or entries up to which they are broadcast against all queries.
+#: Reference terms or entries that are broadcast at once against all queries.
 BROADCAST_TERMS = 20_000
 
 
-def _small(df: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
-    """df to broadcast; an error, not a slow join, if it has outgrown that: similarity has no key to join by."""
-    if df.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} entries: split the dictionary or raise the limit")
-    return F.broadcast(df)
+def against(queries: DataFrame, entries: DataFrame, condition: Column | None = None, at_once: int = BROADCAST_TERMS) -> DataFrame:
+    """queries beside all entries (for which the condition holds): similarity has no key to join by.
+
+    Entries are counted and broadcast in blocks of about ``at_once``, each by one pass over the different queries, so that a
+    dictionary may have any size and no pair is shuffled before it is scored.
+    """
+    blocks = -(-entries.count() // at_once)
+
+    def beside(block: DataFrame) -> DataFrame:
+        return queries.join(F.broadcast(block), condition) if condition is not None else queries.join(F.broadcast(block))
+
+    if blocks <= 1:
+        return beside(entries)
+    dealt = entries.withColumn("_block", F.pmod(F.xxhash64(*entries.columns), F.lit(blocks)))
+    return reduce(DataFrame.unionByName, [beside(dealt.where(F.col("_block") == k).drop("_block")) for k in range(blocks)])
 
 
 # --- suggestions ---------------------------------------------------------------------------------
 
 
-def suggest_substring(candidates: DataFrame, terms: DataFrame, phrase: str = "Phrase") -> DataFrame:
+def suggest_substring(candidates: DataFrame, terms: DataFrame, phrase: str = "Phrase", at_once: int = BROADCAST_TERMS) -> DataFrame:
     """candidate (in folded form), code: of the first term that contains the candidate or is contained in it."""
     own = candidates.select(tx.ascii_fold(tx.normalize_text(phrase)).alias("candidate")).distinct()
     refs = terms.select("code", tx.ascii_fold(tx.normalize_text("term")).alias("t"), "term_ord").where("t != ''")
-    met = own.join(_small(refs), F.contains("t", "candidate") | F.contains("candidate", "t"))
+    met = against(own, refs, F.contains("t", "candidate") | F.contains("candidate", "t"), at_once)
     return met.groupBy("candidate").agg(F.min_by("code", "term_ord").alias("code"))
 
 
-def suggest_codes(candidates: DataFrame, terms: DataFrame, phrase: str = "Phrase", scorer: str = "token_set", accept: float = FUZZY_ACCEPT) -> DataFrame:
+def suggest_codes(candidates: DataFrame, terms: DataFrame, phrase: str = "Phrase", scorer: str = "token_set", accept: float = FUZZY_ACCEPT, at_once: int = BROADCAST_TERMS) -> DataFrame:
     """candidates with SuggestedElementCode, SuggestedBy, Confidence: by substring, else by the best similarity if it is accepted.
 
     Only candidates without a substring hit are scored, each different text once.
@@ -45,10 +57,10 @@ def suggest_codes(candidates: DataFrame, terms: DataFrame, phrase: str = "Phrase
     keyed = candidates.withColumn("candidate", tx.ascii_fold(tx.normalize_text(phrase)))
     general = (F.size(F.split("candidate", " ")) == 1) & F.col("candidate").isin(tx.GENERIC_WORDS)
     different = keyed.where(~general).select("candidate").distinct()
-    first = suggest_substring(different.withColumnRenamed("candidate", phrase), terms, phrase)
+    first = suggest_substring(different.withColumnRenamed("candidate", phrase), terms, phrase, at_once)
     refs = terms.select("code", tx.ascii_fold(tx.normalize_text("term")).alias("t"), "term_ord").where("t != ''")
-    rest = different.join(first, "candidate", "left_anti").join(_small(refs))
-    scored = rest.withColumn("score", make_scorer(scorer)("candidate", "t"))
+    scored = against(different.join(first, "candidate", "left_anti"), refs, at_once=at_once)
+    scored = scored.withColumn("score", make_scorer(scorer)("candidate", "t"))
     # the highest score, of equal ones the first term
     best = scored.groupBy("candidate").agg(F.max(F.struct("score", (-F.col("term_ord.part")).alias("p"), (-F.col("term_ord.o")).alias("o"), (-F.col("term_ord.column")).alias("c"), "code")).alias("best")).where(F.col("best.score") >= accept)
     found = first.select("candidate", "code", F.lit("substring").alias("by"), F.lit(1.0).alias("confidence")).unionByName(best.select("candidate", F.col("best.code").alias("code"), F.lit("fuzzy").alias("by"), F.round(F.col("best.score") / 100, 3).alias("confidence")))
@@ -77,13 +89,13 @@ def final_score(score: Column, pass_no: Column, kind: Column, strong: Column, an
     return F.round(score + bonus - penalty + F.when(strong, anchor_weight * ANCHOR_FACTOR).otherwise(0.0), 1)
 
 
-def top_matches(queries: DataFrame, entries: DataFrame, *, query: str = "query", limit: int = LIMIT, least: float = MIN_SCORE, scorer: str = "weighted") -> DataFrame:
+def top_matches(queries: DataFrame, entries: DataFrame, *, query: str = "query", limit: int = LIMIT, least: float = MIN_SCORE, scorer: str = "weighted", at_once: int = BROADCAST_TERMS) -> DataFrame:
     """The ``limit`` entries most like each different query, then only those of enough score: query, score, the entry's columns.
 
     Scores, then ranks natively: the rank limit is applied in each task before the shuffle.
     """
     different = queries.select(query).distinct()
-    scored = different.join(_small(entries)).withColumn("raw", make_scorer(scorer)(tx.matcher_form(query), F.col("value")))
+    scored = against(different, entries, at_once=at_once).withColumn("raw", make_scorer(scorer)(tx.matcher_form(query), F.col("value")))
     first = Window.partitionBy(query).orderBy(F.desc("raw"), "entry_ord")
     best = scored.withColumn("k", F.row_number().over(first)).where(F.col("k") <= limit)
     return best.withColumn("score", F.round("raw", 1)).where(F.col("score") >= least).drop("raw", "k")

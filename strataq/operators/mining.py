@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .cut import cut
 
 LINE_PREFIX, EXAMPLE_IDS, EXAMPLE_LINES = 160, 5, 3
 
@@ -29,7 +30,7 @@ def core_phrases(df: DataFrame, *keys: str, text: str = "raw_text") -> DataFrame
 
     def grams_of(p):
         whole = F.when((F.size(p) >= 2) & (F.size(p) <= 6), F.array(p)).otherwise(F.array().cast("array<array<struct<t:string,f:string>>>"))
-        return F.filter(F.concat(whole, tx.ngrams(p, 2, 4)), lambda g: tx.valid_ngram(g["t"], F.array_join(g["f"], " ")))
+        return F.filter(F.concat(whole, tx.ngrams(p, 2, 4)), lambda g: tx.valid_ngram(g["t"], folded=F.array_join(g["f"], " ")))
 
     grams = each.select(*keys, "line_no", "line", F.explode(F.transform(tx.let(pairs, grams_of), lambda g: F.array_join(g["t"], " "))).alias("phrase"))
     out = grams
@@ -42,6 +43,7 @@ def phrase_rollup(phrases: DataFrame, row_id: str = "crop_id", row_order: str =
 
     What a phrase gathers is bounded: ids and lines are made distinct by aggregation and ranked, so a phrase of a third of all rows is no group in memory.
     """
+    phrases = cut(phrases.select("normalized_phrase", "phrase", "occurrence_count", "source_line", row_id, row_order))  # four aggregations read it
     seen = F.struct(F.col(row_order), (-F.col("occurrence_count")).alias("c"), F.col("phrase"))
     source = F.btrim(F.coalesce(F.col(row_id).cast("string"), F.lit("")))
     rows = phrases.select("normalized_phrase", "phrase", "occurrence_count", "source_line", seen.alias("seen"), source.alias("source"))
@@ -69,6 +71,16 @@ def synonym_candidates(df: DataFrame, terms: DataFrame, *, row_id: str = "crop_i
     return out.withColumns({"Decision": F.lit("pending"), "Notes": F.lit("")}).orderBy(F.desc("SourceCount"), F.desc("OccurrenceCount"), "Phrase")
 
 
+def analyze_text(texts: DataFrame, sheets: dict[str, DataFrame], *, row_id: str = "crop_id", text: str = "raw_text") -> tuple[dict[str, DataFrame], DataFrame]:
+    """A dictionary's sheets with FrequencyAnalysis of the texts and with synonyms (made from the elements where there are none), and the texts' classification."""
+    from . import classify, dictionary
+
+    elements = sheets["Elements"]
+    out = dict(sheets) | {"Synonyms": dictionary.effective_synonyms(sheets["Synonyms"], elements), "FrequencyAnalysis": ngram_frequency(texts, text)}
+    negatives = sheets.get("NegativeSynonyms")
+    return out, classify.classify(texts, out["Synonyms"], negatives, elements, row_id=row_id, text=text)
+
+
 def token_windows(df: DataFrame, *keys: str, tokens: str = "tokens", radius: int = 1) -> DataFrame:
     """keys, token_index (from 0), token, window: each token with its neighbours, clamped at the ends."""
     each = df.select(*keys, tokens, F.posexplode(tokens).alias("token_index", "token"))

@@ -68,9 +68,7 @@ def classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def classify_fallback(spark: SparkSession, d: str) -> DataFrame:
-    elements = frame(spark, "ELEMENTS")
-    synonyms = dc.synonyms_from_elements(elements).withColumn("row_ord", F.col("o1") * 10 + F.col("o2"))
-    return _shown(cl.classify(parts(spark, d), synonyms, None, elements))
+    return _shown(cl.classify(parts(spark, d), frame(spark, "SYNONYMS").limit(0), None, frame(spark, "ELEMENTS")))
 
 
 def classify_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -241,24 +239,11 @@ def absorb_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def box_components(spark: SparkSession, d: str) -> DataFrame:
-    own = boxes(spark, d).where("l_linenumber <= 2")
-    return bx.components(own, bx.touch_pairs(own, 6)).select("page", "id", "component")
-
-
-def absorb_boxes(spark: SparkSession, d: str) -> DataFrame:
-    own = boxes(spark, d).where("l_linenumber <= 2")
-    out = bx.merged(own, bx.absorb_pairs(own, 8, 0.25))
-    return out.select("page", "id", *[F.col(s).cast("long").alias(s) for s in g.SIDES])
-
-
-def box_components_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of all boxes; box_components is held to its SQL, whose closure is over the first two lines of an order."""
     own = boxes(spark, d)
     return bx.components(own, bx.touch_pairs(own, 6)).select("page", "id", "component")
 
 
-def absorb_boxes_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of all boxes, as box_components_all."""
+def absorb_boxes(spark: SparkSession, d: str) -> DataFrame:
     own = boxes(spark, d)
     out = bx.merged(own, bx.absorb_pairs(own, 8, 0.25))
     return out.select("page", "id", *[F.col(s).cast("long").alias(s) for s in g.SIDES])
@@ -359,12 +344,29 @@ def synonym_candidates(spark: SparkSession, d: str) -> DataFrame:
     return mn.synonym_candidates(parts(spark, d), terms)
 
 
+def analyze_text(spark: SparkSession, d: str) -> DataFrame:
+    """The frequency sheet that the analysis adds to a dictionary without synonyms."""
+    sheets = {"Elements": frame(spark, "ELEMENTS"), "Synonyms": frame(spark, "SYNONYMS").limit(0)}
+    return mn.analyze_text(parts(spark, d), sheets)[0]["FrequencyAnalysis"].select(F.col("Phrase").alias("phrase"), F.col("Count").alias("n"))
+
+
+def detect_details(spark: SparkSession, d: str) -> DataFrame:
+    """From pixel counts and two sources of texts: line 1 and 2 of an order are components, line 3 native texts, others recognised ones."""
+    own = boxes(spark, d)
+    first = F.when(F.col("l_linenumber") == 1, 120).otherwise(0)
+    comps = own.where("l_linenumber <= 2").withColumns({"x1": F.col("x1") + first, "y1": F.col("y1") + first}).withColumn("pixel_area", F.floor(g.area() / 5)).withColumn("text_pixels", F.lit(0))
+    texts = own.withColumn("text", F.col("id").cast("string"))
+    pages = own.select("page").distinct().withColumns({"w": F.lit(PAGE_WIDTH), "h": F.lit(PAGE_HEIGHT)})
+    out = bx.detect_details(comps, texts.where("l_linenumber = 3"), texts.where("l_linenumber > 3"), pages, bx.CATALOGUE)
+    return out.select("page", "id", *g.SIDES, F.array_join(F.col("text_ids").cast("array<string>"), ",").alias("text_ids"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         normalize_text, ascii_fold, strip_tail, noise_filter, tokenize, safe_filename, line_kind, classify, classify_fallback, classify_scores, classify_large_dictionary, ngram_frequency, core_phrases, phrase_rollup, token_window, line_segments,
         unpivot_elements, context_keywords, reference_terms, synonyms_from_elements, suggest_substring, suggest_fuzzy, import_accepted, canonical_maps, material_conflict, numbers, area_type, clip_sanitize, extraction_report, export_metadata,
-        box_metrics, component_kind, geometry_role, fallback_cores, touch_pairs, absorb_pairs, box_components, absorb_boxes, box_components_all, absorb_boxes_all, attach_small, attach_text, side_knn, percentile_split, unique_texts, greedy_dedupe, detail_candidates,
-        dedupe_elements, infer_context, context_boost, final_candidates, fuzzy_topk, fuzzy_match, synonym_candidates,
+        box_metrics, component_kind, geometry_role, fallback_cores, touch_pairs, absorb_pairs, box_components, absorb_boxes, attach_small, attach_text, side_knn, percentile_split, unique_texts, greedy_dedupe, detail_candidates,
+        dedupe_elements, infer_context, context_boost, final_candidates, fuzzy_topk, fuzzy_match, synonym_candidates, analyze_text, detect_details,
     )
 }

@@ -31,7 +31,7 @@ def _list(words) -> str:
 def strip(x: str) -> str:
     word = lambda p: p.replace(r"\w", r"[\p{L}\p{M}\p{N}_]")
     t = f"regexp_replace({norm(x)}, '[,;:]+', ' ', 'g')"
-    t = rf"regexp_replace({t}, '\b(?:{'|'.join(tx.DIMENSIONS)})\b', ' ', 'gi')"
+    t = rf"regexp_replace({t}, '{tx.DIMENSIONS}', ' ', 'gi')"
     for tail in tx.TAILS:
         t = rf"regexp_replace({t}, '\b{word(tail)}\b.*$', '', 'gi')"
     t = rf"regexp_replace({t}, '{_BLANK}', ' ', 'g')"
@@ -238,9 +238,6 @@ _TOUCHING = f"tp AS (SELECT a.page, a.id AS a, b.id AS b FROM own a JOIN own b O
 _ABSORBED = f"tp AS (SELECT a.page, a.id AS a, b.id AS b FROM own a JOIN own b ON a.page = b.page AND a.id < b.id AND ({_within(8, 'a', 'b')} OR {_within(8, 'b', 'a')} OR {_shared('a', 'b')} / greatest(1, least({_area('a')}, {_area('b')})) >= 0.25))"
 SQL["touch_pairs"] = f"{_B}, own AS (SELECT * FROM boxes), {_TOUCHING} SELECT page, a, b FROM tp"
 SQL["absorb_pairs"] = f"{_B}, own AS (SELECT * FROM boxes), {_ABSORBED} SELECT page, a, b FROM tp"
-_COMPONENTS = "tb AS (SELECT a, b FROM tp UNION SELECT b, a FROM tp), rc AS (SELECT DISTINCT a AS node, a AS least FROM tb UNION SELECT tb.b, rc.least FROM rc JOIN tb ON tb.a = rc.node WHERE rc.least < tb.b), cm AS (SELECT own.*, coalesce(m.least, id) AS component FROM own LEFT JOIN (SELECT node, min(least) AS least FROM rc GROUP BY 1) m ON m.node = own.id)"
-SQL["box_components"] = f"{_B}, own AS (SELECT * FROM boxes WHERE l_linenumber <= 2), {_TOUCHING}, {_COMPONENTS} SELECT page, id, component FROM cm"
-SQL["absorb_boxes"] = f"{_B}, own AS (SELECT * FROM boxes WHERE l_linenumber <= 2), {_ABSORBED}, {_COMPONENTS} SELECT page, component AS id, min(x0)::BIGINT AS x0, min(y0)::BIGINT AS y0, max(x1)::BIGINT AS x1, max(y1)::BIGINT AS y1 FROM cm GROUP BY page, component"
 _LEVEL = lambda s: f"((b.y0 + b.y1) / 2 >= a.y0 - {s} AND (b.y0 + b.y1) / 2 <= a.y1 + {s})"
 _CORES = "a AS (SELECT * FROM boxes WHERE l_linenumber = 1), b AS (SELECT * FROM boxes WHERE l_linenumber > 1)"
 SQL["attach_small"] = f"{_B}, {_CORES} SELECT a.page, a.id AS core, b.id AS small FROM a JOIN b ON a.page = b.page AND ({_within(8, 'a', 'b')} OR {_shared('a', 'b')} / greatest(1, {_area('b')}) >= 0.25 OR {_touch(12)} OR ({_LEVEL(120)} AND ((b.x1 <= a.x0 AND a.x0 - b.x1 <= 360) OR (b.x0 >= a.x1 AND b.x0 - a.x1 <= 360))))"

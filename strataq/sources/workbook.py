@@ -62,7 +62,8 @@ def save(spark: SparkSession, folder: str, sheets: dict[str, DataFrame]) -> str:
     staged = f"{folder}/.staged-{uuid.uuid4().hex}"
     for sheet, df in sheets.items():
         df.write.parquet(f"{staged}/{sheet}")
-    name = f"v{len(versions(spark, folder)) + 1:06d}"
+    known = versions(spark, folder)
+    name = f"v{int(known[-1][1:]) + 1 if known else 1:06d}"  # old versions may have been deleted
     fs, at = _fs(spark, staged)
     if not fs.rename(at, _fs(spark, f"{folder}/{name}")[1]):
         raise DictionaryError(f"{name} was written meanwhile")

@@ -19,7 +19,7 @@ def phrase_counts(stream: DataFrame, text: str = "raw_text", time: str | None =
     keep = [time] if time else []
     rows = each.select(*keep, F.explode(tx.lines(text)).alias("line")).withColumn("core", tx.strip_context_tail("line"))
     rows = rows.where(~tx.is_noise("core")).withColumn("tokens", tx.tokenize_phrase("core")).where(F.size("tokens") >= 2)
-    grams = rows.select(*keep, F.explode(F.filter(tx.ngrams(F.col("tokens"), 2, 4), tx.valid_ngram)).alias("gram")).select(*keep, F.array_join("gram", " ").alias("phrase"))
+    grams = rows.select(*keep, F.explode(F.filter(tx.ngrams(F.col("tokens"), 2, 4), lambda g: tx.valid_ngram(g))).alias("gram")).select(*keep, F.array_join("gram", " ").alias("phrase"))
     by = [F.window(time, window), "phrase"] if time else ["phrase"]
     return grams.groupBy(*by).agg(F.count("*").alias("count"))
 

@@ -50,7 +50,7 @@ def brute(rows, linked):
 
 def test_components_of_all_boxes(spark, rows):
     found = brute(rows, touch)
-    got = [tuple(r) for r in entry.queries()["box_components_all"](spark, SF).collect()]
+    got = [tuple(r) for r in entry.queries()["box_components"](spark, SF).collect()]
     assert len(got) == len(rows) == spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert sorted(got) == sorted((b[0], b[1], found[b[1]]) for b in rows)
 
@@ -60,4 +60,4 @@ def test_merged_of_all_boxes(spark, rows):
     for b in rows:
         groups[b[0], found[b[1]]].append(b)
     want = [(*k, min(b[2] for b in m), min(b[3] for b in m), max(b[4] for b in m), max(b[5] for b in m)) for k, m in groups.items()]
-    assert sorted(tuple(r) for r in entry.queries()["absorb_boxes_all"](spark, SF).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in entry.queries()["absorb_boxes"](spark, SF).collect()) == sorted(want)
