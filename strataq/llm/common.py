@@ -51,6 +51,17 @@ def drop_written(*tables: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def ref(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(docs: DataFrame, *made: str) -> list[Column]:
+    """The columns of docs but those that have the name, in any case, of one that is made."""
+    names = {m.lower() for m in made}
+    return [ref(c) for c in docs.columns if c.lower() not in names]
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, everything else as it is. Texts without other letters take the quick way."""
     slow = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -7,8 +7,8 @@ by hash, each hit is verified on the words, and spans or documents go.
 
 Cases: null or wordless texts have no windows and no hits; an item shorter than
 ``width`` words is one window, compared with windows of its own length; items
-and rows may repeat, a doc_id may repeat or be null; an empty benchmark hits nothing; other columns are kept by
-``decontaminate``.
+and rows may repeat, a doc_id may repeat or be null; an empty benchmark hits nothing; other columns, whatever
+their names, are kept by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, row_key, window_hashes
+from .common import let, lower_ascii, others, ref, row_key, window_hashes
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 10
@@ -94,14 +94,15 @@ def hit_words(hits: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, *, doc: str = "doc_id", text: str = "text", remove: str = "documents") -> DataFrame:
     """docs without contaminated documents, or (``remove="spans"``) without the words hit; the words left are joined by one blank in texts with hits, other texts stay as they are."""
-    keys = report(docs, benchmark, width, doc=doc, text=text).where("n_hit > 0").groupBy(F.col("key").alias("_row_key")).agg(F.first("hits").alias("hits"))
-    tagged = docs.withColumn("_row_key", row_key(doc, text))
-    if remove == "documents":
-        return tagged.join(keys.select("_row_key"), "_row_key", "left_anti").select(*docs.columns)
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError("remove: documents or spans")
+    found = report(docs, benchmark, width, doc=doc, text=text).where("n_hit > 0").groupBy("key").agg(F.first("hits").alias("hits"))
+    tagged = docs.select(F.struct(*others(docs)).alias("row"), ref(text).alias("text"), row_key(doc, text).alias("key"))
+    if remove == "documents":
+        return tagged.join(found.select("key"), "key", "left_anti").select("row.*")
     gone = F.flatten(F.transform("hits", lambda h: F.sequence(h["i"], h["i"] + h["n"] - 1)))
-    spans = keys.select("_row_key", F.array_distinct(gone).alias("_gone"))
-    both = tagged.join(spans, "_row_key", "left")
-    left = let(words_of(F.col(text)), lambda w: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0).cast("long"), F.size(w).cast("long") - 1), F.col("_gone")), lambda i: F.get(w, i.cast("int"))), " "))
-    return both.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left)).select(*docs.columns)
+    both = tagged.join(found.select("key", F.array_distinct(gone).alias("gone")), "key", "left")
+    left = let(words_of(F.col("text")), lambda w: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0).cast("long"), F.size(w).cast("long") - 1), F.col("gone")), lambda i: F.get(w, i.cast("int"))), " "))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
+    both = both.select("row", kept.alias("text"))
+    return both.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -9,7 +9,8 @@ covered positions of a document are merged.
 Cases: texts of fewer than three lines, empty and null texts have no window and
 stay; windows whose lines are all blank don't count; a null doc_id sorts first;
 rows equal in doc_id and text count as one occurrence and are treated alike;
-an empty table gives an empty table; other columns pass through.
+an empty table gives an empty table; other columns pass through, but
+``n_lines`` and ``n_removed`` are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, row_key
+from .common import let, others, ref, row_key
 
 LINES = 3
 
@@ -48,19 +49,20 @@ def later(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", lines: in
 
 def dedup(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", lines: int = LINES) -> DataFrame:
     """docs with the lines left in ``text``, plus n_lines and n_removed (long)."""
-    tagged = docs.withColumn("_row_key", row_key(doc, text))
-    gone = later(docs, doc=doc, text=text, lines=lines).select(F.col("row_key").alias("_row_key"), F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + (lines - 1))))).alias("_gone"))
-    both = tagged.join(gone, "_row_key", "left")
+    tagged = docs.select(F.struct(*others(docs, text, "n_lines", "n_removed")).alias("row"), ref(text).alias("text"), row_key(doc, text).alias("key"))
+    gone = later(docs, doc=doc, text=text, lines=lines).select(F.col("row_key").alias("key"), F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + (lines - 1))))).alias("gone"))
+    both = tagged.join(gone, "key", "left")
     left = let(
-        F.split(F.col(text), "\n"),
+        F.split("text", "\n"),
         lambda x: let(
-            F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")),
+            F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")),
             lambda own: F.array_join(F.transform(own, lambda i: F.get(x, i)), "\n"),
         ),
     )
-    return both.select(
-        *[c for c in docs.columns if c not in (text, "n_lines", "n_removed")],
-        F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left).alias(text),
-        F.coalesce(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+    out = both.select(
+        "row",
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
+        F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
+    return out.select("row.*", F.col("text").alias(text), "n_lines", "n_removed")

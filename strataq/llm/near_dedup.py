@@ -15,7 +15,8 @@ a key are held against each other without being all emitted.
 Cases: documents without words or text have an empty set and are linked with
 nothing; with fewer words than a shingle has, the whole sequence is one; rows
 that share a doc_id are versions of one document, whose links count together;
-a null doc_id is linked with nothing (null component, kept); other columns are
+a null doc_id is linked with nothing (null component, kept); doc_ids of any type
+that has an order will do, texts too; other columns, whatever their names, are
 left out of the report and kept by ``dedup``; an empty table gives an empty one.
 """
 
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, hashed_windows, hashed_words, release, written
+from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, hashed_windows, hashed_words, others, ref, release, written
 from .components import components
 from .linking import link, shared_keys
 
@@ -56,7 +57,7 @@ def signature(own: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, width: int, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, h (of the text), n_shingles, set_hash (128 bits), s0 to s11 (null for empty sets): a narrow map."""
-    schema = "doc_id long, h long, n_shingles long, set_hash binary, " + ", ".join(f"{s} long" for s in SIGNATURE)
+    schema = f"doc_id {docs.schema[doc].dataType.simpleString()}, h long, n_shingles long, set_hash binary, " + ", ".join(f"{s} long" for s in SIGNATURE)
     names = ["doc_id", "h", "n_shingles", "set_hash", *SIGNATURE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +73,7 @@ def fingerprints(docs: DataFrame, width: int, *, doc: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), *[pa.array(table[:, c].copy(), mask=empty) for c in range(CHUNKS)]], names)
         release()
 
-    return docs.select(F.col(doc).cast("long"), F.xxhash64(text), F.col(text)).mapInArrow(run, schema)
+    return docs.select(ref(doc), F.xxhash64(ref(text)), ref(text)).mapInArrow(run, schema)
 
 
 def _keys(s) -> list[Column]:
@@ -110,7 +111,7 @@ def groups(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARIT
     classes = written(known.groupBy("set_hash").agg(F.min(F.struct("doc_id", "h")).alias("of"), F.first("n_shingles").alias("n_shingles"), *[F.first(s).alias(s) for s in SIGNATURE]), "classes").withColumnRenamed("set_hash", "rep")
     met = shared_keys(classes.select("rep", F.explode(F.array(*_keys(lambda c: F.col(f"s{c}")))).alias("key")))
     spots = classes.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "of.doc_id", "of.h")
-    all_texts = docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    all_texts = docs.select(ref(doc).alias("doc_id"), F.xxhash64(ref(text)).alias("h"), F.coalesce(ref(text), F.lit("")).alias("text"))
     texts = written(all_texts.join(spots, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("rep", "text"), "texts")
     found = written(link(met, classes.select("rep", "n_shingles", *SIGNATURE), texts, lambda x: shingles(x, width), lambda p, q: _plausible(p, q, percent), percent), "found")
     named = classes.select("rep", "of.doc_id").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("component"))
@@ -129,5 +130,5 @@ def groups(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARIT
 
 def dedup(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the documents whose group has a smaller doc_id."""
-    gone = groups(docs, width, percent, doc=doc, text=text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc) == F.col("_gone"), "left_anti")
+    gone = groups(docs, width, percent, doc=doc, text=text).where("not kept").select("doc_id").distinct()
+    return docs.select(F.struct(*others(docs)).alias("row"), ref(doc).alias("doc_id")).join(gone, "doc_id", "left_anti").select("row.*")

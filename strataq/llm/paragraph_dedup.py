@@ -18,7 +18,8 @@ other as a whole, and window by window where a run has different stretches.
 
 Cases: texts without words, empty and null ones have no paragraphs; paragraphs that repeat in a text count as any other; rows
 equal in doc_id and text count as one place; a null doc_id sorts first; an
-empty table gives an empty one; very long texts are cut and held whole; columns of other names pass through ``dedup``.
+empty table gives an empty one; very long texts are cut and held whole; other columns pass through
+``dedup``, but ``n_paragraphs`` and ``n_removed`` are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, drop_written, hashed_ranges, hashed_windows, hashed_words, release, row_key, written
+from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, drop_written, hashed_ranges, hashed_windows, hashed_words, others, ref, release, row_key, written
 from .linking import link, shared_keys
 from .near_dedup import shingles as shingles_of
 from .substring_exact import sliding_least
@@ -308,8 +309,8 @@ def dedup(docs: DataFrame, percent: int = SIMILARITY_PERCENT, width: int = SHING
     import re
 
     found = report(docs, percent, width, doc=doc, text=text, shortest=shortest, passages=passages)
-    tagged = docs.select(*[c for c in docs.columns if c not in ("n_paragraphs", "n_removed")]).withColumn("_key", row_key(doc, text))
-    both = tagged.join(found.withColumnsRenamed({"key": "_key", "n_paragraphs": "_n", "removed": "_removed"}), "_key", "left")
+    tagged = docs.select(F.struct(*others(docs, text, "n_paragraphs", "n_removed")).alias("row"), ref(text).alias("text"), row_key(doc, text).alias("key"))
+    both = tagged.join(found, "key", "left")
     words_at = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 
     @F.pandas_udf("string")
@@ -330,9 +331,10 @@ def dedup(docs: DataFrame, percent: int = SIMILARITY_PERCENT, width: int = SHING
 
         return pd.Series(out)
 
-    return both.select(
-        *[c for c in tagged.columns if c not in ("_key", text)],
-        F.when(F.col("_removed").isNull(), F.col(text)).otherwise(left(F.col(text), F.col("_removed"))).alias(text),
-        F.coalesce("_n", F.lit(0)).cast("long").alias("n_paragraphs"),
-        F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
+    out = both.select(
+        "row",
+        F.when(F.col("removed").isNull(), F.col("text")).otherwise(left(F.col("text"), F.col("removed"))).alias("text"),
+        F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
     )
+    return out.select("row.*", F.col("text").alias(text), "n_paragraphs", "n_removed")

@@ -14,7 +14,8 @@ Cases: null text has no words and fails the base rule; so do texts under 20
 words; very long texts are measured whole; a label that repeats counts as its
 least quality; rows without a label don't train; no labels or no rule good
 enough give an empty list, which keeps all that the base rule keeps; other
-columns pass through.
+columns pass through, but those that have the name of a measure, ``kept`` or
+``rule`` are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_groups, let, window_hashes, written
+from .common import in_groups, let, others, ref, window_hashes, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -59,14 +60,19 @@ def _repeat_words(words: Column) -> Column:
     return let(window_hashes(words, width), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(let(positions(h), lambda p: in_groups(p, width))))
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_shouts", "n_stops", "n_lines", "n_different")
+MEASURES = tuple(f"m_{k}" for k in ("mean_word", "symbols", "dup_lines", "repeats", "upper", "digits", "shouts", "stops", "different", "words_a_line"))
+
+
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, and the ratios that rules use."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    one = docs.withColumn("_t", t).withColumn("_w", F.regexp_extract_all("_t", F.lit(f"({WORD})"), F.lit(1)))
+    # the columns of docs are one struct meanwhile, so that no name of theirs meets one of ours
+    one = docs.select(F.struct(*others(docs, *COUNTS, *MEASURES, "base_failed")).alias("row"), F.coalesce(ref(text), F.lit("")).alias("_t"))
+    one = one.withColumn("_w", F.regexp_extract_all("_t", F.lit(f"({WORD})"), F.lit(1)))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD))
     count = lambda chars: (F.length("_t") - F.length(F.translate("_t", chars, ""))).cast("long")
     two = one.select(
-        *docs.columns,
+        "row",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         count(SYMBOLS).alias("n_symbols"),
@@ -82,10 +88,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     of = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     ratios = {"mean_word": of("word_chars", "n_words"), "symbols": of("n_symbols", "n_words"), "dup_lines": of("n_dup_lines", "n_lines"), "repeats": of("n_repeat_words", "n_words"), "upper": of("n_upper", "word_chars"), "digits": of("n_digits", "word_chars"), "shouts": of("n_shouts", "n_words"), "stops": of("n_stops", "n_words"), "different": of("n_different", "n_words"), "words_a_line": of("n_words", "n_lines")}
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return two.select("*", *[c.alias(f"m_{k}") for k, c in ratios.items()], failed.alias("base_failed"))
-
-
-MEASURES = tuple(f"m_{k}" for k in ("mean_word", "symbols", "dup_lines", "repeats", "upper", "digits", "shouts", "stops", "different", "words_a_line"))
+    return two.select("row.*", *COUNTS, *[c.alias(f"m_{k}") for k, c in ratios.items()], failed.alias("base_failed"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> DataFrame:
@@ -182,4 +185,4 @@ def verdict(rules: list[list[Condition]]) -> tuple[Column, Column]:
 def apply(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with measures, kept and rule; the list is learnt from labels first."""
     kept, rule = verdict(learn(labelled(docs, labels, doc=doc, text=text)))
-    return measures(docs, text).select("*", kept.alias("kept"), rule.alias("rule"))
+    return measures(docs.select(*others(docs, "kept", "rule")), text).select("*", kept.alias("kept"), rule.alias("rule"))

@@ -33,6 +33,7 @@ def test_quality(spark):
 def test_toxicity(spark):
     rows = scored(spark, "op10_toxicity", "toxic", 3, 1)
     assert auc([r[:2] for r in rows]) > 0.95 and np.mean([p for _, y, p in rows if not y]) < 0.03
+    assert np.mean([p for _, y, p in rows if y]) > 0.8  # the rest bear no toxic word
 
 
 def test_odd_texts(spark, docs, rows, empty):
@@ -95,3 +96,35 @@ def test_pipeline(spark):
     assert set(kept["decontamination"]) == {i for (i, _, hit, _) in brute_hits(kept["near_dedup"].items(), items) if not hit}
     out = p.run(spark, sf).collect()
     assert {r["doc_id"] for r in out} == set(kept["decontamination"]) and all(r["round_trip"] for r in out)
+
+
+def test_stages_on_odd_documents(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, empty tables: each stage has a row or none, as its docstring says."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    good = " ".join(f"word{k % 7}x{k}" for k in range(60))
+    rows = [(1, good, "en", "s", 5), (1, good, "en", "s", 5), (2, good, None, None, None), (None, good + " more", None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, "tie\n" * 50, "en", "s", 1), (6, " ".join(f"long{k}" for k in range(50_000)), "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    out = {name: sorted((str(r["doc_id"]) for r in stage(spark, docs, sf).collect())) for name, stage in p.STAGES}
+    assert set(out["quality_rules"]) <= {"1", "2", "None", "6"} and out["line_dedup"] == sorted(str(r[0]) for r in rows)
+    assert out["near_dedup"] == ["1", "1", "3", "4", "5", "6", "None"] and out["decontamination"] == out["byte_bpe"] == out["line_dedup"]
+    assert all(stage(spark, none, sf).count() == 0 for _, stage in p.STAGES)
+
+
+def test_near_copies_of_the_stage(spark):
+    """Copies with a few other words, of a similarity of 0.8 or more by five-word shingles: one of each group stays."""
+    import corpus_pipeline as p
+
+    r = random.Random(8)
+    rows = []
+    for k in range(120):
+        own = [f"w{r.randrange(10_000)}" for _ in range(200)]
+        rows.append((2 * k, " ".join(own)))
+        for at in r.sample(range(20), 1 + k % 3):  # 5 shingles of 196 a word
+            own[10 * at] = "other"
+        rows.append((2 * k + 1, " ".join(own)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {x["doc_id"] for x in p.keep_one_of_near_copies(spark, docs, "").collect()}
+    assert {2 * k for k in range(120)} <= left and len(left) <= 132
