@@ -202,8 +202,8 @@ def _texts(rows: DataFrame, needed: DataFrame) -> DataFrame:
 
 
 def _windows(rows: DataFrame, stretches: DataFrame) -> DataFrame:
-    """id, h, x, a, w: hashes of all windows of ``PASSAGE`` words in each of the stretches (id, h, x, a, b), the first at word a."""
-    spots = stretches.groupBy("id", "h").agg(F.collect_list(F.struct("x", "a", "b")).alias("spots")).select(F.struct("id", "h").alias("key"), "spots")
+    """id, h, a, w: hashes of all windows of ``PASSAGE`` words in each of the stretches (id, h, a, b), the first at word a."""
+    spots = stretches.groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("spots")).select(F.struct("id", "h").alias("key"), "spots")
     both = rows.select(F.struct("id", "h").alias("key"), "text").join(spots, "key").select("key.id", "key.h", "text", "spots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,15 +211,15 @@ def _windows(rows: DataFrame, stretches: DataFrame) -> DataFrame:
             for r in range(batch.num_rows):
                 own = hashed_windows(hashed_words(batch.column(2)[r].as_py())[0], PASSAGE).view(np.int64)
                 spots = batch.column(3)[r].values
-                x, a, b = (spots.field(k).to_numpy() for k in ("x", "a", "b"))
+                a, b = (spots.field(k).to_numpy() for k in ("a", "b"))
                 n = b - a - PASSAGE + 1
                 place = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
                 at = pa.array(np.full(len(a), r))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(own[place]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(x), pa.array(a), lists], ["id", "h", "x", "a", "w"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(a), lists], ["id", "h", "a", "w"])
         release()
 
-    return both.mapInArrow(run, "id string, h long, x long, a int, w array<long>")
+    return both.mapInArrow(run, "id string, h long, a int, w array<long>")
 
 
 def _merged(spans: Column) -> Column:
@@ -255,32 +255,34 @@ def _pieces(docs: DataFrame, rows: DataFrame, every: DataFrame, percent: int, wi
     often = own.groupBy("rep").agg(F.count("*").alias("n"), F.min("id").alias("_")).where("n > 1").select(F.col("rep").alias("node"), F.col("rep").alias("component"))
     groups = written(found.unionByName(often.join(found, "node", "left_anti")), "groups").withColumnRenamed("node", "rep")
     drop_written(met, traits, texts)
-    place = F.struct(F.col("id").cast(docs.schema[doc].dataType).alias("doc"), F.col("h"), F.col("i"))
-    members = written(own.join(groups, "rep").select("component", place.alias("at"), "id", "a", "b"), "members")
+    place = F.struct(F.col("id").cast(docs.schema[doc].dataType).alias("doc"), "h", "i", "a", "b")  # a and b follow from the others
+    members = written(own.join(groups, "rep").select("component", place.alias("at")), "members")
     first = members.groupBy("component").agg(F.min("at").alias("first"))
-    return members.join(written(first, "first"), "component").where("at != first").select("id", "at.h", "a", "b")
+    return members.join(written(first, "first"), "component").where("at != first").select(F.col("at.doc").cast("string").alias("id"), "at.h", "at.a", "at.b")
 
 
 def _passages(docs: DataFrame, rows: DataFrame, every: DataFrame, doc: str) -> DataFrame:
     """id, h, a, b of words in windows of ``PASSAGE`` words that stand somewhere before; a window that repeats in its own text goes if it doesn't reach into the first."""
-    at = F.struct(F.col("id").cast(docs.schema[doc].dataType).alias("doc"), "h", "p")
+    at = F.struct(F.col("id").cast(docs.schema[doc].dataType).alias("doc"), "h", "p", "a", "b")  # a and b follow from the others; id from doc
+    own = (F.col("at.doc").cast("string").alias("id"), "at.h", "at.a", "at.b")
     apart = (F.col("at.doc").eqNullSafe(F.col("first.doc")) & (F.col("at.h") == F.col("first.h")) & (F.col("at.p") < F.col("first.p") + PASSAGE)) == F.lit(False)
     runs = every.where("rep is null").select("id", "h", "p", "a", "b", "x", "y")
     often = written(runs.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x"), "often")
     runs = written(runs.join(often, "x"), "runs")  # a run that occurs once has no window that repeats
-    spots = runs.withColumn("at", at)
-    classes = written(spots.groupBy("x", "y").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min_by(F.struct("id", "h", "a", "b"), "at").alias("s")), "classes")
+    spots = runs.select("x", "y", at.alias("at"))
+    classes = written(spots.groupBy("x", "y").agg(F.min("at").alias("first"), F.max("at").alias("last")), "classes")
     repeated = written(classes.where("first != last").select("x", "y", "first"), "repeated")
-    again = written(spots.join(repeated, ["x", "y"]).where("at != first").select("id", "h", "x", "a", "b", apart.alias("apart")), "again")
+    again = written(spots.join(repeated, ["x", "y"]).where("at != first").select("x", *own, apart.alias("apart")), "again")
     drop_written(often, runs, repeated)
     # windows of different stretches around the same run
     shared = written(classes.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x"), "shared")
-    stretches = classes.select("s.id", "s.h", "x", "s.a", "s.b").unionByName(again.where("not apart").drop("apart"))  # reaching into the first with its neighbours doesn't keep a window apart from an earlier one
+    stretches = classes.select(F.col("first.doc").cast("string").alias("id"), "first.h", "x", "first.a", "first.b").unionByName(again.where("not apart").drop("apart"))  # reaching into the first with its neighbours doesn't keep a window apart from an earlier one
     each = written(_windows(rows, stretches.join(shared, "x")), "windows")
     drop_written(classes, shared)
-    each = each.select("id", "h", "x", "a", F.posexplode("w").alias("p", "w")).withColumn("p", F.col("a") + F.col("p")).withColumn("at", at)
-    least = written(each.groupBy("x", "w").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first != last").drop("last"), "least")
-    within = each.join(least, ["x", "w"]).where("at != first").where(apart).select("id", "h", F.col("p").alias("a"), (F.col("p") + PASSAGE).alias("b"))
+    place = F.struct(F.col("id").cast(docs.schema[doc].dataType).alias("doc"), "h", (F.col("a") + F.col("k")).alias("p"))
+    each = each.select("id", "h", "a", F.posexplode("w").alias("k", "w")).select("w", place.alias("at"))  # a window's run is that of its equals
+    least = written(each.groupBy("w").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first != last").drop("last"), "least")
+    within = each.join(least, "w").where("at != first").where(apart).select(F.col("at.doc").cast("string").alias("id"), "at.h", F.col("at.p").alias("a"), (F.col("at.p") + PASSAGE).alias("b"))
     return again.where("apart").select("id", "h", "a", "b").unionByName(within)
 
 
