@@ -19,3 +19,15 @@ def test_suggestions_fall_back_to_similarity(spark):
     own = spark.createDataFrame([("internal fire door",), ("door fire",), ("door",), ("unrelated text",)], "Phrase string")
     got = {r["Phrase"]: (r["SuggestedElementCode"], r["SuggestedBy"]) for r in matching.suggest_codes(own, terms).collect()}
     assert got == {"internal fire door": ("E1", "substring"), "door fire": ("E1", "fuzzy"), "door": ("", ""), "unrelated text": ("", "")}
+
+
+def test_dictionaries_in_blocks(spark):
+    """More entries than are broadcast at once give the same rows."""
+    words = [f"{a} {b}" for a in ("steel", "brick", "timber", "glass") for b in ("door", "wall", "roof", "beam", "plate")]
+    terms = spark.createDataFrame([(f"E{k}", w, k) for k, w in enumerate(words)], "code string, term string, k long").selectExpr("code", "term", "struct(0 as part, k as o, 0 as column) as term_ord")
+    own = spark.createDataFrame([(w,) for w in ("old steel door", "door steel", "brik wall", "roof", "glas beams")], "Phrase string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(matching.suggest_codes(own, terms, accept=60.0, at_once=3)) == rows(matching.suggest_codes(own, terms, accept=60.0))
+    entries = terms.selectExpr("code", "term as value", "term_ord as entry_ord")
+    queries = own.withColumnRenamed("Phrase", "query")
+    assert rows(matching.top_matches(queries, entries, limit=4, least=10.0, at_once=3)) == rows(matching.top_matches(queries, entries, limit=4, least=10.0))
