@@ -119,6 +119,7 @@ SELECT code, phrase, weight::DOUBLE AS weight, match_type, active FROM u QUALIFY
 
 _TOKENS = f"""k AS (SELECT list_filter(regexp_extract_all({norm('text')}, '{WORDS}'), lambda w: length(w) > 2 AND NOT regexp_full_match(w, '[\\p{{Nd}}\\p{{No}}]+') AND NOT list_contains({_list(tx.FREQUENCY_STOP_WORDS)}, w)) AS w FROM documents)"""
 SQL["ngram_frequency"] = f"WITH {_TOKENS}, g AS (SELECT unnest({grams('w', 1, 3)}) AS g FROM k) SELECT array_to_string(g, ' ') AS phrase, count(*)::BIGINT AS n FROM g GROUP BY 1"
+SQL["analyze_text"] = "WITH documents AS (SELECT p_name AS text FROM part), " + SQL["ngram_frequency"].removeprefix("WITH ")
 _STOP = _list(tx.PHRASE_STOP_WORDS)
 _CORE = rf"""l AS (SELECT doc_id, regexp_split_to_array(text, '[\n\r]+') AS l FROM documents),
 e AS (SELECT doc_id, unnest(l) AS line FROM l), cr AS (SELECT doc_id, {strip('line')} AS core FROM e),
