@@ -12,8 +12,8 @@ import difflib
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _common(a: str, b: str) -> int:
@@ -115,7 +115,22 @@ def scorer(name: str):
     return scored
 
 
-@F.pandas_udf(T.DoubleType())
-def round_half_even_exact(x: pd.Series, digits: pd.Series) -> pd.Series:
-    """Rounds the binary value, ties to even, as Python does."""
-    return pd.Series([None if pd.isna(v) else round(v, int(d)) for v, d in zip(x, digits)], dtype="float64")
+def rounded(x: Column) -> Column:
+    """x to one digit as Python rounds it: by the binary value, ties to even.
+
+    Twenty times x is the sum of 16 x and 4 x, both exact; what that sum loses is known exactly too. So its distances to
+    the odd numbers around it, which are the midpoints between tenths, have the right sign.
+    """
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+
+    def nearest(v: Column) -> Column:
+        a, b, s = 16 * v, 4 * v, 16 * v + 4 * v
+        lost = (a - (s - (s - a))) + (b - (s - a))
+        c = F.floor(s / 2 + 0.5).cast("double")
+        even = lambda k: F.when(k % 2 == 0, k)
+        return let(F.struct(s.alias("s"), lost.alias("lost"), c.alias("c")), lambda r: let(
+            F.struct(((r["s"] - (2 * r["c"] - 1)) + r["lost"]).alias("low"), ((r["s"] - (2 * r["c"] + 1)) + r["lost"]).alias("high"), r["c"].alias("c")),
+            lambda d: F.when(d["low"] < 0, d["c"] - 1).when(d["high"] > 0, d["c"] + 1).when(d["low"] == 0, F.coalesce(even(d["c"]), d["c"] - 1)).when(d["high"] == 0, F.coalesce(even(d["c"]), d["c"] + 1)).otherwise(d["c"]) / 10,
+        ))
+
+    return F.when(F.isnan(x), x).otherwise(let(x.cast("double"), nearest))

@@ -48,6 +48,7 @@ class Detector:
     absorb_overlap: float = 0.25
     dedupe_overlap: float = 0.80
     threshold_block: int = 31
+    opacity: float = 0.5
     min_text_width: int = 6
     min_text_height: int = 4
     side_limit: int = 45
@@ -55,8 +56,9 @@ class Detector:
     texts_a_side: int = 4
 
     def __post_init__(self) -> None:
-        if self.threshold_block < 3 or self.threshold_block % 2 == 0:
-            raise ValueError("threshold_block: an odd number, 3 at least")
+        """An odd block of 3 at least, an opacity from 0 to 1: other values become the next that will do."""
+        object.__setattr__(self, "threshold_block", max(3, self.threshold_block) | 1)
+        object.__setattr__(self, "opacity", max(0.0, min(1.0, self.opacity)))
 
 
 DEFAULT = Detector()

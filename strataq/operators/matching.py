@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.similarity import rounded
 from ..functions.similarity import scorer as make_scorer
 
 # Fixed values of the matcher.
@@ -86,7 +87,7 @@ def valid_match(query: Column, value: Column, material: Column) -> Column:
 def final_score(score: Column, pass_no: Column, kind: Column, strong: Column, anchor_weight: Column) -> Column:
     bonus = F.coalesce(*[F.when(pass_no == k, F.lit(b)) for k, b in PASS_BONUS.items()], F.lit(0.0))
     penalty = F.when((kind == "generic") & (pass_no > 1), GENERIC_PENALTY).otherwise(0.0)
-    return F.round(score + bonus - penalty + F.when(strong, anchor_weight * ANCHOR_FACTOR).otherwise(0.0), 1)
+    return rounded(score + bonus - penalty + F.when(strong, anchor_weight * ANCHOR_FACTOR).otherwise(0.0))
 
 
 def top_matches(queries: DataFrame, entries: DataFrame, *, query: str = "query", limit: int = LIMIT, least: float = MIN_SCORE, scorer: str = "weighted", at_once: int = BROADCAST_TERMS) -> DataFrame:
@@ -98,7 +99,7 @@ def top_matches(queries: DataFrame, entries: DataFrame, *, query: str = "query",
     scored = against(different, entries, at_once=at_once).withColumn("raw", make_scorer(scorer)(tx.matcher_form(query), F.col("value")))
     first = Window.partitionBy(query).orderBy(F.desc("raw"), "entry_ord")
     best = scored.withColumn("k", F.row_number().over(first)).where(F.col("k") <= limit)
-    return best.withColumn("score", F.round("raw", 1)).where(F.col("score") >= least).drop("raw", "k")
+    return best.withColumn("score", rounded(F.col("raw"))).where(F.col("score") >= least).drop("raw", "k")
 
 
 def element_hits(queries: DataFrame, entries: DataFrame, *keys: str, limit: int = LIMIT, scorer: str = "weighted") -> DataFrame:
@@ -176,14 +177,14 @@ def context_boost(hits: DataFrame, context: DataFrame, *keys: str) -> DataFrame:
     side = F.when(F.col("detail_side") == "unresolved", 0.0).when(F.col("side_signal") == F.col("detail_side"), F.col("side_weight") * CONTEXT_FACTOR).when(F.col("side_signal") == "both", F.col("side_weight") * CONTEXT_FACTOR * 0.5).otherwise(0.0)
     place = F.when((F.col("detail_position") != "unresolved") & (F.col("position_signal") == F.col("detail_position")), F.col("position_weight") * CONTEXT_FACTOR).otherwise(0.0)
     boost = F.coalesce(side, F.lit(0.0)) + F.coalesce(place, F.lit(0.0))
-    return both.withColumns({"context_boost": F.round(boost, 1), "final_score_context": F.round(F.col("final_score") + boost, 1)})
+    return both.withColumns({"context_boost": rounded(boost), "final_score_context": rounded(F.col("final_score") + boost)})
 
 
 def fit_score() -> Column:
     """Score in the context, more for what agrees with its side and position, less for what contradicts."""
     side = F.when(F.col("detail_side") == "unresolved", 0.0).when(F.col("side_signal") == F.col("detail_side"), 20.0).when(~F.col("side_signal").isin("both", "unknown"), -30.0).otherwise(0.0)
     place = F.when(F.col("detail_position") == "unresolved", 0.0).when(F.col("position_signal") == F.col("detail_position"), 20.0).when(~F.col("position_signal").isin("any", "unknown"), -15.0).otherwise(0.0)
-    return F.round(F.col("final_score_context") + side + place, 1)
+    return rounded(F.col("final_score_context") + side + place)
 
 
 def final_candidates(boosted: DataFrame, *keys: str, limit: int = GROUP_LIMIT) -> DataFrame:

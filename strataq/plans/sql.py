@@ -253,7 +253,7 @@ _HITS = f"""{values('MATCHER', 'ma')}, {values('KEYWORDS', 'ke')},
 en AS (SELECT ElementCode AS code, coalesce(Priority, 0.0) AS priority, {form('ContextGroup')} AS context_group, {alias('SideSignal', tx.SIDES)} AS side_signal, coalesce(SideWeight, 0.0) AS side_weight, {alias('PositionSignal', tx.POSITIONS)} AS position_signal, coalesce(PositionWeight, 0.0) AS position_weight,
   {form('IsStrongAnchor')} IN ('yes', 'true', '1', 'tak') AS strong, coalesce(AnchorWeight, 0.0) AS anchor, {form('Phrase1')} AS value, CASE WHEN contains({form('Phrase1')}, ' ') THEN 'specific' ELSE 'generic' END AS kind, row_ord FROM ma),
 hi AS (SELECT floor(p_partkey / 20)::BIGINT AS doc_id, p_partkey AS n, p_name AS query, en.*, 75.0 + p_partkey % 26 AS score, p_partkey % 3 + 1 AS pass, p_partkey % 4 AS token_index, p_partkey % 20 AS line_index FROM part JOIN en ON p_partkey % 5 = row_ord),
-hs AS (SELECT *, round(score + CASE pass WHEN 2 THEN 10 WHEN 3 THEN 15 ELSE 0 END - CASE WHEN kind = 'generic' AND pass > 1 THEN 15 ELSE 0 END + CASE WHEN strong THEN anchor * 0.15::DOUBLE ELSE 0 END, 1) AS final_score FROM hi),
+hs AS (SELECT *, printf('%.1f', (score + CASE pass WHEN 2 THEN 10 WHEN 3 THEN 15 ELSE 0 END - CASE WHEN kind = 'generic' AND pass > 1 THEN 15 ELSE 0 END + CASE WHEN strong THEN anchor * 0.15::DOUBLE ELSE 0 END)::DOUBLE)::DOUBLE AS final_score FROM hi),
 be AS (SELECT * FROM hs QUALIFY row_number() OVER (PARTITION BY doc_id, code ORDER BY final_score DESC, score DESC, token_index, pass, line_index, row_ord) = 1),
 kw AS (SELECT {form('ContextSignal')} AS context_signal, {alias('SideSignal', tx.SIDES)} AS side_signal, coalesce(SideWeight, 0.0) AS side_weight, {alias('PositionSignal', tx.POSITIONS)} AS position_signal, coalesce(PositionWeight, 0.0) AS position_weight, {form('Word1')} AS value, row_ord FROM ke),
 ch AS (SELECT floor(p_partkey / 20)::BIGINT AS doc_id, kw.*, 80.0 + p_partkey % 21 AS score, p_partkey % 5 AS line_index FROM part JOIN kw ON p_partkey % 6 = row_ord QUALIFY row_number() OVER (PARTITION BY floor(p_partkey / 20), p_partkey % 5, context_signal, value ORDER BY 80.0 + p_partkey % 21 DESC, row_ord) = 1),
@@ -262,8 +262,8 @@ su AS (SELECT doc_id, {', '.join(f"round(sum(CASE WHEN side_signal = '{x}' THEN
 gs AS (SELECT doc_id, array_to_string(list(g ORDER BY s DESC, g), ',') AS groups FROM (SELECT doc_id, g, round(sum(s)::DOUBLE, 6) AS s FROM si WHERE coalesce(g, '') <> '' GROUP BY 1, 2) GROUP BY 1),
 cx AS (SELECT su.*, CASE WHEN greatest(external, internal) < 30 OR abs(external - internal) < 20 THEN 'unresolved' WHEN external >= internal THEN 'external' ELSE 'internal' END AS side, CASE WHEN greatest(base, middle, top) < 30 THEN 'unresolved' WHEN base = greatest(base, middle, top) THEN 'base' WHEN middle = greatest(base, middle, top) THEN 'middle' ELSE 'top' END AS position, coalesce(groups, '') AS groups FROM su LEFT JOIN gs USING (doc_id)),
 bo AS (SELECT be.*, side, position, (CASE WHEN side = 'unresolved' THEN 0 WHEN side_signal = side THEN side_weight * 0.25 WHEN side_signal = 'both' THEN side_weight * 0.125 ELSE 0 END + CASE WHEN position <> 'unresolved' AND position_signal = position THEN position_weight * 0.25 ELSE 0 END)::DOUBLE AS boost FROM be JOIN cx USING (doc_id)),
-bf AS (SELECT *, round(boost, 1) AS context_boost, round(final_score + boost, 1) AS final_score_context FROM bo),
-fi AS (SELECT *, round(final_score_context + CASE WHEN side = 'unresolved' THEN 0 WHEN side_signal = side THEN 20 WHEN side_signal NOT IN ('both', 'unknown') THEN -30 ELSE 0 END + CASE WHEN position = 'unresolved' THEN 0 WHEN position_signal = position THEN 20 WHEN position_signal NOT IN ('any', 'unknown') THEN -15 ELSE 0 END, 1) AS fit FROM bf)"""
+bf AS (SELECT *, printf('%.1f', (boost)::DOUBLE)::DOUBLE AS context_boost, printf('%.1f', (final_score + boost)::DOUBLE)::DOUBLE AS final_score_context FROM bo),
+fi AS (SELECT *, printf('%.1f', (final_score_context + CASE WHEN side = 'unresolved' THEN 0 WHEN side_signal = side THEN 20 WHEN side_signal NOT IN ('both', 'unknown') THEN -30 ELSE 0 END + CASE WHEN position = 'unresolved' THEN 0 WHEN position_signal = position THEN 20 WHEN position_signal NOT IN ('any', 'unknown') THEN -15 ELSE 0 END)::DOUBLE)::DOUBLE AS fit FROM bf)"""
 SQL["dedupe_elements"] = f"WITH {_HITS} SELECT doc_id, code, n, score::DOUBLE AS score, final_score::DOUBLE AS final_score FROM be"
 SQL["infer_context"] = f"WITH {_HITS} SELECT doc_id, side, position, external, internal, base, middle, top, groups FROM cx"
 SQL["context_boost"] = f"WITH {_HITS} SELECT doc_id, code, context_boost, final_score_context::DOUBLE AS final_score_context, fit::DOUBLE AS fit FROM fi"

@@ -56,6 +56,21 @@ def find_program(settings: dict, name: str = "tesseract", portable: str = "") ->
     return next((p for p in tried if p and os.path.exists(p)), None) or shutil.which(name)
 
 
+def program_state(program: str | None, language: str = "eng+pol", data: str | None = None) -> dict[str, str]:
+    """state (available, missing_tesseract or missing_tessdata), message, program, data (folder of the languages), languages."""
+    found = bool(program) and os.path.isfile(program)
+    data = data or (os.path.join(os.path.dirname(program), "tessdata") if found else "")
+    out = {"program": program or "", "data": data, "languages": language}
+    if not found:
+        return {"state": "missing_tesseract", "message": "missing program"} | out
+    if not os.path.isdir(data):
+        return {"state": "missing_tessdata", "message": "missing tessdata"} | out
+    missing = [x for x in map(str.strip, language.split("+")) if x and not os.path.exists(os.path.join(data, f"{x}.traineddata"))]
+    if missing:
+        return {"state": "missing_tessdata", "message": f"missing language data: {'/'.join(missing)}"} | out
+    return {"state": "available", "message": "ready"} | out
+
+
 def recognise(image: str, program: str, language: str = "pol+eng", timeout: float = OCR_TIMEOUT, data: str | None = None) -> tuple[str, str | None]:
     """(text, error): what the program prints for an image file; errors are returned, not raised."""
     command = [program, image, "stdout", "-l", language, *(["--tessdata-dir", data] if data else [])]
@@ -94,3 +109,13 @@ def save_tables(tables: dict[str, DataFrame], folder: str, formats: tuple[str, .
         for kind in formats:
             out = flat(df) if kind == "csv" else df
             out.write.mode("overwrite").options(**({"header": "true"} if kind == "csv" else {})).format(kind).save(f"{folder}/{name}.{kind}")
+
+
+def save_crops(crops: DataFrame, folder: str, *, name: str = "base_name", text: str = "raw_text") -> None:
+    """A folder a crop, by its base name: text/base_name=.../ holds its text, text_meta/base_name=.../ its other columns as JSON.
+
+    The rows of a crop meet in one task, so that each has one file; null texts give empty ones.
+    """
+    own = crops.withColumn(name, F.col(name).cast("string")).repartition(name)
+    own.select(name, F.coalesce(F.col(text), F.lit("")).alias("value")).write.mode("overwrite").partitionBy(name).text(f"{folder}/text")
+    own.drop(text).write.mode("overwrite").partitionBy(name).json(f"{folder}/text_meta")

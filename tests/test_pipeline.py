@@ -133,3 +133,26 @@ def test_text_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("Top rail\n\n150\nSteel")
     lines = mining.parsed_lines(files.texts(spark, str(tmp_path)), "doc_id").orderBy("line_index").collect()
     assert [(r["line_index"], r["kind"]) for r in lines] == [(0, "text"), (2, "elevation"), (3, "text")]
+
+
+def test_program_state(tmp_path):
+    program, data = tmp_path / "ocr", tmp_path / "tessdata"
+    state = lambda **o: files.program_state(str(program), "pol+eng", **o)
+    assert files.program_state(None)["state"] == state()["state"] == "missing_tesseract"
+    program.write_text("")
+    assert state()["message"] == "missing tessdata"
+    data.mkdir()
+    (data / "eng.traineddata").write_text("")
+    assert state()["message"] == "missing language data: pol" and state(data=str(data))["state"] == "missing_tessdata"
+    (data / "pol.traineddata").write_text("")
+    assert state()["state"] == "available"
+
+
+def test_crop_outputs(spark, tmp_path):
+    rows = [("p_page_001_detail_001", "first\nsecond", 1), ("p_page_001_detail_002", None, 2), ("a=b/c", "", 3)]
+    files.save_crops(spark.createDataFrame(rows, "base_name string, raw_text string, n int"), str(tmp_path))
+    assert (next((tmp_path / "text" / "base_name=p_page_001_detail_001").glob("part-*")).read_text()) == "first\nsecond\n"
+    meta = {r["base_name"]: r["n"] for r in spark.read.json(str(tmp_path / "text_meta")).collect()}
+    assert meta == {r[0]: r[2] for r in rows}
+    assert spark.read.text(str(tmp_path / "text"), wholetext=True).count() == 3
+

@@ -1,5 +1,6 @@
 """Text functions on the reference's cases."""
 
+import random
 import unicodedata
 
 import pytest
@@ -63,8 +64,13 @@ def test_similarities():
 
 
 def test_exact_rounding(spark):
-    df = spark.createDataFrame([(0.35, 1), (0.45, 1), (2.675, 2), (None, 1)], "x double, d int")
-    assert [r[0] for r in df.select(sim.round_half_even_exact("x", "d")).collect()] == [0.3, 0.5, 2.67, None]
+    draw = random.Random(5)
+    ties = [k / 20 for k in range(-3000, 3000)]
+    xs = [0.35, 0.45, 0.25, -0.05, 1e9 + 0.25, *ties, *(t + draw.choice([-1, 1]) * 2**-44 for t in ties), *(draw.uniform(-200, 200) for _ in range(5000))]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(sim.rounded(F.col("x"))).collect()]
+    assert got == [round(x, 1) for x in xs]
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "x double").select(sim.rounded(F.col("x"))).collect()
+    assert odd[0][0] is None and odd[1][0] != odd[1][0]
 
 
 @pytest.mark.parametrize("k,most", [(1, 1), (1, 3), (2, 4)])
