@@ -12,6 +12,7 @@ group, and no link that could join two components is lost.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -127,14 +128,21 @@ def link(met: DataFrame, traits: DataFrame, texts: DataFrame, shingles: Callable
     near = to_first.unionByName(itself).groupBy("rep").agg(F.min("to").alias("to"))
     own = written(_rarest(apart.select("rep"), texts, shingles, percent), "rarest")
     own = written(own.join(apart, "rep").join(near, "rep", "left"), "rest")
-    p, q = own.alias("p"), own.alias("q")
+    # what isn't rare meets only where its nodes could have enough in common at all, and by how many such shingles they
+    # have: of linked nodes neither number exceeds the other by more than the similarity allows, so the logarithms' whole
+    # parts differ by one at most (the base is a little larger, so that rounding can't part them)
+    able = F.col("rare") | (100 * F.col("n_often") >= percent * (F.col("n_often") + F.col("n_rare")))
+    size = F.when(F.col("rare"), 0).otherwise(F.floor(F.log(F.col("n_often").cast("double")) / (math.log(100 / percent) + 1e-6)))
+    own = own.where(able).withColumn("size", size.cast("long"))
+    around = F.when(F.col("rare"), F.array("size")).otherwise(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))
+    p, q = own.alias("p"), own.withColumn("size", F.explode(around)).alias("q")
     ruled_out = F.coalesce((F.col("p.to.pivot") == F.col("q.to.pivot")) & (F.abs(F.col("p.to.d") - F.col("q.to.d")) > 1 - percent / 100 + 1e-9), F.lit(False))
     # the first shingle that two nodes share brings them together; if it isn't rare, they share no rare one, so that
     # their intersection is made of the others and their union holds all rare ones of both
     least, most = F.least("p.n_often", "q.n_often"), F.greatest("p.n_often", "q.n_often")
     enough = F.col("p.rare") | (100 * least >= percent * (most + F.col("p.n_rare") + F.col("q.n_rare")))
     once = F.coalesce(F.get(F.array_intersect("p.first", "q.first"), F.lit(0)) == F.col("p.x"), F.lit(True))  # spares most repetitions of a pair
-    rest = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.rep") < F.col("q.rep")) & (F.col("p.component") != F.col("q.component")) & enough & ~ruled_out & once)
+    rest = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.size") == F.col("q.size")) & (F.col("p.rep") < F.col("q.rep")) & (F.col("p.component") != F.col("q.component")) & enough & ~ruled_out & once)
     last = tested(written(rest.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct(), "pairs"))
     more = linked(last)
     return found if more.isEmpty() else components(links.unionByName(more))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataq.llm import near_dedup
+from strataq.llm import linking, near_dedup
 from strataq.llm.components import components
 
 
@@ -44,8 +44,10 @@ def test_groups(docs, rows, width):
     assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(None, True)]
 
 
-def test_chains_and_crowds(spark):
-    """Copies edited at random, so that many pairs are near the limit, and a chain whose ends are far apart."""
+@pytest.mark.parametrize("rare", [linking.RARE, 4])
+def test_chains_and_crowds(spark, monkeypatch, rare):
+    """Copies edited at random and of different lengths, so that many pairs are near the limit, and a chain whose ends are far apart; with shingles that count as rare, and nearly without."""
+    monkeypatch.setattr(linking, "RARE", rare)
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
     rows, base = [], [word() for _ in range(120)]
@@ -53,6 +55,8 @@ def test_chains_and_crowds(spark):
         own = list(base)
         for _ in range(r.randint(0, 16)):
             own[r.randrange(120)] = word()
+        for _ in range(r.randint(0, 14) * (i % 3 == 0)):
+            del own[r.randrange(len(own))]
         rows.append((i, " ".join(own)))
     own = [word() for _ in range(100)]
     for i in range(200, 240):
