@@ -32,11 +32,14 @@ FIRST = 10
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """key, rep, pivot (one node of the key): only keys that several nodes have, from (key, rep).
+    """key, rep, pivot (the first node of the key): only keys that several nodes have, from (key, rep) or (key, rep, ord).
+
+    Nodes come in the order of ord, if there is one; those of an equal ord needn't meet each other. Where the first is
+    what the others were copied from, it is nearer to each of them than they are to one another, and leaves few apart.
 
     What is shuffled is a key and two longs, aggregated partially; long nodes stand for themselves, others are told apart by 40 bits of a hash.
     """
-    own = F.col("rep") if keys.schema["rep"].dataType.simpleString() == "bigint" else F.shiftrightunsigned(F.xxhash64("rep"), 24)
+    own = F.col("ord") if "ord" in keys.columns else F.col("rep") if keys.schema["rep"].dataType.simpleString() == "bigint" else F.shiftrightunsigned(F.xxhash64("rep"), 24)
     shared = keys.groupBy("key").agg(F.min(own).alias("least"), F.max(own).alias("most")).where("least != most").select("key", "least")
     met = written(keys.join(written(shared, "shared"), "key").distinct(), "met")
     pivots = met.where(own == F.col("least")).select("key", F.col("rep").alias("pivot")).dropDuplicates(["key"])

@@ -109,7 +109,7 @@ def groups(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARIT
     known = every.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
     # nodes are the sets, each with the text of one row, as rows that share a doc_id may differ
     classes = written(known.groupBy("set_hash").agg(F.min(F.struct("doc_id", "h")).alias("of"), F.first("n_shingles").alias("n_shingles"), *[F.first(s).alias(s) for s in SIGNATURE]), "classes").withColumnRenamed("set_hash", "rep")
-    met = shared_keys(classes.select("rep", F.explode(F.array(*_keys(lambda c: F.col(f"s{c}")))).alias("key")))
+    met = shared_keys(classes.select("rep", F.col("of.doc_id").alias("ord"), F.explode(F.array(*_keys(lambda c: F.col(f"s{c}")))).alias("key")))
     spots = classes.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "of.doc_id", "of.h")
     all_texts = docs.select(ref(doc).alias("doc_id"), F.xxhash64(ref(text)).alias("h"), F.coalesce(ref(text), F.lit("")).alias("text"))
     texts = written(all_texts.join(spots, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("rep", "text"), "texts")
