@@ -166,39 +166,44 @@ def _codec(shared, pattern: str) -> Codec:
     return _codecs[id(tokens)]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False, memo: int = MEMO) -> DataFrame:
-    """``keep``, n_tokens, ids (array of int) and, if asked for, the bytes that the ids decode to.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False, round_trip: bool = False, memo: int = MEMO) -> DataFrame:
+    """``keep``, n_tokens, ids (array of int) and, if asked for, the bytes that the ids decode to, and whether these are the text's.
 
     A narrow map: no shuffle. The vocabulary is the only broadcast; its size is that of the rank file.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
     source = docs.select(*keep, F.col(text).alias("_text"))  # which ``keep`` may name too
-    fields = [source.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.BinaryType())] * decoded
+    fields = [source.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.BinaryType())] * decoded + [T.StructField("round_trip", T.BooleanType())] * round_trip
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
         codec.most = memo  # more is faster and takes about 300 bytes each, twice
 
-        def batch(kept: pa.RecordBatch, found: list[np.ndarray]) -> pa.RecordBatch:
+        def batch(kept: pa.RecordBatch, found: list[np.ndarray], same: list[bool]) -> pa.RecordBatch:
             sizes = np.array([len(x) for x in found], np.int64)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             flat = pa.array(np.concatenate(found) if found else np.empty(0, np.int32))
             columns = [*kept.columns, pa.array(sizes), pa.ListArray.from_arrays(offsets, flat)]
             if decoded:
                 columns.append(pa.array([codec.decode(x) for x in found], pa.binary()))
+            if round_trip:
+                columns.append(pa.array(same, pa.bool_()))
             return pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
         for b in batches:
-            kept, at, found, total = b.select(list(keep)), 0, [], 0
+            kept, at, found, same, total = b.select(list(keep)), 0, [], [], 0
             for i, x in enumerate(b.column(len(keep))):
-                found.append(codec.encode(x.as_py()))
+                own = x.as_py()
+                found.append(codec.encode(own))
+                if round_trip:
+                    same.append(codec.decode(found[-1]) == (own or "").encode())
                 total += len(found[-1])
                 if total >= BATCH_IDS:
-                    yield batch(kept.slice(at, i + 1 - at), found)
-                    at, found, total = i + 1, [], 0
+                    yield batch(kept.slice(at, i + 1 - at), found, same)
+                    at, found, same, total = i + 1, [], [], 0
             if found:
-                yield batch(kept.slice(at), found)
+                yield batch(kept.slice(at), found, same)
         codec.forget()
 
     return source.mapInArrow(run, T.StructType(fields))

@@ -7,6 +7,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strataq.llm import bpe
 
@@ -61,3 +62,17 @@ def test_long_words(codec, library):
     for alphabet in ("ab", "aeiouthn", "é日🎉a"):
         word = "".join(r.choice(alphabet) for _ in range(3000))
         assert codec.encode(word).tolist() == library.encode_ordinary(word)
+
+
+def test_round_trip_in_the_workers(docs, rows, spark):
+    """The pipeline's stage gets neither texts nor decoded bytes back from the workers; results are those of decoding outside."""
+    import corpus_pipeline as p
+
+    whole = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"))
+    out = p.encode(spark, whole, "")
+    assert "decoded" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = bpe.encode(whole, PATH, public_tokenizers.PATTERN, decoded=True, keep=("doc_id", "text")).collect()
+    expected = sorted((str(r["doc_id"]), tuple(r["ids"]), bytes(r["decoded"]) == (r["text"] or "").encode()) for r in want)
+    assert sorted((str(r["doc_id"]), tuple(r["ids"]), r["round_trip"]) for r in out.collect()) == expected
+    # ids of another vocabulary don't decode to the text: what is compared is real
+    assert not bpe.encode(whole.where("doc_id is null"), PATH, r"[a-z]", round_trip=True).first()["round_trip"]
