@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import drop_written, release, written
 from .components import components
 
 #: Full sets that a task remembers while it confirms pairs.
@@ -41,9 +41,12 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     """
     own = F.col("ord") if "ord" in keys.columns else F.col("rep") if keys.schema["rep"].dataType.simpleString() == "bigint" else F.shiftrightunsigned(F.xxhash64("rep"), 24)
     shared = keys.groupBy("key").agg(F.min(own).alias("least"), F.max(own).alias("most")).where("least != most").select("key", "least")
-    met = written(keys.join(written(shared, "shared"), "key").distinct(), "met")
+    shared = written(shared, "shared")
+    met = written(keys.join(shared, "key").distinct(), "met")
     pivots = met.where(own == F.col("least")).select("key", F.col("rep").alias("pivot")).dropDuplicates(["key"])
-    return written(met.select("key", "rep").join(pivots, "key"), "pivots")
+    out = written(met.select("key", "rep").join(pivots, "key"), "pivots")
+    drop_written(shared, met)
+    return out
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray]) -> DataFrame:
@@ -101,7 +104,10 @@ def _rarest(nodes: DataFrame, texts: DataFrame, shingles: Callable[[str], np.nda
     n_rare = F.size(F.filter("own", lambda s: s["n"] <= RARE))
     each = ranked.select("rep", n_rare.alias("n_rare"), (F.size("own") - n_rare).alias("n_often"), F.filter(F.slice("own", F.lit(1), first), lambda s: s["n"] > 1).alias("first"))
     each = each.withColumn("s", F.explode("first"))
-    return each.select("rep", F.col("s.x").alias("x"), (F.col("s.n") <= RARE).alias("rare"), F.slice(F.array_sort(F.transform(F.filter("first", lambda s: (s["n"] <= RARE) == (F.col("s.n") <= RARE)), lambda s: s["x"])), 1, FIRST).alias("first"), "n_rare", "n_often")
+    each = each.select("rep", F.col("s.x").alias("x"), (F.col("s.n") <= RARE).alias("rare"), F.slice(F.array_sort(F.transform(F.filter("first", lambda s: (s["n"] <= RARE) == (F.col("s.n") <= RARE)), lambda s: s["x"])), 1, FIRST).alias("first"), "n_rare", "n_often")
+    out = written(each, "rarest")
+    drop_written(rows, often)
+    return out
 
 
 def link(met: DataFrame, traits: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], plausible: Callable[[str, str], Column], percent: int) -> DataFrame:
@@ -122,21 +128,25 @@ def link(met: DataFrame, traits: DataFrame, texts: DataFrame, shingles: Callable
     named = met.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     named = written(named, "named")
     split = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least != most and n > 2").select("key")
-    apart = written(named.join(written(split, "split"), "key").select("rep", "component").distinct(), "apart")
+    split = written(split, "split")
+    apart = written(named.join(split, "key").select("rep", "component").distinct(), "apart")
+    drop_written(named, split)
     if apart.isEmpty():
+        drop_written(to_pivot, apart)
         return found
     # distance to one node that others were held against too
     to_first = to_pivot.select(F.col("b").alias("rep"), F.struct(F.col("a").alias("pivot"), (1 - F.col("common") / F.col("either")).alias("d")).alias("to"))
     itself = to_pivot.select(F.col("a").alias("rep"), F.struct(F.col("a").alias("pivot"), F.lit(0.0).alias("d")).alias("to"))
     near = to_first.unionByName(itself).groupBy("rep").agg(F.min("to").alias("to"))
-    own = written(_rarest(apart.select("rep"), texts, shingles, percent), "rarest")
-    own = written(own.join(apart, "rep").join(near, "rep", "left"), "rest")
+    rarest = _rarest(apart.select("rep"), texts, shingles, percent)
+    kept = written(rarest.join(apart, "rep").join(near, "rep", "left"), "rest")
+    drop_written(rarest, apart)
     # what isn't rare meets only where its nodes could have enough in common at all, and by how many such shingles they
     # have: of linked nodes neither number exceeds the other by more than the similarity allows, so the logarithms' whole
     # parts differ by one at most (the base is a little larger, so that rounding can't part them)
     able = F.col("rare") | (100 * F.col("n_often") >= percent * (F.col("n_often") + F.col("n_rare")))
     size = F.when(F.col("rare"), 0).otherwise(F.floor(F.log(F.col("n_often").cast("double")) / (math.log(100 / percent) + 1e-6)))
-    own = own.where(able).withColumn("size", size.cast("long"))
+    own = kept.where(able).withColumn("size", size.cast("long"))
     around = F.when(F.col("rare"), F.array("size")).otherwise(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))
     p, q = own.alias("p"), own.withColumn("size", F.explode(around)).alias("q")
     ruled_out = F.coalesce((F.col("p.to.pivot") == F.col("q.to.pivot")) & (F.abs(F.col("p.to.d") - F.col("q.to.d")) > 1 - percent / 100 + 1e-9), F.lit(False))
@@ -146,6 +156,10 @@ def link(met: DataFrame, traits: DataFrame, texts: DataFrame, shingles: Callable
     enough = F.col("p.rare") | (100 * least >= percent * (most + F.col("p.n_rare") + F.col("q.n_rare")))
     once = F.coalesce(F.get(F.array_intersect("p.first", "q.first"), F.lit(0)) == F.col("p.x"), F.lit(True))  # spares most repetitions of a pair
     rest = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.size") == F.col("q.size")) & (F.col("p.rep") < F.col("q.rep")) & (F.col("p.component") != F.col("q.component")) & enough & ~ruled_out & once)
-    last = tested(written(rest.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct(), "pairs"))
+    pairs = written(rest.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct(), "pairs")
+    drop_written(kept)
+    last = tested(pairs)
     more = linked(last)
-    return found if more.isEmpty() else components(links.unionByName(more))
+    out = found if more.isEmpty() else components(links.unionByName(more))
+    drop_written(pairs, to_pivot, last)
+    return out

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, hashed_windows, hashed_words, others, ref, release, written
+from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, drop_written, hashed_windows, hashed_words, others, ref, release, written
 from .components import components
 from .linking import link, shared_keys
 
@@ -108,16 +108,19 @@ def groups(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARIT
     every = written(fingerprints(docs, width, doc=doc, text=text), "signatures")
     known = every.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
     # nodes are the sets, each with the text of one row, as rows that share a doc_id may differ
-    classes = written(known.groupBy("set_hash").agg(F.min(F.struct("doc_id", "h")).alias("of"), F.first("n_shingles").alias("n_shingles"), *[F.first(s).alias(s) for s in SIGNATURE]), "classes").withColumnRenamed("set_hash", "rep")
+    sets = written(known.groupBy("set_hash").agg(F.min(F.struct("doc_id", "h")).alias("of"), F.first("n_shingles").alias("n_shingles"), *[F.first(s).alias(s) for s in SIGNATURE]), "classes")
+    classes = sets.withColumnRenamed("set_hash", "rep")
     met = shared_keys(classes.select("rep", F.col("of.doc_id").alias("ord"), F.explode(F.array(*_keys(lambda c: F.col(f"s{c}")))).alias("key")))
     spots = classes.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "of.doc_id", "of.h")
     all_texts = docs.select(ref(doc).alias("doc_id"), F.xxhash64(ref(text)).alias("h"), F.coalesce(ref(text), F.lit("")).alias("text"))
     texts = written(all_texts.join(spots, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("rep", "text"), "texts")
     found = written(link(met, classes.select("rep", "n_shingles", *SIGNATURE), texts, lambda x: shingles(x, width), lambda p, q: _plausible(p, q, percent), percent), "found")
+    drop_written(met, texts)
     named = classes.select("rep", "of.doc_id").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(least, "component").select(F.col("rep").alias("set_hash"), "component_id")
     out = written(every.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left"), "named")
+    drop_written(every, sets, found)
     # a document with versions in several components joins them
     versions = out.where(F.col("component_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a != b").select("doc_id", "a")
     links = written(out.join(versions, "doc_id").select("a", F.col("component_id").alias("b")).where("a != b").distinct(), "versions")

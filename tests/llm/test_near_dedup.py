@@ -108,3 +108,25 @@ def test_components(spark):
                     todo += near[x]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {k: v for k, v in want.items() if len(near[k] - {k})} == got
+
+
+def test_tables_go_when_used(spark):
+    """Of the tables on the way only those stay that the result is read from."""
+    import os
+
+    from strataq.llm.common import shared_folder
+
+    r = random.Random(12)
+    rows = []
+    for k in range(60):  # groups, some of whose members stay apart from the pivot
+        own = [f"w{r.randrange(3_000)}" for _ in range(60)]
+        for j in range(4):
+            own[r.randrange(60)] = f"o{r.randrange(3_000)}"
+            rows.append((4 * k + j, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = f"{shared_folder(spark).removeprefix('file://')}/strataq"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    got = sorted(tuple(x) for x in near_dedup.groups(docs, 2).collect())
+    left = {x.split("-", 1)[1] for x in set(os.listdir(folder)) - before}
+    assert left <= {"named", "stars", "links", "versions"}
+    assert got == sorted(tuple(x) for x in brute(rows, 2))
