@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, release, written
+from .common import drop_written, release, texts_in, written
 from .components import components
 
-#: Full sets that a task remembers while it confirms pairs.
-KNOWN = 256
+#: From texts, all different shingles, sorted; the places there of each text's own, sorted, one text after the other; how many each has.
+Sets = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 #: Nodes up to which a shingle is rare.
 RARE = 1_000
 #: Shingles by which repetitions of a pair are known early.
@@ -49,7 +49,25 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return out
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray]) -> DataFrame:
+def sizes_of(p: list[bytes], q: list[bytes], shingles: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of intersection and union of the sets of p[0] and q[0], p[1] and q[1] and so on; a text that occurs again is taken apart once."""
+    place: dict[bytes, int] = {}
+    a, b = (np.array([place.setdefault(x, len(place)) for x in own]) for own in (p, q))
+    every, rank, sizes = shingles(list(place))
+    table = np.repeat(np.arange(len(sizes)), sizes) * len(every) + rank  # ascends, as each set does
+    a, b = np.where(sizes[a] <= sizes[b], a, b), np.where(sizes[a] <= sizes[b], b, a)
+    n = sizes[a]
+    ends = np.cumsum(n)
+    own = table[np.arange(n.sum()) + np.repeat((np.cumsum(sizes) - sizes)[a] - ends + n, n)]
+    sought = own + np.repeat((b - a) * len(every), n)
+    at = np.searchsorted(table, sought)
+    at[at == len(table)] = 0
+    hits = np.append(0, np.cumsum(table[at] == sought))
+    common = hits[ends] - hits[ends - n]
+    return common, n + sizes[b] - common
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, shingles: Sets) -> DataFrame:
     """a, b, common, either: sizes of intersection and union of the full sets of each pair.
 
     The smaller rows (pairs) are dealt by ``a``, which may be hot, and then by ``b`` with the text of ``a``.
@@ -58,32 +76,17 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], np.nda
     both = first.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
-
-        def of(x: str) -> np.ndarray:
-            if x not in known:
-                if len(known) >= KNOWN:
-                    known.clear()
-                known[x] = shingles(x)
-            return known[x]
-
         for batch in batches:
-            common, either = [], []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = of(x.as_py()), of(y.as_py())
-                at = np.searchsorted(p, q)
-                at[at == len(p)] = 0
-                n = int((p[at] == q).sum())
-                common.append(n)
-                either.append(len(p) + len(q) - n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "common", "either"])
-        release(known)
+            found = [sizes_of(x, y, shingles) for _, (x, y) in texts_in(batch.column(2), batch.column(3))]
+            common, either = (pa.array(np.concatenate(x)) for x in zip(*found)) if found else (pa.array([], pa.int64()),) * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), common, either], ["a", "b", "common", "either"])
+        release()
 
     kind = pairs.schema["a"].dataType.simpleString()
     return both.mapInArrow(run, f"a {kind}, b {kind}, common long, either long")
 
 
-def _rarest(nodes: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], percent: int) -> DataFrame:
+def _rarest(nodes: DataFrame, texts: DataFrame, shingles: Sets, percent: int) -> DataFrame:
     """rep, x, rare, first (those with the least hashes among the rare ones or the others, as x is), n_rare, n_often: of each node's shingles the rarest among ``nodes``, so many that two linked nodes share one of them.
 
     Sets with a similarity of t have ceil(t n) of n shingles in common at least, so that the first n - ceil(t n) + 1 of
@@ -92,9 +95,11 @@ def _rarest(nodes: DataFrame, texts: DataFrame, shingles: Callable[[str], np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rep, x in zip(b.column(0), b.column(1)):
-                own = shingles(x.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([rep.as_py()] * len(own), b.column(0).type), pa.array(own.view(np.int64))], ["rep", "x"])
+            for first, (own,) in texts_in(b.column(1)):
+                every, rank, sizes = shingles(own)
+                at = np.repeat(np.arange(first, first + len(own)), sizes)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(every[rank].view(np.int64))], ["rep", "x"])
+        release()
 
     kind = nodes.schema["rep"].dataType.simpleString()
     rows = written(texts.join(nodes, "rep", "left_semi").select("rep", "text").mapInArrow(run, f"rep {kind}, x long"), "shingles")
@@ -110,11 +115,11 @@ def _rarest(nodes: DataFrame, texts: DataFrame, shingles: Callable[[str], np.nda
     return out
 
 
-def link(met: DataFrame, traits: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], plausible: Callable[[str, str], Column], percent: int) -> DataFrame:
+def link(met: DataFrame, traits: DataFrame, texts: DataFrame, shingles: Sets, plausible: Callable[[str, str], Column], percent: int) -> DataFrame:
     """node, component of the nodes that have a link.
 
     met: of ``shared_keys``. traits: rep and the columns that ``plausible(alias, alias)`` needs; it is true of all links.
-    texts: rep and text of the nodes in met; ``shingles`` makes sorted sets of them.
+    texts: rep and text of the nodes in met; ``shingles`` makes the sets of many of them.
     """
     linked = lambda t: t.where(f"100 * common >= {percent} * either").select("a", "b")
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, drop_written, hashed_windows, hashed_words, others, ref, release, written
+from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, drop_written, hashed_ranges, hashed_texts, hashed_windows, hashed_words, others, ref, release, written
 from .components import components
 from .linking import link, shared_keys
 
@@ -48,6 +48,20 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(hashed_windows(h, min(width, len(h)))) if len(h) else h
 
 
+def shingle_sets(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``shingles`` of many texts: all different ones, sorted; the places there of each text's own, one text after the other; how many each has."""
+    h, words, _ = hashed_texts(texts)
+    if not len(h):
+        return h, words[:0], words
+    stop = np.cumsum(words)
+    n = np.where(words > 0, np.maximum(words - width + 1, 1), 0)
+    whose = np.repeat(np.arange(len(words)), n)
+    first = np.arange(len(whose)) + np.repeat(stop - words - np.cumsum(n) + n, n)
+    every, rank = np.unique(hashed_ranges(h, first, np.minimum(first + width, stop[whose])), return_inverse=True)
+    whose, rank = np.divmod(np.unique(whose * len(every) + rank), len(every))
+    return every, rank, np.bincount(whose, minlength=len(words))
+
+
 def signature(own: np.ndarray) -> np.ndarray:
     """12 chunks of four 16-bit lanes."""
     least = np.array([(own * m).min() for m in _MULTIPLIERS], np.uint64)
@@ -114,7 +128,7 @@ def groups(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARIT
     spots = classes.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "of.doc_id", "of.h")
     all_texts = docs.select(ref(doc).alias("doc_id"), F.xxhash64(ref(text)).alias("h"), F.coalesce(ref(text), F.lit("")).alias("text"))
     texts = written(all_texts.join(spots, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("rep", "text"), "texts")
-    found = written(link(met, classes.select("rep", "n_shingles", *SIGNATURE), texts, lambda x: shingles(x, width), lambda p, q: _plausible(p, q, percent), percent), "found")
+    found = written(link(met, classes.select("rep", "n_shingles", *SIGNATURE), texts, lambda x: shingle_sets(x, width), lambda p, q: _plausible(p, q, percent), percent), "found")
     drop_written(met, texts)
     named = classes.select("rep", "of.doc_id").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -28,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, drop_written, hashed_ranges, hashed_windows, hashed_words, others, ref, release, row_key, written
+from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, drop_written, hashed_ranges, hashed_texts, hashed_windows, others, ref, release, row_key, texts_in, written
 from .linking import link, shared_keys
-from .near_dedup import shingles as shingles_of
+from .near_dedup import shingle_sets
 from .substring_exact import sliding_least
 
 #: Words up to which a line is never cut, half the stretch in which a cut is the least, words that a paragraph has at least.
@@ -60,8 +61,11 @@ BANDS, ROWS = tuned()
 
 def cut(words: np.ndarray, lines: np.ndarray, radius: int = RADIUS, long: int = LONG) -> np.ndarray:
     """First words of paragraphs: of all lines, and places within long ones whose pair hash is the least around them."""
-    starts = np.concatenate([[0], np.cumsum(lines)[:-1]]).astype(np.int64)
-    if not (lines > long).any():
+    starts = (np.cumsum(lines) - lines).astype(np.int64)
+    if not (lines > long).all():
+        own = np.flatnonzero(np.repeat(lines > long, lines))
+        return np.union1d(starts, own[cut(words[own], lines[lines > long], radius, long)]) if len(own) else starts
+    if not len(lines):
         return starts
     pair = np.full(len(words), _MOST)
     pair[1:] = ((words[:-1] * _MIX) ^ words[1:]) * _MIX >> np.uint64(1)
@@ -75,7 +79,7 @@ def cut(words: np.ndarray, lines: np.ndarray, radius: int = RADIUS, long: int =
         step = min(have, width - have)
         least[: len(least) - step] = np.minimum(least[: len(least) - step], least[step:])
         have += step
-    own = np.flatnonzero((least[place - radius] == pair) & (pair != _MOST) & np.repeat(lines > long, lines))
+    own = np.flatnonzero((least[place - radius] == pair) & (pair != _MOST))
     tie = np.diff(place[own], prepend=-radius - 1) <= radius  # of equal ones in a stretch the first
     own = own[~tie]
     line = np.searchsorted(starts, own, "right") - 1
@@ -88,14 +92,23 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _stretches(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each run of ``RUN`` words that is the least (the first of equal ones) of some window of ``PASSAGE``: place p, hash, and the words from a to b of all windows whose least it is."""
+def _stretches(h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each run of ``RUN`` words that is the least (the first of equal ones) of some window of ``PASSAGE``: place p, hash, and the words from a to b of all windows whose least it is.
+
+    Of texts one after the other, with so many words each.
+    """
+    none = np.empty(0, np.int64)
+    if len(h) < PASSAGE:
+        return none, none.view(np.uint64), none, none
     own = hashed_windows(h, RUN)
     low = np.uint64(2**32 - 1)  # half of the hash tells which is the least, the other half is its place
     at = (sliding_least((own & ~low) | np.arange(len(own), dtype=np.uint64), PASSAGE - RUN + 1) & low).astype(np.int64)
+    n = np.maximum(words - PASSAGE + 1, 0)
+    windows = np.arange(n.sum()) + np.repeat(np.cumsum(words) - words - np.cumsum(n) + n, n)  # none reaches into the next text
+    at = at[windows]
     first = np.flatnonzero(np.diff(at, prepend=-1))
-    last = np.append(first[1:], len(at)) - 1
-    return at[first], own[at[first]], first, last + PASSAGE
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    return at[first], own[at[first]], windows[first], windows[last] + PASSAGE
 
 
 def _binary(table: np.ndarray) -> pa.Array:
@@ -126,58 +139,36 @@ def paragraphs(docs: DataFrame, *, text: str = "text", width: int = SHINGLE_WORD
         return (key >> np.uint64(16)).view(np.int64)  # 48 bits are enough to meet
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"rep": pa.binary(), **dict.fromkeys(["x", "y", *bands], pa.int64())}
         for batch in batches:
-            who: list[tuple[int, int]] = []  # row, how many
-            parts: list[list[np.ndarray]] = []  # i, a, b, k0, ...
-            reps: list[np.ndarray] = []  # 128 bits each
-            whose: list[tuple[int, int]] = []
-            places: list[list[np.ndarray]] = []  # p, a, b, x, y
-
-            def rows_of(owners: list[tuple[int, int]], columns: dict[str, pa.Array]) -> pa.RecordBatch:
-                at = pa.array(np.repeat(*map(np.array, zip(*owners))))
-                n = len(at)
-                kinds = {"rep": pa.binary(), **dict.fromkeys(["x", "y", *bands], pa.int64())}
-                rest = [columns[c] if c in columns else pa.nulls(n, kinds.get(c, pa.int32())) for c in names[2:]]
-                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *rest], names)
-
-            def out() -> Iterator[pa.RecordBatch]:
-                if who:
-                    ints = [np.concatenate(x) for x in zip(*parts)]
-                    short = ints[2] - ints[1] < LEAST
-                    yield rows_of(who, {**{c: pa.array(v.astype(np.int32)) for c, v in zip(("i", "a", "b"), ints)}, "rep": _binary(np.concatenate(reps)), **{k: pa.array(v, mask=short) for k, v in zip(bands, ints[3:])}})
-                if whose:
-                    p, a, b, x, y = (np.concatenate(v) for v in zip(*places))
-                    yield rows_of(whose, {**{c: pa.array(v.astype(np.int32)) for c, v in (("p", p), ("a", a), ("b", b))}, "x": pa.array(x), "y": pa.array(y)})
-                for table in (who, parts, reps, whose, places):
-                    table.clear()
-
-            total = 0
-            for r, value in enumerate(batch.column(2)):
-                h, lines = hashed_words(value.as_py())
-                if len(h) < shortest:
-                    continue
-                a = cut(h, lines)
-                b = np.append(a[1:], len(h))
-                keep = np.flatnonzero(b - a >= shortest)
+            for row, (texts,) in texts_in(batch.column(2)):
+                h, words, lines = hashed_texts(texts)
+                start = np.cumsum(words) - words
+
+                def rows_of(ints: dict[str, np.ndarray], columns: dict[str, pa.Array]) -> pa.RecordBatch:
+                    """Places are counted in their texts."""
+                    whose = np.searchsorted(start, ints["a"], "right") - 1
+                    columns = columns | {c: pa.array((v - start[whose]).astype(np.int32)) for c, v in ints.items()}
+                    if "rep" in columns:
+                        columns["i"] = pa.array((keep - np.searchsorted(pieces, start)[whose]).astype(np.int32))
+                    rest = [columns[c] if c in columns else pa.nulls(len(whose), kinds.get(c, pa.int32())) for c in names[2:]]
+                    at = pa.array(whose + row)
+                    return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *rest], names)
+
+                pieces = cut(h, lines)
+                ends = np.append(pieces, len(h))[1:]
+                keep = np.flatnonzero(ends - pieces >= shortest)
                 if len(keep):
-                    a, b = a[keep], b[keep]
+                    a, b = pieces[keep], ends[keep]
                     keys = np.zeros((BANDS, len(a)), np.int64)
                     if len(long := np.flatnonzero(b - a >= LEAST)):
                         keys[:, long] = minima(hashed_windows(h, width), a[long], b[long])
-                    who.append((r, len(a)))
-                    parts.append([keep, a, b, *keys])
-                    reps.append(np.stack([hashed_ranges(h, a, b, kind) for kind in (0, 1)], axis=1))
-                    total += len(a)
-                if passages and len(h) >= PASSAGE:
-                    p, x, a, b = _stretches(h)
-                    y = hashed_ranges(h, a, b, 1).view(np.int64)
-                    whose.append((r, len(p)))
-                    places.append([p, a, b, x.view(np.int64), y])
-                    total += len(p)
-                if total >= 100_000:
-                    yield from out()
-                    total = 0
-            yield from out()
+                    reps = np.stack([hashed_ranges(h, a, b, kind) for kind in (0, 1)], axis=1)
+                    yield rows_of({"a": a, "b": b}, {"rep": _binary(reps), **{k: pa.array(v, mask=b - a < LEAST) for k, v in zip(bands, keys)}})
+                if passages:
+                    p, x, a, b = _stretches(h, words)
+                    if len(p):
+                        yield rows_of({"p": p, "a": a, "b": b}, {"x": pa.array(x.view(np.int64)), "y": pa.array(hashed_ranges(h, a, b, 1).view(np.int64))})
         release()
 
     return docs.select("id", "h", text).mapInArrow(run, schema)
@@ -190,13 +181,15 @@ def _texts(rows: DataFrame, needed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, found = [], []
-            for x, spots in zip(batch.column(0), batch.column(1)):
-                words = split_words(x.as_py())
-                for s in spots.as_py():
-                    reps.append(s["rep"])
-                    found.append(b" ".join(words[s["a"] : s["b"]]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.binary()), pa.array(found, pa.string())], ["rep", "text"])
+            found = []
+            own = batch.column(1).flatten()
+            a, b = (own.field(k).to_pylist() for k in ("a", "b"))
+            at = 0
+            for x, n in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), pc.list_value_length(batch.column(1)).to_pylist()):
+                words = (x or b"").lower().split()
+                found += [b" ".join(words[a[j] : b[j]]) for j in range(at, at + n)]
+                at += n
+            yield pa.RecordBatch.from_arrays([own.field("rep"), pa.array(found, pa.binary()).cast(pa.string())], ["rep", "text"])
 
     return both.mapInArrow(run, "rep binary, text string").dropDuplicates(["rep"])
 
@@ -208,13 +201,15 @@ def _windows(rows: DataFrame, stretches: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                own = hashed_windows(hashed_words(batch.column(2)[r].as_py())[0], PASSAGE).view(np.int64)
-                spots = batch.column(3)[r].values
-                a, b = (spots.field(k).to_numpy() for k in ("a", "b"))
+            for row, (texts,) in texts_in(batch.column(2)):
+                h, words, _ = hashed_texts(texts)
+                own = hashed_windows(h, PASSAGE).view(np.int64)
+                spots = batch.column(3).slice(row, len(texts))
+                whose = np.repeat(np.arange(len(texts)), pc.list_value_length(spots).to_numpy())
+                a, b = (spots.flatten().field(k).to_numpy() for k in ("a", "b"))
                 n = b - a - PASSAGE + 1
-                place = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-                at = pa.array(np.full(len(a), r))
+                place = np.repeat(a + (np.cumsum(words) - words)[whose] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                at = pa.array(whose + row)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(own[place]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(a), lists], ["id", "h", "a", "w"])
         release()
@@ -225,20 +220,18 @@ def _windows(rows: DataFrame, stretches: DataFrame) -> DataFrame:
 def _merged(spans: Column) -> Column:
     """Spans (sorted) of words as the fewest that cover the same words."""
 
-    @F.pandas_udf("array<struct<a:int,b:int>>")
-    def fewest(column):
-        out = []
-        for own in column:
-            got: list[dict[str, int]] = []
-            for s in own:
-                if got and s["a"] <= got[-1]["b"]:
-                    got[-1]["b"] = max(got[-1]["b"], s["b"])
-                else:
-                    got.append({"a": s["a"], "b": s["b"]})
-            out.append(got)
-        import pandas as pd
-
-        return pd.Series(out)
+    @F.arrow_udf("array<struct<a:int,b:int>>")
+    def fewest(column: pa.Array) -> pa.Array:
+        n = pc.list_value_length(column).to_numpy()
+        own = column.flatten()
+        far = np.repeat(np.arange(len(n), dtype=np.int64) << 32, n)  # each row's words behind those of the row before
+        a, b = (own.field(k).to_numpy() + far for k in ("a", "b"))
+        upto = np.maximum.accumulate(b)
+        first = np.flatnonzero(a > np.append(-1, upto)[:-1])
+        last = np.append(first, len(a))[1:] - 1
+        parts = [pa.array((x & (2**32 - 1)).astype(np.int32)) for x in (a[first], upto[last])]
+        ends = np.searchsorted(first, np.append(0, np.cumsum(n)))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays(parts, ["a", "b"]))
 
     return fewest(spans)
 
@@ -251,7 +244,7 @@ def _pieces(docs: DataFrame, rows: DataFrame, every: DataFrame, percent: int, wi
     spots = own.select("rep", F.struct(F.coalesce("id", F.lit("")).alias("id"), "h", "a", "b").alias("at"), *[f"k{j}" for j in range(BANDS)]).join(nodes, "rep", "left_semi")
     traits = written(spots.groupBy("rep").agg(F.min("at").alias("at"), *[F.first(f"k{j}").alias(f"k{j}") for j in range(BANDS)]), "nodes")
     texts = written(_texts(rows, traits.select("rep", "at.*")), "texts")
-    found = link(met, traits.drop("at"), texts, lambda x: shingles_of(x, width), lambda p, q: F.lit(True), percent)
+    found = link(met, traits.drop("at"), texts, lambda x: shingle_sets(x, width), lambda p, q: F.lit(True), percent)
     often = own.groupBy("rep").agg(F.count("*").alias("n"), F.min("id").alias("_")).where("n > 1").select(F.col("rep").alias("node"), F.col("rep").alias("component"))
     groups = written(found.unionByName(often.join(found, "node", "left_anti")), "groups").withColumnRenamed("node", "rep")
     drop_written(met, traits, texts)
