@@ -3,11 +3,13 @@
 A node has some keys. First each node of a key is held against the key's first
 node, and linked ones make components. Where nodes of a key are in different
 components still, every pair of such nodes that could be linked is held against
-each other: pairs that share one of their rarest shingles (an exact prefix
-filter, in the order of frequency among these nodes), without those that the
-triangle inequality of the Jaccard distance rules out (distances to a node that
-both were held against are known by then). So pairs grow with the members of a
-group, and no link that could join two components is lost.
+each other. Of keys with few nodes these are all pairs that are plausible; of
+others, pairs that share one of their rarest shingles (an exact prefix filter,
+in the order of frequency among these nodes), early enough in that order that
+what follows could suffice, without those that the triangle inequality of the
+Jaccard distance rules out (distances to a node that both were held against are
+known by then). So pairs grow with the members of a group, and no link that
+could join two components is lost. Texts are fetched of the nodes that need it.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from .components import components
 Sets = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 #: Nodes up to which a shingle is rare.
 RARE = 1_000
-#: Shingles by which repetitions of a pair are known early.
+#: Shingles, the first in the order, by which repetitions of a pair are known early.
 FIRST = 10
 
 
@@ -87,10 +89,11 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingles: Sets) -> DataFrame:
 
 
 def _rarest(nodes: DataFrame, texts: DataFrame, shingles: Sets, percent: int) -> DataFrame:
-    """rep, x, rare, first (those with the least hashes among the rare ones or the others, as x is), n_rare, n_often: of each node's shingles the rarest among ``nodes``, so many that two linked nodes share one of them.
+    """rep, x, rare, first (the first of the rare ones or of the others, as x is), n_rare, n_often, after (how many of the node's shingles follow x in the order): of each node's shingles the rarest among ``nodes``, so many that two linked nodes share one of them.
 
     Sets with a similarity of t have ceil(t n) of n shingles in common at least, so that the first n - ceil(t n) + 1 of
     each in one order for all share one. Rare ones first, a passage that many texts share brings none of them together.
+    Shingles that a single node has come first of all; they are counted, and go no further.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,48 +107,68 @@ def _rarest(nodes: DataFrame, texts: DataFrame, shingles: Sets, percent: int) ->
     kind = nodes.schema["rep"].dataType.simpleString()
     rows = written(texts.join(nodes, "rep", "left_semi").select("rep", "text").mapInArrow(run, f"rep {kind}, x long"), "shingles")
     often = written(rows.groupBy("x").agg(F.count("*").alias("n")).where("n > 1"), "often")  # one that a single node has brings nothing together
-    ranked = rows.join(often, "x", "left").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "x"))).alias("own"))
-    first = F.size("own") - F.ceil(F.size("own") * F.lit(percent) / 100).cast("int") + 1
-    n_rare = F.size(F.filter("own", lambda s: s["n"] <= RARE))
-    each = ranked.select("rep", n_rare.alias("n_rare"), (F.size("own") - n_rare).alias("n_often"), F.filter(F.slice("own", F.lit(1), first), lambda s: s["n"] > 1).alias("first"))
-    each = each.withColumn("s", F.explode("first"))
-    each = each.select("rep", F.col("s.x").alias("x"), (F.col("s.n") <= RARE).alias("rare"), F.slice(F.array_sort(F.transform(F.filter("first", lambda s: (s["n"] <= RARE) == (F.col("s.n") <= RARE)), lambda s: s["x"])), 1, FIRST).alias("first"), "n_rare", "n_often")
+    sizes = rows.groupBy("rep").agg(F.count("*").cast("int").alias("size"))
+    ranked = rows.join(often, "x").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("own")).join(sizes, "rep")
+    single = F.col("size") - F.size("own")
+    first = F.col("size") - F.ceil(F.col("size") * F.lit(percent) / 100).cast("int") + 1 - single
+    n_often = F.size(F.filter("own", lambda s: s["n"] > RARE))
+    each = ranked.select("rep", (F.col("size") - n_often).alias("n_rare"), n_often.alias("n_often"), F.size("own").alias("n_own"), F.slice("own", F.lit(1), F.greatest(first, F.lit(0))).alias("first"))
+    each = each.select("*", F.posexplode("first").alias("at", "s"))
+    each = each.select("rep", F.col("s.x").alias("x"), (F.col("s.n") <= RARE).alias("rare"), F.slice(F.transform(F.filter("first", lambda s: (s["n"] <= RARE) == (F.col("s.n") <= RARE)), lambda s: s["x"]), 1, FIRST).alias("first"), "n_rare", "n_often", (F.col("n_own") - F.col("at") - 1).alias("after"))
     out = written(each, "rarest")
     drop_written(rows, often)
     return out
 
 
-def link(met: DataFrame, traits: DataFrame, texts: DataFrame, shingles: Sets, plausible: Callable[[str, str], Column], percent: int) -> DataFrame:
+def link(met: DataFrame, traits: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles: Sets, plausible: Callable[[str, str], Column], percent: int, direct: int = 0) -> DataFrame:
     """node, component of the nodes that have a link.
 
     met: of ``shared_keys``. traits: rep and the columns that ``plausible(alias, alias)`` needs; it is true of all links.
-    texts: rep and text of the nodes in met; ``shingles`` makes the sets of many of them.
+    texts: gives rep and text of nodes in met (a table of rep), of others too if it likes; ``shingles`` makes the sets of
+    many of them. direct: nodes up to which all pairs of a key are tried by their traits; 0 if those say little.
     """
     linked = lambda t: t.where(f"100 * common >= {percent} * either").select("a", "b")
+    ends = lambda t: t.select(F.col("a").alias("rep")).unionByName(t.select(F.col("b").alias("rep")))
 
-    def tested(pairs: DataFrame) -> DataFrame:
+    def near_ones(pairs: DataFrame) -> DataFrame:
         near = pairs.join(traits.alias("p"), F.col("a") == F.col("p.rep")).join(traits.alias("q"), F.col("b") == F.col("q.rep")).where(plausible("p", "q")).select("a", "b")
-        return written(confirm(near, texts, shingles), "confirmed")
+        return written(near, "near")
 
-    to_pivot = tested(met.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+    close = near_ones(met.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+    to_pivot = written(confirm(close, texts(ends(close).distinct()), shingles), "confirmed")
     links = linked(to_pivot)
     found = components(links)
-    named = met.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    named = met.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "pivot", F.coalesce("component", "rep").alias("component"))
     named = written(named, "named")
-    split = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least != most and n > 2").select("key")
+    split = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least != most and n > 2").select("key", "n")
     split = written(split, "split")
-    apart = written(named.join(split, "key").select("rep", "component").distinct(), "apart")
-    drop_written(named, split)
-    if apart.isEmpty():
-        drop_written(to_pivot, apart)
+    apart = written(named.join(split.where(F.col("n") > direct), "key").select("rep", "component").distinct(), "apart")
+    few = named.where("rep != pivot").join(split.where(F.col("n") <= direct), "key")  # all were held against the pivot
+    beside = few.alias("p").join(few.alias("q"), "key").where("p.rep < q.rep and p.component != q.component").select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"))
+    beside = near_ones(beside.distinct())
+    drop_written(close, named, split)
+    if apart.isEmpty() and beside.isEmpty():
+        drop_written(to_pivot, apart, beside)
         return found
+    own = texts(ends(beside).unionByName(apart.select("rep")).distinct())
+    pairs = _pairs(apart, to_pivot, own, shingles, percent)
+    close = near_ones(pairs)
+    last = written(confirm(beside.unionByName(close).distinct(), own, shingles), "confirmed")
+    more = linked(last)
+    out = found if more.isEmpty() else components(links.unionByName(more))
+    drop_written(apart, beside, pairs, close, to_pivot, last)
+    return out
+
+
+def _pairs(apart: DataFrame, to_pivot: DataFrame, texts: DataFrame, shingles: Sets, percent: int) -> DataFrame:
+    """a, b: pairs of nodes apart, of which each has its component, that could be linked; to_pivot: sizes of intersection and union of b's and its pivot's sets."""
     # distance to one node that others were held against too
     to_first = to_pivot.select(F.col("b").alias("rep"), F.struct(F.col("a").alias("pivot"), (1 - F.col("common") / F.col("either")).alias("d")).alias("to"))
     itself = to_pivot.select(F.col("a").alias("rep"), F.struct(F.col("a").alias("pivot"), F.lit(0.0).alias("d")).alias("to"))
     near = to_first.unionByName(itself).groupBy("rep").agg(F.min("to").alias("to"))
     rarest = _rarest(apart.select("rep"), texts, shingles, percent)
     kept = written(rarest.join(apart, "rep").join(near, "rep", "left"), "rest")
-    drop_written(rarest, apart)
+    drop_written(rarest)
     # what isn't rare meets only where its nodes could have enough in common at all, and by how many such shingles they
     # have: of linked nodes neither number exceeds the other by more than the similarity allows, so the logarithms' whole
     # parts differ by one at most (the base is a little larger, so that rounding can't part them)
@@ -159,12 +182,11 @@ def link(met: DataFrame, traits: DataFrame, texts: DataFrame, shingles: Sets, pl
     # their intersection is made of the others and their union holds all rare ones of both
     least, most = F.least("p.n_often", "q.n_often"), F.greatest("p.n_often", "q.n_often")
     enough = F.col("p.rare") | (100 * least >= percent * (most + F.col("p.n_rare") + F.col("q.n_rare")))
+    # whatever else they share follows the first in the order of both
+    sizes = F.col("p.n_rare") + F.col("p.n_often") + F.col("q.n_rare") + F.col("q.n_often")
+    enough &= (100 + percent) * (1 + F.least("p.after", "q.after")) >= percent * sizes
     once = F.coalesce(F.get(F.array_intersect("p.first", "q.first"), F.lit(0)) == F.col("p.x"), F.lit(True))  # spares most repetitions of a pair
     rest = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.size") == F.col("q.size")) & (F.col("p.rep") < F.col("q.rep")) & (F.col("p.component") != F.col("q.component")) & enough & ~ruled_out & once)
-    pairs = written(rest.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct(), "pairs")
+    out = written(rest.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct(), "pairs")
     drop_written(kept)
-    last = tested(pairs)
-    more = linked(last)
-    out = found if more.isEmpty() else components(links.unionByName(more))
-    drop_written(pairs, to_pivot, last)
     return out

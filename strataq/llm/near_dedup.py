@@ -31,12 +31,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, drop_written, hashed_ranges, hashed_texts, hashed_windows, hashed_words, others, ref, release, written
+from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, drop_written, hashed_ranges, hashed_texts, hashed_windows, hashed_words, likely_in, others, ref, release, written
 from .components import components
 from .linking import link, shared_keys
 
 CHUNKS, LANES = 12, 4
 DISTANCE = 2 * CHUNKS - 1
+#: Nodes of a key up to which all its pairs are held against the signature distance.
+DIRECT = 16
 SIGNATURE = [f"s{c}" for c in range(CHUNKS)]
 _MULTIPLIERS = np.random.default_rng(20240607).integers(0, 2**63, CHUNKS * LANES, np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -125,11 +127,17 @@ def groups(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARIT
     sets = written(known.groupBy("set_hash").agg(F.min(F.struct("doc_id", "h")).alias("of"), F.first("n_shingles").alias("n_shingles"), *[F.first(s).alias(s) for s in SIGNATURE]), "classes")
     classes = sets.withColumnRenamed("set_hash", "rep")
     met = shared_keys(classes.select("rep", F.col("of.doc_id").alias("ord"), F.explode(F.array(*_keys(lambda c: F.col(f"s{c}")))).alias("key")))
-    spots = classes.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "of.doc_id", "of.h")
-    all_texts = docs.select(ref(doc).alias("doc_id"), F.xxhash64(ref(text)).alias("h"), F.coalesce(ref(text), F.lit("")).alias("text"))
-    texts = written(all_texts.join(spots, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("rep", "text"), "texts")
-    found = written(link(met, classes.select("rep", "n_shingles", *SIGNATURE), texts, lambda x: shingle_sets(x, width), lambda p, q: _plausible(p, q, percent), percent), "found")
-    drop_written(met, texts)
+    read: list[DataFrame] = []
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        spots = written(classes.join(nodes, "rep", "left_semi").select("rep", "of.doc_id", "of.h"), "spots")
+        all_texts = docs.select(ref(doc).alias("doc_id"), F.xxhash64(ref(text)).alias("h"), F.coalesce(ref(text), F.lit("")).alias("text"))
+        read.append(written(likely_in(all_texts, "h", spots).join(spots, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("rep", "text"), "texts"))
+        drop_written(spots)
+        return read[-1]
+
+    found = written(link(met, classes.select("rep", "n_shingles", *SIGNATURE), texts, lambda x: shingle_sets(x, width), lambda p, q: _plausible(p, q, percent), percent, DIRECT), "found")
+    drop_written(met, *read)
     named = classes.select("rep", "of.doc_id").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(least, "component").select(F.col("rep").alias("set_hash"), "component_id")

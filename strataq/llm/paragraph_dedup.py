@@ -244,7 +244,7 @@ def _pieces(docs: DataFrame, rows: DataFrame, every: DataFrame, percent: int, wi
     spots = own.select("rep", F.struct(F.coalesce("id", F.lit("")).alias("id"), "h", "a", "b").alias("at"), *[f"k{j}" for j in range(BANDS)]).join(nodes, "rep", "left_semi")
     traits = written(spots.groupBy("rep").agg(F.min("at").alias("at"), *[F.first(f"k{j}").alias(f"k{j}") for j in range(BANDS)]), "nodes")
     texts = written(_texts(rows, traits.select("rep", "at.*")), "texts")
-    found = link(met, traits.drop("at"), texts, lambda x: shingle_sets(x, width), lambda p, q: F.lit(True), percent)
+    found = link(met, traits.drop("at"), lambda _: texts, lambda x: shingle_sets(x, width), lambda p, q: F.lit(True), percent)
     often = own.groupBy("rep").agg(F.count("*").alias("n"), F.min("id").alias("_")).where("n > 1").select(F.col("rep").alias("node"), F.col("rep").alias("component"))
     groups = written(found.unionByName(often.join(found, "node", "left_anti")), "groups").withColumnRenamed("node", "rep")
     drop_written(met, traits, texts)
