@@ -143,20 +143,23 @@ def link(met: DataFrame, traits: DataFrame, texts: Callable[[DataFrame], DataFra
     split = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least != most and n > 2").select("key", "n")
     split = written(split, "split")
     apart = written(named.join(split.where(F.col("n") > direct), "key").select("rep", "component").distinct(), "apart")
-    few = named.where("rep != pivot").join(split.where(F.col("n") <= direct), "key")  # all were held against the pivot
-    beside = few.alias("p").join(few.alias("q"), "key").where("p.rep < q.rep and p.component != q.component").select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"))
-    beside = near_ones(beside.distinct())
-    drop_written(close, named, split)
+    beside = close.limit(0)
+    if direct:
+        few = named.where("rep != pivot").join(split.where(F.col("n") <= direct), "key")  # all were held against the pivot
+        beside = few.alias("p").join(few.alias("q"), "key").where("p.rep < q.rep and p.component != q.component").select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"))
+        beside = near_ones(beside.distinct())
+    tried = [beside] if direct else []
+    drop_written(named, split)
     if apart.isEmpty() and beside.isEmpty():
-        drop_written(to_pivot, apart, beside)
+        drop_written(close, to_pivot, apart, *tried)
         return found
     own = texts(ends(beside).unionByName(apart.select("rep")).distinct())
     pairs = _pairs(apart, to_pivot, own, shingles, percent)
-    close = near_ones(pairs)
-    last = written(confirm(beside.unionByName(close).distinct(), own, shingles), "confirmed")
+    rest = near_ones(pairs)
+    last = written(confirm(beside.unionByName(rest).distinct() if direct else rest, own, shingles), "confirmed")
     more = linked(last)
     out = found if more.isEmpty() else components(links.unionByName(more))
-    drop_written(apart, beside, pairs, close, to_pivot, last)
+    drop_written(close, apart, pairs, rest, to_pivot, last, *tried)
     return out
 
 
