@@ -203,8 +203,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def in_gray_order(prints: DataFrame, part: int = PART) -> DataFrame:
-    """rank, part of different fingerprints (column ``fingerprint``, each once): written, parts of about as many neighbours, at most about ``part``."""
-    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() // part))
+    """rank, part of different fingerprints (column ``fingerprint``, each once): written, parts of about as many neighbours, at most about ``part``.
+
+    As few parts as that allows, but one a task that can run at once: visits grow with the square of the number's logarithm.
+    """
+    parts = max(prints.sparkSession.sparkContext.defaultParallelism, -(-prints.count() // part))
     ranks = prints.select(gray_rank(F.col("fingerprint")).alias("rank"))
     return written(ranks.repartitionByRange(parts, "rank").withColumn("part", F.spark_partition_id()), "gray")
 
