@@ -2,15 +2,16 @@
 
 Which sources of a language use its words unlike the others, and which words
 mark a source. Terms are counted once a (language, source, term), first within
-batches and tasks. The counts of a language are dealt by a hash of the term into
-chunks of about ``CHUNK`` counts; a chunk keeps the terms that occur in enough
-documents as a sorted array, so that a term's id is its place there (by
-searchsorted) and ids have the order of UTF-8. Chunks are written as such arrays
-of ids and counts; sums over them give each group's N and each language's V.
-Then each chunk is read once more: bincount makes a dense vector a group, from
-which exact integer divergences follow, summed a pair of sources over all chunks,
-and each chunk's best terms a source, in the order of value and id, go on to one
-ranking. What one task holds is a chunk and one row a source of its language.
+batches and tasks. Counts are dealt by a hash of language and term into chunks
+of about ``CHUNK`` counts, so that no language and no source is in one task. A
+chunk keeps the terms that occur in enough documents as sorted arrays, one a
+language, so that a term's id is its place there (by searchsorted) and ids have
+the order of UTF-8. Chunks are written as such arrays of ids and counts; sums
+over them give each group's N and each language's V. Then each chunk is read
+once more: bincount makes a dense vector a group, from which exact integer
+divergences follow, summed a pair of sources over all chunks, and each chunk's
+best terms a source, in the order of value and id, go on to one ranking. What
+one task holds is a chunk and one row a source of its language.
 
 Cases: null text, lang and source are empty ones; doc_id isn't looked at, so
 rows that repeat are documents of their own; empty texts have no terms, but their
@@ -35,8 +36,8 @@ from .common import drop_written, ref, release, texts_in, written
 
 #: Documents of a language that a kept term has, at least; best terms a source that are reported.
 LEAST_DOCS, BEST = 3, 200
-#: Counts a chunk has, about; chunks of a language, at least; numbers of a dense block; counts that a task holds before it sends them on.
-CHUNK, CHUNKS, DENSE, HELD = 1 << 17, 8, 1 << 20, 200_000
+#: Counts a chunk has, about; numbers of a dense block; counts that a task holds before it sends them on; groups that are broadcast.
+CHUNK, DENSE, HELD, BROADCAST = 1 << 17, 1 << 20, 200_000, 50_000
 _BLOCK = 1 << 20
 #: Bytes of terms as they are, A-Z lowered; all others are spaces.
 _TERM_BYTES = bytes(x + 32 if 0x41 <= x <= 0x5A else x if 0x61 <= x <= 0x7A or x >= 0x80 else 0x20 for x in range(256))
@@ -95,36 +96,37 @@ def term_counts(docs: DataFrame, *, lang: str = "lang", source: str = "source",
 
 
 def _encoded(counts: DataFrame, least_docs: int, chunk: int) -> DataFrame:
-    """lang, chunk, terms (sorted), groups: a row a chunk that keeps a term; groups: source with ids and counts of its terms."""
-    sizes = counts.groupBy("lang").agg(F.count("*").alias("rows"))
-    chunks = F.greatest(F.lit(CHUNKS), F.ceil(F.col("rows") / chunk)).cast("int")
-    dealt = counts.join(sizes, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), chunks).cast("int")).drop("rows")
-    kind = "lang string, chunk int, terms array<binary>, groups array<struct<source:string,ids:array<int>,counts:array<bigint>>>"
+    """lang, terms (sorted), groups: a row a chunk and language in it that keeps a term; groups: source with ids and counts of its terms."""
+    chunks = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // chunk))
+    dealt = counts.withColumn("chunk", F.pmod(F.xxhash64("lang", "term"), F.lit(chunks)).cast("int"))
+    kind = "lang string, terms array<binary>, groups array<struct<source:string,ids:array<int>,counts:array<bigint>>>"
     groups_type = pa.list_(pa.struct([("source", pa.string()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))]))
 
-    def encode(key: tuple, rows: pa.Table) -> pa.Table:
-        term, source, n, docs = (rows.column(c).combine_chunks() for c in ("term", "source", "n", "docs"))
-        every, place = np.unique(np.array(term.to_pylist(), object), return_inverse=True)
-        kept = every[np.bincount(place, docs.to_numpy(), len(every)) >= least_docs]  # sorted, as bytes are
+    def of_lang(term: pa.Array, source: pa.Array, n: np.ndarray, docs: np.ndarray) -> tuple[list[bytes], list[dict]]:
         encoded = term.dictionary_encode()
-        own = np.array(encoded.dictionary.to_pylist(), object)
-        ids = np.searchsorted(kept, own)
-        there = np.zeros(len(own), bool)
-        there[ids < len(kept)] = kept[ids[ids < len(kept)]] == own[ids < len(kept)]
-        at = encoded.indices.to_numpy()
-        stay = np.flatnonzero(there[at])
-        names, whose = np.unique(np.array(source.take(pa.array(stay)).to_pylist(), object), return_inverse=True)
-        order = np.argsort(whose, kind="stable")
-        sizes = np.bincount(whose, minlength=len(names)) if len(names) else np.empty(0, np.int64)
-        own_ids, own_counts = ids[at[stay]][order].astype(np.int32), n.to_numpy()[stay][order]
-        groups = [{"source": s, "ids": i, "counts": c} for s, i, c in zip(names, np.split(own_ids, np.cumsum(sizes)[:-1]), np.split(own_counts, np.cumsum(sizes)[:-1]))]
-        some = [0] if len(kept) else []
-        return pa.table({
-            "lang": pa.array([key[0].as_py() for _ in some], pa.string()), "chunk": pa.array([key[1].as_py() for _ in some], pa.int32()),
-            "terms": pa.array([list(kept) for _ in some], pa.list_(pa.binary())), "groups": pa.array([groups for _ in some], groups_type),
-        })
-
-    return dealt.groupBy("lang", "chunk").applyInArrow(encode, kind)
+        own, at = np.array([*encoded.dictionary.to_pylist(), None], object)[:-1], encoded.indices.to_numpy()
+        enough = np.bincount(at, docs, len(own)) >= least_docs
+        kept = np.sort(own[enough])  # as bytes are
+        ids = np.full(len(own), -1, np.int32)
+        ids[enough] = np.searchsorted(kept, own[enough])
+        stay = np.flatnonzero(enough[at])
+        sources = source.take(pa.array(stay)).dictionary_encode()
+        order = np.argsort(sources.indices.to_numpy(), kind="stable")
+        ends = np.cumsum(np.bincount(sources.indices.to_numpy(), minlength=len(sources.dictionary)))[:-1]
+        each = zip(sources.dictionary.to_pylist(), np.split(ids[at[stay]][order], ends), np.split(n[stay][order], ends))
+        return list(kept), [{"source": s, "ids": i, "counts": c} for s, i, c in each] if len(kept) else []
+
+    def encode(rows: pa.Table) -> pa.Table:
+        langs = rows.column("lang").combine_chunks().dictionary_encode()
+        whose, found = langs.indices.to_numpy(), {}
+        for k, lang in enumerate(langs.dictionary.to_pylist()):
+            some = rows.take(pa.array(np.flatnonzero(whose == k)))
+            term, source, n, docs = (some.column(c).combine_chunks() for c in ("term", "source", "n", "docs"))
+            found[lang] = of_lang(term, source, n.to_numpy(), docs.to_numpy())
+        found = {lang: x for lang, x in found.items() if x[0]}
+        return pa.table({"lang": pa.array(list(found), pa.string()), "terms": pa.array([x[0] for x in found.values()], pa.list_(pa.binary())), "groups": pa.array([x[1] for x in found.values()], groups_type)})
+
+    return dealt.groupBy("chunk").applyInArrow(encode, kind)
 
 
 def share(count: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -151,7 +153,7 @@ def audit(docs: DataFrame, *, lang: str = "lang", source: str = "source", text:
     drop_written(counts)
     kept = encoded.groupBy("lang").agg(F.sum(F.size("terms").cast("long")).alias("v"))
     totals = groups.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("all")).join(kept, "lang")
-    met = encoded.join(totals, "lang").select("lang", "terms", "groups", "all", "v")
+    met = encoded.join(F.broadcast(totals) if groups.count() <= BROADCAST else totals, "lang").select("lang", "terms", "groups", "all", "v")
     names = ["lang", "source", "part", "item", "value"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +178,7 @@ def audit(docs: DataFrame, *, lang: str = "lang", source: str = "source", text:
                     wide = min(step, len(terms) - low)
                     here = slice(*np.searchsorted(ids, [low, low + wide]))
                     count = np.zeros((len(n), wide), np.int64)
-                    np.add.at(count, (whose[here], ids[here] - low), own_counts[here])
+                    count.ravel()[whose[here] * wide + ids[here] - low] = own_counts[here]  # a source and term has one count
                     p, q = share(count, total), share(count.sum(0), np.int64(n.sum() + v))
                     for i in range(len(n)):
                         apart[i] += divergence(p[i], p).sum(1)
