@@ -10,8 +10,8 @@ from the root and adds up the differing bits of the patterns that it passes, so
 that a whole group goes as soon as the sum is too large, and each bit is
 compared once on a way.
 
-The upper nodes, over the parts, are one small table (a mask, a pattern and a
-part each ``PART`` fingerprints) that every task has. By it a fingerprint visits
+The upper nodes, over the parts, are one small table (a mask and a pattern each
+``PART`` fingerprints) that every task has. By it a fingerprint visits
 its own part and the later ones that it may have neighbours in; each part's own
 index is built and searched in one task, which holds the part's fingerprints
 (visitors go by in batches). So all pairs within the distance are found, each in
@@ -34,15 +34,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_written, others, ref, release, texts_in, written
 from .components import components
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
-#: Fingerprints of a part, about; children of a node; queries that are searched together.
-PART, FAN, TOGETHER = 1 << 16, 8, 1 << 10
+#: Fingerprints of a part, about; stretches that make one; children of a node; queries that are searched together.
+PART, STRETCHES, FAN, TOGETHER = 1 << 16, 4, 8, 1 << 10
 #: Bytes of a text that are taken apart at once; shingles whose bits are counted at once.
 _BLOCK, _COUNTED = 1 << 20, 1 << 16
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -202,33 +202,44 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
-def in_gray_order(prints: DataFrame, part: int = PART) -> DataFrame:
-    """rank, part of different fingerprints (column ``fingerprint``, each once): written, parts of about as many neighbours, at most about ``part``.
+def _parts(spark: SparkSession, n: int, part: int) -> int:
+    """As few parts as ``part`` allows, but one a task that can run at once: visits grow with the square of the number's logarithm."""
+    return max(spark.sparkContext.defaultParallelism, -(-n // part))
 
-    As few parts as that allows, but one a task that can run at once: visits grow with the square of the number's logarithm.
-    """
-    parts = max(prints.sparkSession.sparkContext.defaultParallelism, -(-prints.count() // part))
+
+def in_gray_order(prints: DataFrame, part: int = PART) -> DataFrame:
+    """rank, stretch of different fingerprints (column ``fingerprint``, each once): written, stretches of neighbours, several a part."""
+    stretches = STRETCHES * _parts(prints.sparkSession, prints.count(), part)
     ranks = prints.select(gray_rank(F.col("fingerprint")).alias("rank"))
-    return written(ranks.repartitionByRange(parts, "rank").withColumn("part", F.spark_partition_id()), "gray")
+    return written(ranks.repartitionByRange(stretches, "rank").withColumn("stretch", F.spark_partition_id()), "gray")
 
 
-def links(dealt: DataFrame, distance: int = DISTANCE, *, thin: bool = False) -> DataFrame:
+def links(dealt: DataFrame, distance: int = DISTANCE, *, part: int = PART, thin: bool = False) -> DataFrame:
     """a, b (longs): pairs of the fingerprints of ``in_gray_order`` with at most ``distance`` differing bits.
 
+    Neighbouring stretches make a part of about ``part`` fingerprints, or as many parts as tasks run at once.
     thin: fewer links, at most one a fingerprint and batch, that connect the same ones (they need not be near themselves).
     """
     code = F.col("rank").bitwiseXOR(F.lit(-_TOP))
     code = code.bitwiseXOR(F.shiftrightunsigned(code, 1))
-    # one row a part: its number grows with the table, a 65,536th as fast
-    uppers = dealt.groupBy("part").agg(F.bit_and(code).alias("low"), F.bit_or(code).alias("high")).orderBy("part").collect()
-    low, high = (np.array([r[c] for r in uppers], np.int64).view(np.uint64) for c in ("low", "high"))
-    numbers, upper = np.array([r["part"] for r in uppers], np.int32), GrayIndex(low, ~(low ^ high))
+    # one row a stretch: their number grows with the table, a 16,384th as fast
+    rows = dealt.groupBy("stretch").agg(F.bit_and(code).alias("low"), F.bit_or(code).alias("high"), F.count("*").alias("n")).orderBy("stretch").collect()
+    low, high = (np.array([r[c] for r in rows], np.int64).view(np.uint64) for c in ("low", "high"))
+    sizes, stretches = np.array([r["n"] for r in rows], np.int64), np.array([r["stretch"] for r in rows], np.int64)
+    n, parts = int(sizes.sum()), _parts(dealt.sparkSession, int(sizes.sum()), part)
+    own_part = (np.cumsum(sizes) - sizes) * parts // max(1, n)
+    numbers, first = np.unique(own_part, return_index=True)
+    if len(rows):
+        low, high = np.bitwise_and.reduceat(low, first), np.bitwise_or.reduceat(high, first)
+    upper = GrayIndex(low, ~(low ^ high))
+    part_of = np.zeros(int(stretches.max(initial=0)) + 1, np.int32)
+    part_of[stretches] = own_part
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ranks, own = b.column(0).to_numpy(), b.column(1).to_numpy()
+            ranks, own = b.column(0).to_numpy(), part_of[b.column(1).to_numpy()]
             for query, node in upper.near(from_rank(ranks), distance):
-                to = numbers[node]
+                to = numbers[node].astype(np.int32)
                 later = to >= own[query]
                 query, to = query[later], to[later]
                 yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(to != own[query]), pa.array(ranks[query])], ["part", "visitor", "rank"])
@@ -269,8 +280,8 @@ def links(dealt: DataFrame, distance: int = DISTANCE, *, thin: bool = False) ->
             yield from among()
         release()
 
-    met = dealt.select("rank", "part").mapInArrow(visits, "part int, visitor boolean, rank long")
-    met = met.repartition(max(1, len(uppers)), "part").sortWithinPartitions("part", "visitor", "rank")
+    met = dealt.select("rank", "stretch").mapInArrow(visits, "part int, visitor boolean, rank long")
+    met = met.repartition(max(1, len(numbers)), "part").sortWithinPartitions("part", "visitor", "rank")
     return met.mapInArrow(found, "a long, b long")
 
 
@@ -283,7 +294,7 @@ def groups(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE, *, d
     known = every.where(F.col("doc_id").isNotNull())
     classes = written(known.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "classes")
     dealt = in_gray_order(classes, part)
-    near = written(links(dealt, distance, thin=True), "near")
+    near = written(links(dealt, distance, part=part, thin=True), "near")
     drop_written(dealt)
     # versions of a document count together
     versions = known.groupBy("doc_id").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("z")).where("a != z").select("doc_id", "a")

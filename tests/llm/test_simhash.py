@@ -102,8 +102,8 @@ def test_links_over_many_parts(spark, part, thin):
     table = spark.createDataFrame([(p - 2**64 if p >= LONG else p,) for p in prints], "fingerprint long")
     dealt = simhash.in_gray_order(table, part)
     if part == 50:
-        assert dealt.select("part").distinct().count() > 20
-    rows = simhash.links(dealt, thin=thin).collect()
+        assert dealt.select("stretch").distinct().count() > 20
+    rows = simhash.links(dealt, part=part, thin=thin).collect()
     got = [tuple(sorted((r["a"] % 2**64, r["b"] % 2**64))) for r in rows]
     want = pairs_by_hand(prints)
     if not thin:
