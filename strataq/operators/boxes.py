@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from . import graph
 from .cut import cut
 
 COLUMNS = ["page", "id", "x0", "y0", "x1", "y1"]
@@ -124,24 +124,8 @@ def absorb_pairs(boxes: DataFrame, margin: int, overlap: float, cell: int = CELL
 
 
 def components(boxes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """boxes with component: the smallest id of the page that is reachable by pairs. A page's links are one group (a page is bounded)."""
-
-    def of_page(pdf: pd.DataFrame) -> pd.DataFrame:
-        least: dict[int, int] = {}
-
-        def root(i: int) -> int:
-            while least.setdefault(i, i) != i:
-                least[i] = least[least[i]]
-                i = least[i]
-            return i
-
-        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
-            a, b = root(a), root(b)
-            if a != b:
-                least[max(a, b)] = min(a, b)
-        return pd.DataFrame({"page": pdf["page"].iloc[0], "id": list(least), "component": [root(i) for i in least]})
-
-    found = pairs.groupBy("page").applyInPandas(of_page, "page long, id long, component long")
+    """boxes with component: the smallest id of the page that is reachable by pairs. Closed in rounds, so that a page may have any number of boxes."""
+    found = graph.components(pairs, "page")
     return boxes.join(found, ["page", "id"], "left").withColumn("component", F.coalesce("component", "id"))
 
 
@@ -202,23 +186,27 @@ def fallback_cores(geometry: DataFrame) -> DataFrame:
 
 
 def suppressed(boxes: DataFrame, overlap: float) -> DataFrame:
-    """Boxes kept, largest first: one goes if it shares enough of the smaller with a box that was kept (not with one that went).
+    """Boxes kept, largest first (of equal ones the smaller id, then by sides): one goes if it shares enough of the smaller with a box that was kept (not with one that went).
 
-    That depends on the order, so a page's candidates are one group; a page is bounded.
+    Decided in rounds over the pairs in conflict, with the answer of the sequential rule. Boxes of one id may differ; of
+    equal ones that have an area one row stays, that with the least other columns. At an overlap of 0 all boxes of a page
+    are in conflict, so that its first alone stays.
     """
-
-    def of_page(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = pdf[["x0", "y0", "x1", "y1"]].to_numpy()
-        areas = (sides[:, 2] - sides[:, 0]).clip(min=0).astype("int64") * (sides[:, 3] - sides[:, 1]).clip(min=0)
-        kept: list[int] = []
-        for i in sorted(range(len(pdf)), key=lambda i: (-areas[i], pdf["id"].iloc[i])):
-            own = sides[kept]
-            shared = (own[:, 2].clip(max=sides[i, 2]) - own[:, 0].clip(min=sides[i, 0])).clip(min=0).astype("int64") * (own[:, 3].clip(max=sides[i, 3]) - own[:, 1].clip(min=sides[i, 1])).clip(min=0)
-            if not (shared / areas[kept].clip(min=1, max=max(1, areas[i])) >= overlap).any():
-                kept.append(i)
-        return pdf.iloc[kept]
-
-    return boxes.groupBy("page").applyInPandas(of_page, boxes.schema)
+    other = [c for c in boxes.columns if c not in COLUMNS]
+    if overlap <= 0:
+        first = F.struct((-g.area()).alias("below"), *COLUMNS[1:], *other)
+        return boxes.groupBy("page").agg(F.min(first).alias("first")).select(*[F.col(c if c == "page" else f"first.{c}").alias(c) for c in boxes.columns])
+    some = boxes.where(g.area() > 0)
+    once = some.groupBy(*COLUMNS).agg(F.min(F.struct(*other)).alias("rest")).select(*COLUMNS, "rest.*") if other else some.distinct()
+    once = once.select(*boxes.columns)
+    place = lambda p: F.struct(*[F.col(f"{p}.{c}").alias(c) for c in COLUMNS[1:]])
+    own = once.select(*COLUMNS)
+    share = g.intersection_area("a", "b") / F.greatest(F.lit(1), F.least(g.area("a"), g.area("b")))
+    met = near_pairs(own, own, (place("a") < place("b")) & (share >= overlap), 0)
+    a_first = g.area("a") >= g.area("b")
+    ends = met.select("a.page", F.when(a_first, place("b")).otherwise(place("a")).alias("low"), F.when(a_first, place("a")).otherwise(place("b")).alias("high"))
+    gone = graph.beaten(ends, "page").select("page", "id.*")
+    return once.join(gone, COLUMNS, "left_anti").unionByName(boxes.where(g.area() <= 0))
 
 
 def percentile_split(boxes: DataFrame, percent: float = 75.0, least: int = 15_000) -> DataFrame:

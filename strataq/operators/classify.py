@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .dictionary import effective_synonyms
+from .patterns import contains_few
 
 THRESHOLD, MULTI_WORD, FUZZY, PRIORITY, SPLIT = 0.5, 1.3, 0.7, 100.0, 40.0
 HIGH, LOW = 2, 1
@@ -34,11 +35,12 @@ def phrases_of(synonyms: DataFrame, negatives: DataFrame | None = None, order: s
 def contains_join(texts: DataFrame, phrases: DataFrame, broadcast_phrases: int = BROADCAST_PHRASES) -> DataFrame:
     """Inner join where ``search_text`` contains ``phrase``.
 
-    A dictionary of a counted, small size is broadcast into one pass over the texts. A larger one is joined by a
-    trigram: each phrase is dealt by one of its own, each text by its different ones, and meetings are verified.
+    A dictionary of a counted, small size is broadcast as an automaton, which finds all phrases in one pass over the texts
+    (``patterns``). A larger one is joined by a trigram: each phrase is dealt by one of its own, each text by its different
+    ones, and meetings are verified.
     """
     if phrases.limit(broadcast_phrases + 1).count() <= broadcast_phrases:
-        return texts.join(F.broadcast(phrases), F.contains("search_text", "phrase"))
+        return contains_few(texts, phrases)
     short, long = phrases.where(F.length("phrase") < 3), phrases.where(F.length("phrase") >= 3)  # short ones: bounded by the alphabet
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, F.lit(3))))
     # each phrase is dealt by its trigram that the fewest phrases have

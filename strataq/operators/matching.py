@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.similarity import rounded
-from ..functions.similarity import scorer as make_scorer
+from .classify import contains_join
+from .cut import cut
+from .fuzzy_join import similar
 
 # Fixed values of the matcher.
 MIN_SCORE, CONTEXT_MIN_SCORE, LIMIT, CONTEXT_LIMIT = 75.0, 80.0, 50, 20
@@ -18,52 +18,46 @@ GENERIC_PENALTY, ANCHOR_FACTOR, CONTEXT_FACTOR = 15.0, 0.15, 0.25
 NO_MATERIAL = ["", "none", "mixed", "unknown"]
 FINAL_SCORE, STRONG_SCORE, SIDE_MIN, SIDE_APART, GROUP_LIMIT = 100.0, 95.0, 30.0, 20.0, 1
 FUZZY_ACCEPT = 90.0
-#: Reference terms or entries that are broadcast at once against all queries.
-BROADCAST_TERMS = 20_000
-
+#: Terms or entries of which a task has an index at once, and phrases up to which an automaton is broadcast.
+AT_ONCE = 20_000
 
-def against(queries: DataFrame, entries: DataFrame, condition: Column | None = None, at_once: int = BROADCAST_TERMS) -> DataFrame:
-    """queries beside all entries (for which the condition holds): similarity has no key to join by.
-
-    Entries are counted and broadcast in blocks of about ``at_once``, each by one pass over the different queries, so that a
-    dictionary may have any size and no pair is shuffled before it is scored.
-    """
-    blocks = -(-entries.count() // at_once)
 
-    def beside(block: DataFrame) -> DataFrame:
-        return queries.join(F.broadcast(block), condition) if condition is not None else queries.join(F.broadcast(block))
+# --- suggestions ---------------------------------------------------------------------------------
 
-    if blocks <= 1:
-        return beside(entries)
-    dealt = entries.withColumn("_block", F.pmod(F.xxhash64(*entries.columns), F.lit(blocks)))
-    return reduce(DataFrame.unionByName, [beside(dealt.where(F.col("_block") == k).drop("_block")) for k in range(blocks)])
 
+def _refs(terms: DataFrame) -> DataFrame:
+    """t (folded), first: code and term_ord of the first term of that form."""
+    folded = terms.select("code", tx.ascii_fold(tx.normalize_text("term")).alias("t"), "term_ord").where("t != ''")
+    return folded.groupBy("t").agg(F.min(F.struct("term_ord", "code")).alias("first"))
 
-# --- suggestions ---------------------------------------------------------------------------------
 
+def suggest_substring(candidates: DataFrame, terms: DataFrame, phrase: str = "Phrase", at_once: int = AT_ONCE) -> DataFrame:
+    """candidate (in folded form), code: of the first term that contains the candidate or is contained in it.
 
-def suggest_substring(candidates: DataFrame, terms: DataFrame, phrase: str = "Phrase", at_once: int = BROADCAST_TERMS) -> DataFrame:
-    """candidate (in folded form), code: of the first term that contains the candidate or is contained in it."""
-    own = candidates.select(tx.ascii_fold(tx.normalize_text(phrase)).alias("candidate")).distinct()
-    refs = terms.select("code", tx.ascii_fold(tx.normalize_text("term")).alias("t"), "term_ord").where("t != ''")
-    met = against(own, refs, F.contains("t", "candidate") | F.contains("candidate", "t"), at_once)
-    return met.groupBy("candidate").agg(F.min_by("code", "term_ord").alias("code"))
+    Each side in turn is the texts and the phrases of a ``contains_join``, so that neither way is a join of all with all.
+    """
+    own = cut(candidates.select(tx.ascii_fold(tx.normalize_text(phrase)).alias("candidate")).distinct())
+    refs = cut(_refs(terms))
+    within = contains_join(own.select("candidate", F.col("candidate").alias("search_text")), refs.select("first", F.col("t").alias("phrase")), at_once)
+    around = contains_join(refs.select("first", F.col("t").alias("search_text")), own.select("candidate", F.col("candidate").alias("phrase")), at_once)
+    met = within.select("candidate", "first").unionByName(around.select("candidate", "first"))
+    return met.groupBy("candidate").agg(F.min("first").alias("first")).select("candidate", F.col("first.code").alias("code"))
 
 
-def suggest_codes(candidates: DataFrame, terms: DataFrame, phrase: str = "Phrase", scorer: str = "token_set", accept: float = FUZZY_ACCEPT, at_once: int = BROADCAST_TERMS) -> DataFrame:
+def suggest_codes(candidates: DataFrame, terms: DataFrame, phrase: str = "Phrase", scorer: str = "token_set", accept: float = FUZZY_ACCEPT, at_once: int = AT_ONCE) -> DataFrame:
     """candidates with SuggestedElementCode, SuggestedBy, Confidence: by substring, else by the best similarity if it is accepted.
 
-    Only candidates without a substring hit are scored, each different text once.
+    Only candidates without a substring hit are scored, each different text once, with the terms that could be accepted.
     """
     keyed = candidates.withColumn("candidate", tx.ascii_fold(tx.normalize_text(phrase)))
     general = (F.size(F.split("candidate", " ")) == 1) & F.col("candidate").isin(tx.GENERIC_WORDS)
-    different = keyed.where(~general).select("candidate").distinct()
-    first = suggest_substring(different.withColumnRenamed("candidate", phrase), terms, phrase, at_once)
-    refs = terms.select("code", tx.ascii_fold(tx.normalize_text("term")).alias("t"), "term_ord").where("t != ''")
-    scored = against(different.join(first, "candidate", "left_anti"), refs, at_once=at_once)
-    scored = scored.withColumn("score", make_scorer(scorer)("candidate", "t"))
+    different = cut(keyed.where(~general).select("candidate").distinct())
+    first = cut(suggest_substring(different.withColumnRenamed("candidate", phrase), terms, phrase, at_once))
+    refs = cut(_refs(terms))
+    scored = similar(different.join(first, "candidate", "left_anti"), refs, scorer, accept, query="candidate", value="t", block=at_once)
+    scored = scored.join(refs.withColumnRenamed("t", "value"), "value").withColumnRenamed("query", "candidate")
     # the highest score, of equal ones the first term
-    best = scored.groupBy("candidate").agg(F.max(F.struct("score", (-F.col("term_ord.part")).alias("p"), (-F.col("term_ord.o")).alias("o"), (-F.col("term_ord.column")).alias("c"), "code")).alias("best")).where(F.col("best.score") >= accept)
+    best = scored.groupBy("candidate").agg(F.min(F.struct((-F.col("raw")).alias("below"), "first")).alias("best")).select("candidate", F.struct((-F.col("best.below")).alias("score"), F.col("best.first.code").alias("code")).alias("best"))
     found = first.select("candidate", "code", F.lit("substring").alias("by"), F.lit(1.0).alias("confidence")).unionByName(best.select("candidate", F.col("best.code").alias("code"), F.lit("fuzzy").alias("by"), F.round(F.col("best.score") / 100, 3).alias("confidence")))
     out = keyed.join(found, "candidate", "left")
     return out.select(*candidates.columns, F.coalesce("code", F.lit("")).alias("SuggestedElementCode"), F.coalesce("by", F.lit("")).alias("SuggestedBy"), F.coalesce("confidence", F.lit(0.0)).alias("Confidence"))
@@ -90,13 +84,15 @@ def final_score(score: Column, pass_no: Column, kind: Column, strong: Column, an
     return rounded(score + bonus - penalty + F.when(strong, anchor_weight * ANCHOR_FACTOR).otherwise(0.0))
 
 
-def top_matches(queries: DataFrame, entries: DataFrame, *, query: str = "query", limit: int = LIMIT, least: float = MIN_SCORE, scorer: str = "weighted", at_once: int = BROADCAST_TERMS) -> DataFrame:
-    """The ``limit`` entries most like each different query, then only those of enough score: query, score, the entry's columns.
+def top_matches(queries: DataFrame, entries: DataFrame, *, query: str = "query", limit: int = LIMIT, least: float = MIN_SCORE, scorer: str = "weighted", at_once: int = AT_ONCE) -> DataFrame:
+    """The ``limit`` entries most like each different query, of those of enough score: query, score, the entry's columns.
 
-    Scores, then ranks natively: the rank limit is applied in each task before the shuffle.
+    The limit goes by the same score as the least, so entries below that can't take another's place, and only pairs that
+    could reach it are scored (``fuzzy_join``). Ranks natively: the limit is applied in each task before the shuffle.
     """
-    different = queries.select(query).distinct()
-    scored = against(different, entries, at_once=at_once).withColumn("raw", make_scorer(scorer)(tx.matcher_form(query), F.col("value")))
+    different = queries.select(query, F.coalesce(tx.matcher_form(query), F.lit("")).alias("_form")).distinct()
+    pairs = similar(different, entries, scorer, least - 0.0501, query="_form", block=at_once)  # scores are rounded to one digit
+    scored = different.join(pairs.withColumnRenamed("query", "_form"), "_form").drop("_form").join(entries, "value")
     first = Window.partitionBy(query).orderBy(F.desc("raw"), "entry_ord")
     best = scored.withColumn("k", F.row_number().over(first)).where(F.col("k") <= limit)
     return best.withColumn("score", rounded(F.col("raw"))).where(F.col("score") >= least).drop("raw", "k")
@@ -115,7 +111,7 @@ def match_documents(lines: DataFrame, entries: DataFrame, *keys: str, limit: int
     own = lines.where("kind = 'text'").select(*keys, "line_index", "tokens", F.posexplode("tokens").alias("token_index", "token"))
     material = tx.is_material_token(F.col("token"))
     ones = own.where(~material).select(*keys, "line_index", "token_index", F.lit(1).alias("pass"), F.col("token").alias("query"))
-    first = element_hits(ones, entries, *keys, limit=limit, scorer=scorer)
+    first = cut(element_hits(ones, entries, *keys, limit=limit, scorer=scorer))
     spots = first.select(*keys, "line_index", "token_index").unionByName(own.where(material).select(*keys, "line_index", "token_index")).distinct()
     near = own.join(spots, [*keys, "line_index", "token_index"])
 
@@ -200,7 +196,7 @@ def match(texts: DataFrame, elements: DataFrame, keywords: DataFrame, doc: str =
     """The whole matcher: texts to final candidates, a document at a time in meaning, all at once in the plan."""
     from .mining import parsed_lines
 
-    lines = parsed_lines(texts, doc, text=text)
-    best = best_per_code(match_documents(lines, elements, doc, scorer=scorer), doc)
+    lines = cut(parsed_lines(texts, doc, text=text))
+    best = cut(best_per_code(match_documents(lines, elements, doc, scorer=scorer), doc))
     context = infer_context(best, context_hits(lines, keywords, doc, scorer=scorer), doc)
     return final_candidates(best_per_code(context_boost(best, context, doc), doc, score="final_score_context"), doc).orderBy(doc, F.desc("detail_fit_score"), F.desc("score"), F.desc("priority"))

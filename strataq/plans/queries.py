@@ -334,6 +334,27 @@ def fuzzy_topk(spark: SparkSession, d: str) -> DataFrame:
     return mt.top_matches(own, entries).select("query", "code", "value", "score")
 
 
+def _named_types(spark: SparkSession, d: str) -> DataFrame:
+    """A dictionary from the parts: type and name in small letters, with the brand and the number of its first part."""
+    own = table(spark, d, "part").groupBy(F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("value")).agg(F.min("p_partkey").alias("entry_ord"), F.min_by("p_brand", "p_partkey").alias("code"))
+    return own.select("code", "value", "entry_ord")
+
+
+def fuzzy_topk_indel(spark: SparkSession, d: str) -> DataFrame:
+    own = parts(spark, d).select(F.col("raw_text").alias("query"))
+    return mt.top_matches(own, _named_types(spark, d), limit=5, least=60.0, scorer="indel").select("query", "code", "value", "score")
+
+
+def suggest_indel(spark: SparkSession, d: str) -> DataFrame:
+    """Suggestions for names with their words turned round, out of the names; those of one word, and their inverses, are found by substring."""
+    turned = F.array_join(F.reverse(F.split("p_name", " ")), " ")
+    own = table(spark, d, "part").select(F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(turned).alias("Phrase")).distinct()
+    terms = table(spark, d, "part").groupBy(F.col("p_name").alias("term")).agg(F.min("p_partkey").alias("k"), F.min_by("p_brand", "p_partkey").alias("code"))
+    terms = terms.select("code", "term", F.struct(F.lit(0).alias("part"), F.col("k").alias("o"), F.lit(0).alias("column")).alias("term_ord"))
+    out = mt.suggest_codes(own, terms, scorer="indel", accept=60.0)
+    return out.select(F.col("Phrase").alias("phrase"), F.col("SuggestedElementCode").alias("code"), F.col("SuggestedBy").alias("by"), F.col("Confidence").alias("confidence"))
+
+
 def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     own = parts(spark, d).groupBy((F.floor(F.col("row_ord") / 20)).cast("long").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_ord", "raw_text"))), lambda x: x["raw_text"]), "\n").alias("text"))
     return mt.match(own, dc.matcher_elements(frame(spark, "MATCHER")), dc.context_keywords(frame(spark, "KEYWORDS"))).select("doc_id", "group", "code", "value", "pass", "score", "final_score_context", "detail_fit_score")
@@ -367,6 +388,6 @@ QUERIES = {
         normalize_text, ascii_fold, strip_tail, noise_filter, tokenize, safe_filename, line_kind, classify, classify_fallback, classify_scores, classify_large_dictionary, ngram_frequency, core_phrases, phrase_rollup, token_window, line_segments,
         unpivot_elements, context_keywords, reference_terms, synonyms_from_elements, suggest_substring, suggest_fuzzy, import_accepted, canonical_maps, material_conflict, numbers, area_type, clip_sanitize, extraction_report, export_metadata,
         box_metrics, component_kind, geometry_role, fallback_cores, touch_pairs, absorb_pairs, box_components, absorb_boxes, attach_small, attach_text, side_knn, percentile_split, unique_texts, greedy_dedupe, detail_candidates,
-        dedupe_elements, infer_context, context_boost, final_candidates, fuzzy_topk, fuzzy_match, synonym_candidates, analyze_text, detect_details,
+        dedupe_elements, infer_context, context_boost, final_candidates, fuzzy_topk, fuzzy_topk_indel, suggest_indel, fuzzy_match, synonym_candidates, analyze_text, detect_details,
     )
 }

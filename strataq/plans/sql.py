@@ -271,3 +271,45 @@ SQL["final_candidates"] = f"""WITH {_HITS}, st AS (SELECT *, CASE WHEN coalesce(
 SELECT doc_id, "group", code, fit::DOUBLE AS detail_fit_score FROM st QUALIFY row_number() OVER (PARTITION BY doc_id, "group" ORDER BY fit DESC, kind = 'specific' DESC, final_score_context DESC, score DESC, priority DESC, code) = 1"""
 
 ORACLE_SQL = {k: v for k, v in SQL.items()}
+
+#: Longest common subsequences of pairs(q, v), a character of q a step: row l has those of q's beginning with each beginning of v.
+_LCS = """s(q, v, i, l) AS (
+  SELECT q, v, 0, list_transform(range(0, length(v) + 1), lambda x: 0) FROM pairs
+  UNION ALL
+  SELECT q, v, i + 1, list_prepend(0, list_transform(range(1, len(t) + 1), lambda j: list_max(t[1:j])))
+  FROM (SELECT q, v, i, list_transform(range(1, length(v) + 1), lambda j: greatest(l[j + 1], CASE WHEN v[j] = q[i + 1] THEN l[j] + 1 ELSE 0 END)) AS t FROM s WHERE i < length(q))),
+raw AS (SELECT q, v, 200.0::DOUBLE * l[length(v) + 1] / (length(q) + length(v)) AS raw FROM s WHERE i = length(q))"""
+
+ORACLE_SQL["fuzzy_topk_indel"] = f"""
+WITH RECURSIVE e AS (SELECT lower(p_type || ' ' || p_name) AS v, min(p_partkey) AS o, arg_min(p_brand, p_partkey) AS code FROM part GROUP BY 1),
+pairs AS (SELECT q, v FROM (SELECT DISTINCT p_name AS q FROM part), e),
+{_LCS},
+k AS (SELECT q, v, code, raw, row_number() OVER (PARTITION BY q ORDER BY raw DESC, o) AS k FROM raw JOIN e USING (v))
+SELECT q AS query, code, v AS value, round_even(raw, 1) AS score FROM k WHERE k <= 5 AND round_even(raw, 1) >= 60
+"""
+
+ORACLE_SQL["suggest_indel"] = f"""
+WITH RECURSIVE c AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE array_to_string(list_reverse(string_split(p_name, ' ')), ' ') END AS q FROM part),
+e AS (SELECT p_name AS v, min(p_partkey) AS o, arg_min(p_brand, p_partkey) AS code FROM part GROUP BY 1),
+sub AS (SELECT q, arg_min(code, o) AS code FROM c JOIN e ON contains(v, q) OR contains(q, v) GROUP BY q),
+pairs AS (SELECT q, v FROM c, e WHERE q NOT IN (SELECT q FROM sub)),
+{_LCS},
+best AS (SELECT q, code, raw FROM raw JOIN e USING (v) WHERE raw >= 60 QUALIFY row_number() OVER (PARTITION BY q ORDER BY raw DESC, o) = 1)
+SELECT c.q AS phrase, coalesce(sub.code, best.code, '') AS code, CASE WHEN sub.code IS NOT NULL THEN 'substring' WHEN best.code IS NOT NULL THEN 'fuzzy' ELSE '' END AS by,
+  CASE WHEN sub.code IS NOT NULL THEN 1.0 WHEN best.code IS NOT NULL THEN round(best.raw / 100, 3) ELSE 0.0 END::DOUBLE AS confidence
+FROM c LEFT JOIN sub ON sub.q = c.q LEFT JOIN best ON best.q = c.q
+"""
+
+ORACLE_SQL["greedy_dedupe"] = f"""
+WITH RECURSIVE {SQL_BOXES},
+b AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY area DESC, id, x0, y0, x1, y1) AS r FROM (SELECT DISTINCT page, id, x0, y0, x1, y1, (x1 - x0)::BIGINT * (y1 - y0) AS area FROM boxes)),
+c AS (SELECT p.page, p.r AS i, q.r AS j FROM b p JOIN b q ON p.page = q.page AND p.r <> q.r AND p.x0 < q.x1 AND q.x0 < p.x1 AND p.y0 < q.y1 AND q.y0 < p.y1
+  WHERE (least(p.x1, q.x1) - greatest(p.x0, q.x0))::BIGINT * (least(p.y1, q.y1) - greatest(p.y0, q.y0)) / least(p.area, q.area) >= 0.8),
+n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY r) AS k FROM (SELECT page, i AS r, list(j) AS near FROM c GROUP BY page, i)),
+s(page, k, kept) AS (
+  SELECT page, k, [r] FROM n WHERE k = 1
+  UNION ALL
+  SELECT n.page, n.k, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, n.r) END FROM s JOIN n ON n.page = s.page AND n.k = s.k + 1),
+w AS (SELECT page, unnest(arg_max(kept, k)) AS r FROM s GROUP BY page)
+SELECT b.page, b.id FROM b LEFT JOIN n ON n.page = b.page AND n.r = b.r LEFT JOIN w ON w.page = b.page AND w.r = b.r WHERE n.r IS NULL OR w.r IS NOT NULL
+"""
