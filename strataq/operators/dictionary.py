@@ -88,15 +88,19 @@ def reference_terms(elements: DataFrame, synonyms: DataFrame, order: str = "row_
     return both.where("code != '' and term != ''").select("code", "term", F.struct("part", F.col("o").cast("long").alias("o"), "column").alias("term_ord"))
 
 
-def import_accepted(synonyms: DataFrame, candidates: DataFrame, order: str = "row_ord") -> DataFrame:
-    """Synonyms and accepted candidates (weight 1, exact, active), the first of equal (code, phrase)."""
+def import_accepted(synonyms: DataFrame, candidates: DataFrame, order: str = "row_ord", keep_order: bool = False) -> DataFrame:
+    """Synonyms and accepted candidates (weight 1, exact, active), the first of equal (code, phrase); with an order if asked for, in which candidates follow synonyms."""
     own = candidates.where((F.lower(F.btrim(F.coalesce("Decision", F.lit("")))) == "accept") & (F.btrim(F.coalesce("SuggestedElementCode", F.lit(""))) != "") & (F.btrim(F.coalesce("Phrase", F.lit(""))) != ""))
     new = own.select(F.btrim("SuggestedElementCode").alias("ElementCode"), F.btrim("Phrase").alias("Phrase"), F.lit(1.0).alias("Weight"), F.lit("exact").alias("MatchType"), F.lit(True).alias("Active"), F.lit(1).alias("part"), _ref(order).alias("o"))
     defaults = {"Weight": F.lit(1.0), "MatchType": F.lit("exact"), "Active": F.lit(True)}
     old = synonyms.withColumns({c: v for c, v in defaults.items() if c not in synonyms.columns}).withColumnRenamed(order, "o").withColumn("part", F.lit(0))
     both = old.unionByName(new, allowMissingColumns=True)
     first = Window.partitionBy("ElementCode", "Phrase").orderBy("part", "o")
-    return both.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k", "part", "o")
+    kept = both.withColumn("k", F.row_number().over(first)).where("k = 1")
+    if not keep_order:
+        return kept.drop("k", "part", "o")
+    behind = (synonyms.agg(F.max(_ref(order).cast("long"))).first()[0] or 0) + 1
+    return kept.withColumn(order, F.col("o").cast("long") + F.when(F.col("part") == 1, behind).otherwise(0)).drop("k", "part", "o")
 
 
 def matcher_elements(df: DataFrame, order: str = "row_ord") -> DataFrame:

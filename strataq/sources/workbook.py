@@ -1,17 +1,19 @@
 """A dictionary as a folder of tables, one a sheet; written as a new version each time.
 
-Sheets are Parquet, CSV or JSON tables. Spreadsheet files need a library that
-isn't part of Spark; with one installed, ``from_spreadsheet`` reads them.
+Sheets are Parquet, CSV or JSON tables, or those of an .xlsx file
+(``from_spreadsheet``). Each has row_ord, the order of its rows, which versions
+keep: "first" and "last" rows are the same after any number of them.
 """
 
 from __future__ import annotations
 
-import importlib.util
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.dictionary import SHEETS
+from . import spreadsheet
+from .ordinals import numbered
 
 REQUIRED = ("Elements", "Synonyms", "NegativeSynonyms")
 
@@ -42,7 +44,7 @@ def versions(spark: SparkSession, folder: str) -> list[str]:
 
 
 def load(spark: SparkSession, folder: str, required: tuple[str, ...] = REQUIRED, format: str = "parquet") -> dict[str, DataFrame]:
-    """The newest version's sheets; optional ones that are missing are empty."""
+    """The newest version's sheets, with row_ord; optional ones that are missing are empty."""
     known = versions(spark, folder)
     if not known:
         raise DictionaryError(f"no dictionary in {folder}")
@@ -50,10 +52,10 @@ def load(spark: SparkSession, folder: str, required: tuple[str, ...] = REQUIRED,
     there = {s.getPath().getName() for s in fs.listStatus(at)}
     if missing := [s for s in required if s not in there]:
         raise DictionaryError(f"sheets missing: {', '.join(missing)}")
-    out = template(spark)
+    out = {sheet: numbered(df) for sheet, df in template(spark).items()}
     for sheet in sorted(there):
         options = {"header": "true", "inferSchema": "true"} if format == "csv" else {}
-        out[sheet] = spark.read.format(format).options(**options).load(f"{folder}/{known[-1]}/{sheet}")
+        out[sheet] = numbered(spark.read.format(format).options(**options).load(f"{folder}/{known[-1]}/{sheet}"))
     return out
 
 
@@ -78,26 +80,16 @@ def import_accepted(spark: SparkSession, folder: str, candidates: DataFrame, con
     if confirm is None or not confirm(f"update {folder}"):
         return 0
     old = sheets["Synonyms"]
-    new = dictionary.import_accepted(with_order(old), with_order(candidates))
+    new = dictionary.import_accepted(old, numbered(candidates), keep_order=True)
     sheets["Synonyms"] = new
     before = old.count()
     save(spark, folder, {k: v for k, v in sheets.items() if k != "Synonyms"} | {"Synonyms": new})
     return load(spark, folder)["Synonyms"].count() - before
 
 
-def with_order(df: DataFrame, name: str = "row_ord") -> DataFrame:
-    """Numbers rows in the order of the file: for sheets as read, before anything shuffles them."""
-    from pyspark.sql import functions as F
-
-    return df if name in df.columns else df.withColumn(name, F.monotonically_increasing_id())
-
-
-def from_spreadsheet(spark: SparkSession, path: str, sheet: str | None = None) -> dict[str, DataFrame]:
-    """Sheets of a spreadsheet file on the driver; needs a spreadsheet library."""
-    if importlib.util.find_spec("openpyxl") is None:
-        raise DictionaryError("no spreadsheet library is installed; save the sheets as Parquet, CSV or JSON")
-    import pandas as pd
-
-    found = pd.read_excel(path, sheet_name=sheet, dtype=str)
-    found = {sheet: found} if sheet else found
-    return {k: spark.createDataFrame(v.where(v.notna(), None).astype(object)) for k, v in found.items() if len(v.columns)}
+def from_spreadsheet(spark: SparkSession, path: str, required: tuple[str, ...] = REQUIRED) -> dict[str, DataFrame]:
+    """The sheets of an .xlsx file, with row_ord; optional ones of a dictionary that are missing are empty."""
+    found = spreadsheet.sheets(spark, path)
+    if missing := [s for s in required if s not in found]:
+        raise DictionaryError(f"sheets missing: {', '.join(missing)}")
+    return {sheet: numbered(df) for sheet, df in template(spark).items()} | found
