@@ -46,6 +46,29 @@ def values(name: str, alias: str) -> str:
     return f"{alias}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in globals()[name])})"
 
 
+_SIDE, _PLACE = "CASE p_size % 4 WHEN 0 THEN 'ext' WHEN 1 THEN 'wewnętrzny' WHEN 2 THEN 'both' END", "CASE p_size % 5 WHEN 0 THEN 'dół' WHEN 1 THEN 'mid' WHEN 2 THEN 'Top' WHEN 3 THEN 'any' END"
+_SIZE, _PLACED = "cast(p_size AS double)", "cast(100 + p_partkey AS int)"
+#: Rows of the dictionaries from the parts, by expressions that Spark and SQL share: behind the small ones, growing with the table.
+FROM_PARTS = {
+    "SYNONYMS": ["p_brand", "p_name", f"{_SIZE} / 50", "CASE WHEN p_size % 3 = 0 THEN 'fuzzy' ELSE 'exact' END", "p_size % 7 <> 0", _PLACED],
+    "ELEMENTS": ["p_brand", "CASE WHEN p_size % 6 <> 0 THEN p_name END", "concat(p_name, ' ', p_type)", "p_type", _SIZE, _PLACED],
+    "CANDIDATES": ["CASE WHEN p_size % 9 = 0 THEN ' ' ELSE concat(p_name, ' ') END", "CASE WHEN p_size % 8 <> 0 THEN p_brand END", "CASE p_size % 3 WHEN 0 THEN 'accept' WHEN 1 THEN ' Accept ' ELSE 'pending' END", _PLACED],
+    "MATCHER": ["p_brand", _SIZE, "p_type", "CASE p_size % 3 WHEN 0 THEN 'Steel' WHEN 1 THEN 'rc' END", _SIDE, _SIZE, _PLACE, f"{_SIZE} / 2", "CASE WHEN p_size % 5 = 0 THEN 'Tak' ELSE 'no' END", _SIZE, "p_name", "CASE WHEN p_size % 2 = 0 THEN p_type END", _PLACED],
+    "KEYWORDS": ["p_type", _SIDE, _SIZE, _PLACE, f"{_SIZE} / 4", "p_name", "CASE WHEN p_size % 2 = 0 THEN p_brand END", _PLACED],
+}
+
+
+def grown(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A small dictionary and rows from the parts."""
+    small = frame(spark, name)
+    return small.unionByName(table(spark, sf_dir, "part").selectExpr(*[f"{x} AS {c}" for x, c in zip(FROM_PARTS[name], small.columns)]))
+
+
+def grown_values(name: str, alias: str) -> str:
+    """The same rows as a named SQL relation."""
+    return f"{values(name, alias)[:-1]} UNION ALL SELECT {', '.join(FROM_PARTS[name])} FROM part)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -14,7 +14,7 @@ from ..operators import export as ex
 from ..operators import extraction as xt
 from ..operators import matching as mt
 from ..operators import mining as mn
-from .fixtures import PAGE_HEIGHT, PAGE_WIDTH, boxes, documents, frame, parts, table
+from .fixtures import PAGE_HEIGHT, PAGE_WIDTH, boxes, documents, frame, grown, parts, table
 
 TAILED = " D=40 mm, gr. 12 mm; 3 mm thick acc. to specification"
 
@@ -110,21 +110,21 @@ def line_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unpivot_elements(spark: SparkSession, d: str) -> DataFrame:
-    own = dc.matcher_elements(frame(spark, "MATCHER"))
+    own = dc.matcher_elements(grown(spark, d, "MATCHER"))
     return own.select("code", "priority", "context_group", "material_group", "side_signal", "side_weight", "position_signal", "position_weight", "is_strong_anchor", "anchor_weight", "value", "kind")
 
 
 def context_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return dc.context_keywords(frame(spark, "KEYWORDS")).select("context_signal", "side_signal", "side_weight", "position_signal", "position_weight", "value", "kind")
+    return dc.context_keywords(grown(spark, d, "KEYWORDS")).select("context_signal", "side_signal", "side_weight", "position_signal", "position_weight", "value", "kind")
 
 
 def reference_terms(spark: SparkSession, d: str) -> DataFrame:
-    terms = dc.reference_terms(frame(spark, "ELEMENTS"), frame(spark, "SYNONYMS"))
+    terms = dc.reference_terms(grown(spark, d, "ELEMENTS"), grown(spark, d, "SYNONYMS"))
     return terms.select("code", "term", (F.col("term_ord.part") * 1000 + F.col("term_ord.o") * 10 + F.col("term_ord.column")).cast("long").alias("ord"))
 
 
 def synonyms_from_elements(spark: SparkSession, d: str) -> DataFrame:
-    return dc.synonyms_from_elements(frame(spark, "ELEMENTS")).select(F.col("ElementCode").alias("code"), F.col("Phrase").alias("phrase"), F.col("Weight").alias("weight"))
+    return dc.synonyms_from_elements(grown(spark, d, "ELEMENTS")).select(F.col("ElementCode").alias("code"), F.col("Phrase").alias("phrase"), F.col("Weight").alias("weight"))
 
 
 def suggest_substring(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +140,7 @@ def suggest_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def import_accepted(spark: SparkSession, d: str) -> DataFrame:
-    out = dc.import_accepted(frame(spark, "SYNONYMS"), frame(spark, "CANDIDATES"))
+    out = dc.import_accepted(grown(spark, d, "SYNONYMS"), grown(spark, d, "CANDIDATES"))
     return out.select(F.col("ElementCode").alias("code"), F.col("Phrase").alias("phrase"), F.col("Weight").alias("weight"), F.col("MatchType").alias("match_type"), F.col("Active").alias("active"))
 
 

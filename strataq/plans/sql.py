@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import text as tx
-from .fixtures import SQL_BOXES, values
+from .fixtures import SQL_BOXES, grown_values, values
 
 _BLANK = r"[\s\p{Z}\x0b\x85]+"
 
@@ -104,17 +104,18 @@ SQL["classify_scores"] = f"WITH {_classified(_FULL, _PRIORITIES)} SELECT crop_id
 SQL["classify_large_dictionary"] = f"WITH {_classified(_FULL, _PRIORITIES)} SELECT crop_id, code, round(sum(c), 9)::DOUBLE AS score, count(*)::BIGINT AS hits FROM h GROUP BY 1, 2"
 _FALLBACK = f"{values('ELEMENTS', 'es')}, {_FALLBACK_ROWS}, d AS (SELECT code, {search('phrase')} AS phrase, o, wt * CASE WHEN contains({search('phrase')}, ' ') THEN 1.3 ELSE 1.0 END AS c, true AS pos FROM fb)"
 SQL["classify_fallback"] = f"WITH {_classified(_FALLBACK, 'SELECT ElementCode AS code, arg_max(Priority, row_ord) AS p FROM es GROUP BY 1')} {_SHOWN}"
-SQL["synonyms_from_elements"] = f"WITH {values('ELEMENTS', 'es')}, {_FALLBACK_ROWS} SELECT code, phrase, wt::DOUBLE AS weight FROM fb"
-_TERMS = f"""{values('ELEMENTS', 'es')}, {values('SYNONYMS', 'sy')}, te AS (SELECT code, {norm('v')} AS term, o FROM (
+SQL["synonyms_from_elements"] = f"WITH {grown_values('ELEMENTS', 'es')}, {_FALLBACK_ROWS} SELECT code, phrase, wt::DOUBLE AS weight FROM fb"
+_TERM_ROWS = f"""te AS (SELECT code, {norm('v')} AS term, o FROM (
   SELECT ElementCode AS code, NamePL AS v, row_ord * 10 AS o FROM es UNION ALL SELECT ElementCode, NameEN, row_ord * 10 + 1 FROM es UNION ALL SELECT ElementCode, Phrase, 1000 + row_ord * 10 FROM sy) WHERE {norm('v')} NOT IN ('', 'nan'))"""
-SQL["reference_terms"] = f"WITH {_TERMS} SELECT code, term, o::BIGINT AS ord FROM te"
+_TERMS = f"{values('ELEMENTS', 'es')}, {values('SYNONYMS', 'sy')}, {_TERM_ROWS}"
+SQL["reference_terms"] = f"WITH {grown_values('ELEMENTS', 'es')}, {grown_values('SYNONYMS', 'sy')}, {_TERM_ROWS} SELECT code, term, o::BIGINT AS ord FROM te"
 SQL["suggest_substring"] = f"""
 WITH {_TERMS}, c AS (SELECT DISTINCT {fold(norm('p_name'))} AS candidate FROM part), r AS (SELECT code, {fold('term')} AS t, o FROM te)
 SELECT candidate, arg_min(code, o) AS code FROM c JOIN r ON t <> '' AND (contains(t, candidate) OR contains(candidate, t)) GROUP BY 1"""
 SQL["import_accepted"] = f"""
-WITH {values('SYNONYMS', 'sy')}, {values('CANDIDATES', 'ca')},
+WITH {grown_values('SYNONYMS', 'sy')}, {grown_values('CANDIDATES', 'ca')},
 u AS (SELECT ElementCode AS code, Phrase AS phrase, Weight AS weight, MatchType AS match_type, Active AS active, row_ord AS o FROM sy
-  UNION ALL SELECT trim(SuggestedElementCode), trim(Phrase), 1.0, 'exact', true, 1000 + row_ord FROM ca WHERE lower(trim(Decision)) = 'accept' AND trim(coalesce(SuggestedElementCode, '')) <> '' AND trim(coalesce(Phrase, '')) <> '')
+  UNION ALL SELECT trim(SuggestedElementCode), trim(Phrase), 1.0, 'exact', true, 1000000000 + row_ord FROM ca WHERE lower(trim(Decision)) = 'accept' AND trim(coalesce(SuggestedElementCode, '')) <> '' AND trim(coalesce(Phrase, '')) <> '')
 SELECT code, phrase, weight::DOUBLE AS weight, match_type, active FROM u QUALIFY row_number() OVER (PARTITION BY code, phrase ORDER BY o) = 1"""
 
 _TOKENS = f"""k AS (SELECT list_filter(regexp_extract_all({norm('text')}, '{WORDS}'), lambda w: length(w) > 2 AND NOT regexp_full_match(w, '[\\p{{Nd}}\\p{{No}}]+') AND NOT list_contains({_list(tx.FREQUENCY_STOP_WORDS)}, w)) AS w FROM documents)"""
@@ -157,11 +158,11 @@ def material(q: str) -> str:
 
 _ENTRY = f"""SELECT *, {form('v')} AS value, CASE WHEN contains({form('v')}, ' ') THEN 'specific' ELSE 'generic' END AS kind"""
 SQL["unpivot_elements"] = f"""
-WITH {values('MATCHER', 'ma')}, u AS (SELECT *, Phrase1 AS v FROM ma UNION ALL SELECT *, Phrase2 FROM ma), n AS ({_ENTRY} FROM u)
+WITH {grown_values('MATCHER', 'ma')}, u AS (SELECT *, Phrase1 AS v FROM ma UNION ALL SELECT *, Phrase2 FROM ma), n AS ({_ENTRY} FROM u)
 SELECT ElementCode AS code, coalesce(Priority, 0.0) AS priority, {form('ContextGroup')} AS context_group, {form('MaterialGroup')} AS material_group, {alias('SideSignal', tx.SIDES)} AS side_signal, coalesce(SideWeight, 0.0) AS side_weight,
   {alias('PositionSignal', tx.POSITIONS)} AS position_signal, coalesce(PositionWeight, 0.0) AS position_weight, {form('IsStrongAnchor')} IN ('yes', 'true', '1', 'tak') AS is_strong_anchor, coalesce(AnchorWeight, 0.0) AS anchor_weight, value, kind FROM n WHERE value <> ''"""
 SQL["context_keywords"] = f"""
-WITH {values('KEYWORDS', 'ke')}, u AS (SELECT *, Word1 AS v FROM ke UNION ALL SELECT *, Word2 FROM ke), n AS ({_ENTRY} FROM u)
+WITH {grown_values('KEYWORDS', 'ke')}, u AS (SELECT *, Word1 AS v FROM ke UNION ALL SELECT *, Word2 FROM ke), n AS ({_ENTRY} FROM u)
 SELECT {form('ContextSignal')} AS context_signal, {alias('SideSignal', tx.SIDES)} AS side_signal, coalesce(SideWeight, 0.0) AS side_weight, {alias('PositionSignal', tx.POSITIONS)} AS position_signal, coalesce(PositionWeight, 0.0) AS position_weight, value, kind FROM n WHERE value <> ''"""
 SQL["canonical_maps"] = f"""
 WITH w AS (SELECT p_partkey, ['EXT', 'zewnętrzny ', 'int', 'oba', 'any', '', 'left', 'dół', 'Góra', 'mid'][p_partkey % 10 + 1] AS w FROM part)
