@@ -12,6 +12,7 @@ from ..operators import classify as cl
 from ..operators import dictionary as dc
 from ..operators import export as ex
 from ..operators import extraction as xt
+from ..operators import ink as ik
 from ..operators import matching as mt
 from ..operators import mining as mn
 from .fixtures import PAGE_HEIGHT, PAGE_WIDTH, boxes, documents, frame, grown, parts, table
@@ -382,12 +383,18 @@ def detect_details(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page", "id", *g.SIDES, F.array_join(F.col("text_ids").cast("array<string>"), ",").alias("text_ids"))
 
 
+def ink_components(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes as ink on a raster of a tenth of the size; those of line 3 are text zones."""
+    own = boxes(spark, d).select("page", "l_linenumber", *[F.floor(F.col(s) / 10).cast("long").alias(s) for s in g.SIDES])
+    return ik.ink_components(ik.rows_of(own.where("l_linenumber != 3")), own.where("l_linenumber = 3"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         normalize_text, ascii_fold, strip_tail, noise_filter, tokenize, safe_filename, line_kind, classify, classify_fallback, classify_scores, classify_large_dictionary, ngram_frequency, core_phrases, phrase_rollup, token_window, line_segments,
         unpivot_elements, context_keywords, reference_terms, synonyms_from_elements, suggest_substring, suggest_fuzzy, import_accepted, canonical_maps, material_conflict, numbers, area_type, clip_sanitize, extraction_report, export_metadata,
         box_metrics, component_kind, geometry_role, fallback_cores, touch_pairs, absorb_pairs, box_components, absorb_boxes, attach_small, attach_text, side_knn, percentile_split, unique_texts, greedy_dedupe, detail_candidates,
-        dedupe_elements, infer_context, context_boost, final_candidates, fuzzy_topk, fuzzy_topk_indel, suggest_indel, fuzzy_match, synonym_candidates, analyze_text, detect_details,
+        dedupe_elements, infer_context, context_boost, final_candidates, fuzzy_topk, fuzzy_topk_indel, suggest_indel, fuzzy_match, synonym_candidates, analyze_text, detect_details, ink_components,
     )
 }
