@@ -6,12 +6,15 @@ version). A batch is reduced to one signed row a (source, language, version)
 by a partial aggregation, so a source with a third of all rows costs a row a
 task, and committed under its id by one rename: a batch that was committed
 already, whole or by a run that was lost, changes nothing. Totals are sums over
-committed batches.
+committed batches. The rename of a folder must be atomic in the folder's file
+system, as in HDFS or a local one; in object stores that copy instead, a batch
+id needs a single writer, and a writer that is lost half way may leave a part.
 
 Cases: null text has no tokens; a null source or language is a group of its
 own; rows that repeat count as often; groups whose documents and tokens have
 all gone leave no row; an empty batch commits and changes nothing; very long
-texts are counted whole; other columns are ignored.
+texts are counted whole; other columns are ignored; a batch id has any characters
+and at most 120 bytes (a longer one is refused).
 """
 
 from __future__ import annotations
@@ -59,20 +62,26 @@ class Rollup:
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
     def _batch(self, batch: str) -> str:
-        return f"{self.folder}/batches/{batch}"
+        """Its folder: the hex form of the id, so that an id of any characters is one name, not hidden and no path."""
+        raw = batch.encode()
+        if len(raw) > 120:
+            raise ValueError("a batch id has at most 120 bytes")
+        return f"{self.folder}/batches/b{raw.hex()}"
 
     def committed(self) -> list[str]:
         """Ids of batches (the ledger is the listing of their folder)."""
         fs, at = self._fs(f"{self.folder}/batches")
-        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(bytes.fromhex(n[1:]).decode() for n in names)
 
     def commit(self, batch: str, *changes: DataFrame) -> bool:
         """Adds the signed rows of a batch; False if it was there already."""
+        to_path = self._batch(batch)
         if batch in self.committed():
             return False
         staged = f"{self.folder}/staged/{uuid.uuid4().hex}"
         summed(reduce(DataFrame.unionByName, changes)).coalesce(1).write.parquet(staged)
-        fs, to = self._fs(self._batch(batch))
+        fs, to = self._fs(to_path)
         fs.mkdirs(to.getParent())
         _, at = self._fs(staged)
         if fs.exists(to) or not fs.rename(at, to):  # another run of the same batch was faster
