@@ -22,6 +22,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 10
 #: Windows of the benchmark up to which their set is broadcast (about 100 bytes each).
 BROADCAST_ROWS = 500_000
+#: Bits of the table that texts hold their windows' hashes against before anything is joined (16 a window, fewer beyond this).
+MOST_BITS = 1 << 20
 #: Longest words of the windows up to which texts are told apart by them first.
 MARKS = 5_000
 
@@ -39,36 +41,57 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, *, item: str = "
     return each.groupBy("n_window", F.array_join("own", " ").alias("words")).agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
+def _maybe(own: DataFrame, total: int) -> tuple[Column, int]:
+    """An array of 64-bit words with a bit a hash of ``own``, and the mask of a hash's place: at most ``MOST_BITS`` bits, however many windows there are."""
+    bits = min(MOST_BITS, max(64, 1 << (16 * total - 1).bit_length()))
+    place = F.col("hash").bitwiseAND(F.lit(bits - 1))
+    one = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    found = own.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("block")).agg(F.bit_or(one).alias("set")).collect()  # MOST_BITS / 64 rows at most
+    words = [0] * (bits // 64)
+    for r in found:
+        words[r["block"]] = r["set"]
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>"), bits - 1
+
+
 def _windows(docs: DataFrame, benchmark: DataFrame, width: int, doc: str, text: str, broadcast_rows: int) -> DataFrame:
-    """row (a number of the row, unique), key, doc_id, n_words, hit (null: none), items: a row a document at least, one a hit; what is broadcast is counted first."""
+    """row (a number of the row, unique), key, doc_id, n_words, hit (null: none), items: a row a document at least, one a hit; what is broadcast is counted first.
+
+    Inside the row a bit table of the windows' hashes leaves the windows of a text that may be theirs; only these become rows, each with its own words.
+    """
     windows = benchmark_windows(benchmark, width)
     sizes = {r["n_window"]: r["n"] for r in windows.groupBy("n_window").agg(F.count("*").alias("n")).collect()}  # a row a width, ten at most
     rows = docs.select(F.monotonically_increasing_id().alias("row"), row_key(doc, text).alias("key"), F.col(doc).alias("doc_id"), words_of(F.col(text)).alias("w"))
     rows = rows.withColumn("n_words", F.size("w").cast("long"))
+    if not sizes:
+        return rows.select("row", "key", "doc_id", "n_words", F.lit(None).cast("struct<i:bigint,n:int>").alias("hit"), F.lit(None).cast("array<bigint>").alias("items"))
     lists = windows.withColumn("list", F.split("words", " "))
     longest = F.array_max(F.transform("list", lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
     marks = [r[0] for r in lists.select(longest).distinct().limit(MARKS + 1).collect()]  # bounded by MARKS
+    own = lists.select("n_window", "words", "items", F.coalesce(*[F.when(F.col("n_window") == n, window_hashes(F.col("list"), n)[0]) for n in sorted(sizes)]).alias("hash"))
+    table, mask = _maybe(own, sum(sizes.values()))
 
-    def hashes(words: Column, n: int) -> Column:
-        return F.transform(window_hashes(words, n), lambda h, i: F.struct(F.lit(n).alias("n"), i.cast("long").alias("i"), h.alias("hash")))
+    def candidates(n: int, bits: Column) -> Column:
+        def may(h: Column) -> Column:
+            place = h.bitwiseAND(F.lit(mask))
+            return F.getbit(F.get(bits, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    own = lists.select("n_window", "words", "items", F.coalesce(*[F.when(F.col("n_window") == n, window_hashes(F.col("list"), n)[0]) for n in sorted(sizes)]).alias("hash")) if sizes else None
-    hit = F.struct(F.col("x.i").alias("i"), F.col("x.n").alias("n"))
-    if own is None:
-        return rows.select("row", "key", "doc_id", "n_words", F.lit(None).cast("struct<i:bigint,n:int>").alias("hit"), F.lit(None).cast("array<bigint>").alias("items"))
-    every = F.concat(*[hashes(F.col("w"), n) for n in sorted(sizes)])
-    same = F.array_join(F.slice("w", F.col("x.i").cast("int") + 1, F.col("x.n")), " ") == F.col("words")
-    if len(marks) <= MARKS and sum(sizes.values()) <= broadcast_rows:
+        def some(hashes: Column) -> Column:
+            at = F.array_compact(F.transform(hashes, lambda h, i: F.when(may(h), i)))
+            return F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), i.cast("long").alias("i"), F.get(hashes, i).alias("hash"), F.array_join(F.slice("w", i + 1, n), " ").alias("words")))
+
+        return let(window_hashes(F.col("w"), n), some)
+
+    found = let(table, lambda bits: F.concat(*[candidates(n, bits) for n in sorted(sizes)]))
+    if len(marks) <= MARKS:
         # a text with none of the windows' longest words holds no window: its windows needn't be hashed
-        marked = F.arrays_overlap("w", F.array(*[F.lit(m) for m in marks]))
-        probes = rows.withColumn("x", F.when(marked, every).otherwise(F.array().cast("array<struct<n:int,i:bigint,hash:bigint>>")))
-        probes = probes.select("row", "key", "doc_id", "n_words", "w", F.explode_outer("x").alias("x"))
-        met = probes.join(F.broadcast(own), (F.col("x.hash") == F.col("hash")) & (F.col("x.n") == F.col("n_window")) & same, "left")
-        return met.select("row", "key", "doc_id", "n_words", F.when(F.col("words").isNotNull(), hit).alias("hit"), "items")
-    probes = rows.select("key", F.explode(every).alias("x"))
-    met = probes.join(own, (F.col("x.hash") == F.col("hash")) & (F.col("x.n") == F.col("n_window"))).drop("hash", "n_window")
-    met = met.join(rows.select("key", "w"), "key").where(same).select("key", hit.alias("hit"), "items")
-    return rows.select("row", "key", "doc_id", "n_words").join(met, "key", "left")
+        found = F.when(F.arrays_overlap("w", F.array(*[F.lit(m) for m in marks])), found)
+    probes = rows.select("row", "key", "doc_id", "n_words", found.alias("found")).select("row", "key", "doc_id", "n_words", F.explode_outer("found").alias("x"))
+    # documents without such windows have no hash; their own row numbers deal them evenly in a shuffled join
+    probes = probes.withColumn("at", F.coalesce("x.hash", "row")).withColumn("wide", F.coalesce("x.n", F.lit(0)))
+    own = F.broadcast(own) if sum(sizes.values()) <= broadcast_rows else own
+    met = probes.join(own, (F.col("at") == F.col("hash")) & (F.col("wide") == F.col("n_window")) & (F.col("x.words") == F.col("words")), "left")
+    hit = F.struct(F.col("x.i").alias("i"), F.col("x.n").alias("n"))
+    return met.select("row", "key", "doc_id", "n_words", F.when(F.col("words").isNotNull(), hit).alias("hit"), "items")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, *, doc: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
