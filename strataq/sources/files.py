@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import shutil
+import signal
 import subprocess
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,25 +79,37 @@ def recognise(image: str, program: str, language: str = "pol+eng", timeout: floa
     """(text, error): what the program prints for an image file; errors are returned, not raised."""
     command = [program, image, "stdout", "-l", language, *(["--tessdata-dir", data] if data else [])]
     try:
-        done = subprocess.run(command, capture_output=True, text=True, timeout=timeout, encoding="utf-8", errors="replace")
+        child = subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.PIPE, text=True, encoding="utf-8", errors="replace", start_new_session=True)
     except FileNotFoundError:
         return "", f"missing executable: {program}"
-    except subprocess.TimeoutExpired:
-        return "", f"timeout after {timeout} s"
     except OSError as x:
         return "", str(x)
-    if done.returncode:
-        return "", f"exit code {done.returncode}: {(done.stderr or '').strip()}"
-    return (done.stdout or "").strip(), None
-
-
-def recognised(images: Column, program: str, **options) -> Column:
-    """struct(text, error) of a column of image paths that the executors can open."""
-    kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
+    with child:
+        try:
+            out, err = child.communicate(timeout=timeout)
+        except subprocess.TimeoutExpired:
+            with contextlib.suppress(ProcessLookupError):
+                os.killpg(child.pid, signal.SIGKILL)  # what it started too, or its pipes would stay open
+            return "", f"timeout after {timeout} s"
+    if child.returncode:
+        return "", f"exit code {child.returncode}: {(err or '').strip()}"
+    return (out or "").strip(), None
+
+
+def recognised(images: Column, program: str, *, at_once: int = 4, **options) -> Column:
+    """struct(text, error) of a column of image paths that the executors can open; null and empty paths have no text and no error.
+
+    A task runs at most ``at_once`` programs at a time (a cluster gives it as many cores by spark.task.cpus). One that hangs
+    holds its place until its timeout, the others go on. A path that repeats in a batch is recognised once.
+    """
 
-    @F.udf(kind)
-    def run(path):
-        return recognise(path, program, **options) if path else ("", None)
+    @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(at_once) as pool:
+            for paths in batches:
+                paths = [p or "" for p in paths]
+                waiting = {p: pool.submit(recognise, p, program, **options) for p in dict.fromkeys(paths) if p}
+                yield pd.DataFrame([waiting[p].result() if p else ("", None) for p in paths], columns=["text", "error"])
 
     return run(images)
 

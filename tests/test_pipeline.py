@@ -1,5 +1,7 @@
 """Classification, candidates, import, extraction and export on the reference's cases."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +121,27 @@ def test_program(tmp_path):
     assert text == "" and "bad" in error
     assert "timeout" in files.recognise("i.png", script("sleep 5"), timeout=0.2)[1]
     assert "missing executable" in files.recognise("i.png", str(tmp_path / "none"))[1]
+    begun = time.monotonic()
+    assert "timeout" in files.recognise("i.png", script("sleep 60; echo late"), timeout=0.3)[1] and time.monotonic() - begun < 20  # what it started ends too
+
+
+def test_one_hung_program_does_not_stop_its_batch(spark, tmp_path):
+    program, runs = tmp_path / "program", tmp_path / "runs"
+    program.write_text(f'#!/bin/sh\necho "$1" >> {runs}\ncase "$1" in hang*) sleep 120;; bad*) echo broken >&2; exit 3;; esac\necho "text of $1"\n')
+    program.chmod(0o755)
+    images = ["hang.png", *[f"i{k}.png" for k in range(12)], "bad.png", "i0.png", "i0.png", None, ""]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(images)], "k int, image string").coalesce(1)
+    begun = time.monotonic()
+    got = {r["k"]: (r["image"], r["o"]["text"], r["o"]["error"]) for r in df.withColumn("o", files.recognised(F.col("image"), str(program), at_once=2, timeout=5)).collect()}
+    assert time.monotonic() - begun < 100 and len(got) == len(images)
+    for image, text, error in got.values():
+        if not image:
+            assert (text, error) == ("", None)
+        elif image.startswith("i"):
+            assert (text, error) == (f"text of {image}", None)
+        else:
+            assert text == "" and ("timeout" if image == "hang.png" else "broken") in error
+    assert runs.read_text().split().count("i0.png") == 1
 
 
 def test_pages_and_settings(tmp_path):
