@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .cut import cut
+from .cut import stored
 
 LINE_PREFIX, EXAMPLE_IDS, EXAMPLE_LINES = 160, 5, 3
 
@@ -43,7 +43,7 @@ def phrase_rollup(phrases: DataFrame, row_id: str = "crop_id", row_order: str =
 
     What a phrase gathers is bounded: ids and lines are made distinct by aggregation and ranked, so a phrase of a third of all rows is no group in memory.
     """
-    phrases = cut(phrases.select("normalized_phrase", "phrase", "occurrence_count", "source_line", row_id, row_order))  # four aggregations read it
+    phrases = stored(phrases.select("normalized_phrase", "phrase", "occurrence_count", "source_line", row_id, row_order))  # four aggregations, each reads some columns
     seen = F.struct(F.col(row_order), (-F.col("occurrence_count")).alias("c"), F.col("phrase"))
     source = F.btrim(F.coalesce(F.col(row_id).cast("string"), F.lit("")))
     rows = phrases.select("normalized_phrase", "phrase", "occurrence_count", "source_line", seen.alias("seen"), source.alias("source"))
