@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashMemo, release
+from .common import HashMemo, ref, release
 
 BUCKETS, SAMPLE, SCALE = 1 << 19, 8_000, 20.0
 _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
@@ -71,11 +71,13 @@ def score(w: np.ndarray, text: str | None) -> float:
     return float(1 / (1 + np.exp(-np.clip((w[x].sum(dtype=np.float64) * SCALE / len(x) if len(x) else 0.0) + w[-1], -35, 35))))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, train_on: Column, sample: int, *, doc: str = "doc_id", more: tuple[str, ...] = ()) -> DataFrame:
-    """text, label (and more) of the first ``sample`` labelled rows by hash of the doc_id."""
-    known = labels.where(F.col(doc).isNotNull() & F.col(label).isNotNull()).groupBy(doc).agg(F.min(label).cast("int").alias("_label")).where(train_on)
-    known = known.orderBy(F.xxhash64(doc), doc).limit(sample)
-    return docs.join(F.broadcast(known), doc).select("text", F.col("_label").alias("label"), *more)  # at most ``sample`` short rows
+def labelled(docs: DataFrame, labels: DataFrame, label: str, train_on: Column, sample: int, *, doc: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """text, label (and more, but for columns of those names) of the first ``sample`` labelled rows by hash of the doc_id."""
+    known = labels.where(F.col(doc).isNotNull() & F.col(label).isNotNull()).groupBy(doc).agg(F.min(label).cast("int").alias("label")).where(train_on)
+    known = known.orderBy(F.xxhash64(doc), doc).limit(sample).select(F.col(doc).alias("_of"), "label")
+    rows = docs.select(F.col(doc).alias("_doc"), ref(text).alias("text"), F.struct(*[ref(c).alias(f"c{k}") for k, c in enumerate(more)], F.lit(0).alias("_")).alias("_more"))
+    both = rows.join(F.broadcast(known), F.col("_doc") == F.col("_of"))  # at most ``sample`` short rows
+    return both.select("text", "label", *[F.col("_more")[f"c{k}"].alias(c) for k, c in enumerate(more) if c.lower() not in ("text", "label")])
 
 
 def fit(rows: DataFrame) -> np.ndarray:
@@ -91,16 +93,17 @@ def fit(rows: DataFrame) -> np.ndarray:
 
 
 def apply(docs: DataFrame, w: np.ndarray, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and score (0 to 1) of every row."""
-    source = docs.select(*keep, text)
+    """``keep`` and score (0 to 1) of every row; a kept column named score, in any case, gives way to it."""
+    keep = tuple(c for c in keep if c.lower() != "score")
+    source = docs.select(*[ref(c).alias(f"c{k}") for k, c in enumerate(keep)], ref(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(w)
-    schema = T.StructType([*[source.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
             found = pa.array([score(own, x.as_py()) for x in b.column(len(keep))], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.select(list(keep)).columns, found], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], found], [*keep, "score"])
         release(_memo)
 
     return source.mapInArrow(run, schema)

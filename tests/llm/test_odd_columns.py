@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strataq.llm import decontaminate, line_dedup, near_dedup, paragraph_dedup, quality_rules
+from strataq.llm import decontaminate, line_dedup, near_dedup, paragraph_dedup, quality_classifier, quality_rules
 
 CLASHING = ["n_words", "Kept", "rule", "_gone", "_row_key", "row", "key", "gone", "hits", "n_lines", "n_removed", "component_id", "rep", "_t", "base_failed", "m_digits", "a.b"]
 MADE = {"n_words", "kept", "rule", "base_failed", "m_digits", "n_lines"}
@@ -57,3 +57,18 @@ def test_near_dedup_and_text_ids(plain, clashing):
 
 def test_paragraph_dedup(plain, clashing):
     same(paragraph_dedup.dedup(clashing), paragraph_dedup.dedup(plain), [c for c in CLASHING if c != "n_removed"], ("doc_id", "text", "n_removed"))
+
+
+def test_quality_classifier(spark):
+    rows = [(k, f"word{k % 2} other", "own", "own", 7.0, "own") for k in range(6)] + [(9, None, "own", "own", 7.0, "own"), (None, "", "own", "own", 7.0, "own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _label string, label string, Score double, `a.b` string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)] + [(9, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    known = quality_classifier.labelled(docs, labels, "quality", F.lit(True), 100, more=("_label", "label", "a.b"))
+    assert known.columns == ["text", "label", "_label", "a.b"]
+    assert sorted((str(r["text"]), r["label"]) for r in known.collect()) == sorted([*[(f"word{k % 2} other", k % 2) for k in range(6)], ("None", 1)])
+    out = quality_classifier.apply(docs, quality_classifier.fit(known), keep=("doc_id", "text", "_label", "Score", "a.b"))
+    assert out.columns == ["doc_id", "text", "_label", "a.b", "score"]
+    assert sorted(map(str, [(r["doc_id"], r["text"], r["_label"], r["a.b"]) for r in out.collect()])) == sorted(map(str, [(r[0], r[1], r[2], r[5]) for r in rows]))
+    assert all(0 <= r["score"] <= 1 for r in out.collect())
+    # another column may be the text
+    assert quality_classifier.apply(docs.withColumnRenamed("text", "_text"), quality_classifier.fit(known), text="_text", keep=("_text",)).count() == len(rows)
