@@ -43,13 +43,14 @@ def contains_join(texts: DataFrame, phrases: DataFrame, broadcast_phrases: int =
         return contains_few(texts, phrases)
     short, long = phrases.where(F.length("phrase") < 3), phrases.where(F.length("phrase") >= 3)  # short ones: bounded by the alphabet
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, F.lit(3))))
-    # each phrase is dealt by its trigram that the fewest phrases have
+    # each phrase is dealt by its trigram that the fewest phrases have; sizes that Spark estimates don't know how many
+    # trigrams a text has, so joins are told to sort: a side taken for small would go through the driver
     each = long.select("phrase").distinct().withColumn("gram", F.explode(grams("phrase")))
     rare = each.groupBy("gram").agg(F.count("*").alias("n"))
-    own = each.join(rare, "gram").groupBy("phrase").agg(F.min(F.struct("n", "gram")).alias("own")).select("phrase", F.col("own.gram").alias("gram"))
-    keyed = long.join(own, "phrase")
+    own = each.join(rare.hint("merge"), "gram").groupBy("phrase").agg(F.min(F.struct("n", "gram")).alias("own")).select("phrase", F.col("own.gram").alias("gram"))
+    keyed = long.join(own.hint("merge"), "phrase")
     dealt = texts.where(F.length("search_text") >= 3).withColumn("gram", F.explode(grams("search_text")))
-    met = dealt.join(keyed, "gram").where(F.contains("search_text", "phrase")).drop("gram")
+    met = dealt.join(keyed.hint("merge"), "gram").where(F.contains("search_text", "phrase")).drop("gram")
     return met.unionByName(texts.join(F.broadcast(short), F.contains("search_text", "phrase")))
 
 
