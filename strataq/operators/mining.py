@@ -2,40 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import grams
 from .cut import stored
 
+#: Characters of a text up to which its phrases are counted in its row.
+LONG = 1 << 22
 LINE_PREFIX, EXAMPLE_IDS, EXAMPLE_LINES = 160, 5, 3
 
 
 def ngram_frequency(df: DataFrame, text: str = "raw_text", most: int = 3) -> DataFrame:
-    """Phrase, Count of runs of 1 to ``most`` tokens (across lines, never across rows), most frequent first. One shuffle, pre-aggregated."""
+    """Phrase, Count of runs of 1 to ``most`` tokens (across lines, never across rows), most frequent first. Counted some rows at a time in the task, then shuffled once."""
     rows = df.select(tx.frequency_tokens(text).alias("tokens")).where(F.size("tokens") > 0)
-    grams = rows.select(F.explode(tx.ngrams(F.col("tokens"), 1, most)).alias("gram"))
-    return grams.groupBy(F.array_join("gram", " ").alias("Phrase")).agg(F.count("*").alias("Count")).orderBy(F.desc("Count"), "Phrase")
+    return grams.frequencies(rows, most).groupBy("Phrase").agg(F.sum("n").alias("Count")).orderBy(F.desc("Count"), "Phrase")
 
 
-def core_phrases(df: DataFrame, *keys: str, text: str = "raw_text") -> DataFrame:
-    """keys, phrase, normalized_phrase, occurrence_count, source_line (the first line with it).
+def _line_tokens(line: Column) -> Column:
+    # in one expression, each step once: a filter on the way would make the optimizer evaluate the steps before it again
+    return tx.let(tx.strip_context_tail(line), lambda c: F.when(tx.is_noise(c), F.array().cast("array<string>")).otherwise(tx.tokenize_phrase(c)))
 
-    A line of 2 to 6 words gives itself and its runs of 2 to 4 words (so that of 2 to 4 words counts twice), longer ones only runs.
-    """
+
+def _core_shuffled(df: DataFrame, keys: tuple[str, ...], text: str) -> DataFrame:
+    """``core_phrases`` with a row a phrase on the way: for rows of one key, and texts too long to be counted at once."""
     each = df.select(*keys, F.posexplode(tx.lines(text)).alias("line_no", "line"))
-    # in one expression, each step once: a filter on the way would make the optimizer evaluate the steps before it again
-    tokens = tx.let(tx.strip_context_tail("line"), lambda c: F.when(tx.is_noise(c), F.array().cast("array<string>")).otherwise(tx.tokenize_phrase(c)))
-    pairs = F.transform(tokens, lambda t: F.struct(t.alias("t"), tx.ascii_fold(t).alias("f")))
+    pairs = F.transform(_line_tokens(F.col("line")), lambda t: F.struct(t.alias("t"), tx.ascii_fold(t).alias("f")))
 
     def grams_of(p):
         whole = F.when((F.size(p) >= 2) & (F.size(p) <= 6), F.array(p)).otherwise(F.array().cast("array<array<struct<t:string,f:string>>>"))
         return F.filter(F.concat(whole, tx.ngrams(p, 2, 4)), lambda g: tx.valid_ngram(g["t"], folded=F.array_join(g["f"], " ")))
 
-    grams = each.select(*keys, "line_no", "line", F.explode(F.transform(tx.let(pairs, grams_of), lambda g: F.array_join(g["t"], " "))).alias("phrase"))
-    out = grams
+    out = each.select(*keys, "line_no", "line", F.explode(F.transform(tx.let(pairs, grams_of), lambda g: F.array_join(g["t"], " "))).alias("phrase"))
     out = out.groupBy(*keys, "phrase").agg(F.count("*").alias("occurrence_count"), F.min_by("line", "line_no").alias("line"))
-    return out.select(*keys, "phrase", tx.ascii_fold(tx.normalize_text("phrase")).alias("normalized_phrase"), "occurrence_count", tx.normalize_text("line").alias("source_line"))
+    return out.select(*keys, "phrase", tx.ascii_fold(tx.normalize_text("phrase")).alias("normalized_phrase"), "occurrence_count", "line")
+
+
+def core_phrases(df: DataFrame, *keys: str, text: str = "raw_text", source_line: bool = True) -> DataFrame:
+    """keys, phrase, normalized_phrase, occurrence_count, source_line (the first line with it, unless not asked for).
+
+    A line of 2 to 6 words gives itself and its runs of 2 to 4 words (so that of 2 to 4 words counts twice), longer ones only runs.
+    Rows whose key is theirs alone, which is counted first, are counted in the row; only rows of a shared key, and texts of
+    over ``LONG`` characters, become a row a phrase that is shuffled.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    shared = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).count().where("count > 1")
+    long = F.length(F.coalesce(F.col(text).cast("string"), F.lit(""))) > LONG
+    apart, alone = df.where(long), df.where(~long)
+    if not keys or not shared.isEmpty():
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)], F.lit(True))
+        whole = df.select(F.struct(*df.columns).alias("_row"), *keys)
+        taken = lambda how: whole.join(shared, same, how).select("_row.*")
+        apart, alone = (taken("left_semi").unionByName(taken("left_anti").where(long)), taken("left_anti").where(~long)) if keys else (df, df.limit(0))
+    tokens = F.transform("lines", _line_tokens)
+    rows = alone.select(*keys, tx.lines(text).alias("lines")).select(*keys, "lines", tokens.alias("tokens"))
+    rest = _core_shuffled(apart, keys, text)
+    out = grams.core_phrases(rows, keys, source_line).unionByName(rest if source_line else rest.drop("line"))
+    columns = [*keys, "phrase", "normalized_phrase", "occurrence_count"]
+    return out.select(*columns, *[tx.normalize_text("line").alias("source_line")] * source_line)
 
 
 def phrase_rollup(phrases: DataFrame, row_id: str = "crop_id", row_order: str = "row_ord") -> DataFrame:

@@ -90,7 +90,7 @@ def ngram_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 
 def core_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return mn.core_phrases(documents(spark, d), "doc_id").select("doc_id", "phrase", "normalized_phrase", "occurrence_count")
+    return mn.core_phrases(documents(spark, d), "doc_id", source_line=False).select("doc_id", "phrase", "normalized_phrase", "occurrence_count")
 
 
 def phrase_rollup(spark: SparkSession, d: str) -> DataFrame:

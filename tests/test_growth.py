@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from strataq.operators import classify
+from strataq.functions import text as tx
+from strataq.operators import classify, grams, mining
 
 
 def plan(df):
@@ -16,3 +17,34 @@ def test_texts_of_a_large_dictionary_are_not_broadcast(spark, tmp_path):
     found = classify.hits(texts, phrases, broadcast_phrases=0)
     assert "BroadcastHashJoin" not in plan(found)
     assert {r["code"]: r["count"] for r in found.groupBy("code").count().collect()} == {"A": 2000, "B": 111, "C": sum("1" in str(i) for i in range(2000))}
+
+
+ODD = ["Żółta śruba M8 stalowa\nbolt\nred bolt\nred bolt\nred bolt plate\n12 12 x 12\n\n", None, "", "a b c d e f\na b c d e f g\na b c d e\nof the red bolt of\nREI 60\nna na na na", "½ kg ﬁrst ²² two\r\nred  bolt; red bolt -x- _y_", "x\n" * 5, "wg list 12 mm gr. 12 mm steel plate"]
+
+
+def test_phrases_of_a_row_are_counted_without_a_shuffle(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)] + [(3, "red bolt\na b c d e f"), (None, "red bolt"), (None, "red bolt")], "id int, raw_text string")
+    seen = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    want = mining._core_shuffled(rows, ("id",), "raw_text").withColumnRenamed("line", "source_line")
+    want = want.withColumn("source_line", tx.normalize_text("source_line"))
+    # the first line of rows that share a key is open
+    assert seen(mining.core_phrases(rows, "id").drop("source_line")) == seen(want.drop("source_line"))
+    own = rows.where("id != 3")
+    assert seen(mining.core_phrases(own, "id")) == seen(want.where("id != 3"))
+    apart = []
+    shuffled = mining._core_shuffled
+    monkeypatch.setattr(mining, "_core_shuffled", lambda df, *a: apart.append(df) or shuffled(df, *a))
+    assert seen(mining.core_phrases(own, "id", source_line=False)) == seen(want.where("id != 3").drop("source_line"))
+    assert apart[0].count() == 0
+    monkeypatch.setattr(mining, "LONG", 40)
+    monkeypatch.setattr("strataq.operators.grams.TOGETHER", 3)
+    assert seen(mining.core_phrases(own, "id")) == seen(want.where("id != 3"))
+    assert 0 < apart[1].count() < own.count()
+
+
+def test_ngrams_are_counted_in_the_task_first(spark):
+    rows = spark.createDataFrame([("red bolt red bolt red",)] * 50 + [("red",), ("and",), (None,), ("wąż i bolt 123",)], "raw_text string").coalesce(1)
+    tokens = rows.select(tx.frequency_tokens("raw_text").alias("tokens"))
+    assert grams.frequencies(tokens, 3).count() == 2 + 1 + 2 + 1 + 2  # with wąż, wąż bolt
+    got = {r["Phrase"]: r["Count"] for r in mining.ngram_frequency(rows).collect()}
+    assert got == {"red": 151, "bolt": 101, "red bolt": 100, "bolt red": 100, "red bolt red": 100, "bolt red bolt": 50, "wąż": 1, "wąż bolt": 1}
