@@ -69,25 +69,33 @@ def core_phrases(df: DataFrame, *keys: str, text: str = "raw_text", source_line:
 def phrase_rollup(phrases: DataFrame, row_id: str = "crop_id", row_order: str = "row_ord") -> DataFrame:
     """A row a normalised phrase: sums, distinct sources, first ids and lines, the surface form seen first.
 
-    What a phrase gathers is bounded: ids and lines are made distinct by aggregation and ranked, so a phrase of a third of all rows is no group in memory.
+    A phrase's rows meet once, sorted by source, so that sources are numbered as they stream by; ids and lines that a phrase
+    gathers are bounded, so a phrase of a third of all rows is no group in memory. Without source_line no ExampleTexts.
     """
-    phrases = stored(phrases.select("normalized_phrase", "phrase", "occurrence_count", "source_line", row_id, row_order))  # four aggregations, each reads some columns
     seen = F.struct(F.col(row_order), (-F.col("occurrence_count")).alias("c"), F.col("phrase"))
     source = F.btrim(F.coalesce(F.col(row_id).cast("string"), F.lit("")))
-    rows = phrases.select("normalized_phrase", "phrase", "occurrence_count", "source_line", seen.alias("seen"), source.alias("source"))
-    totals = rows.groupBy("normalized_phrase").agg(F.min_by("phrase", "seen").alias("Phrase"), F.sum("occurrence_count").alias("OccurrenceCount"), F.min("seen").alias("first"))
-    ids = rows.where("source != ''").select("normalized_phrase", "source").distinct()
-    sources = ids.groupBy("normalized_phrase").agg(F.count("*").alias("SourceCount"))
-    rank = lambda by: F.row_number().over(Window.partitionBy("normalized_phrase").orderBy(by))
-    first_ids = ids.withColumn("k", rank("source")).where(F.col("k") <= EXAMPLE_IDS).groupBy("normalized_phrase").agg(F.array_join(F.array_sort(F.collect_list("source")), ";").alias("ExampleCropIDs"))
+    with_lines = "source_line" in phrases.columns
+    columns = ["normalized_phrase", "phrase", "occurrence_count", *["source_line"] * with_lines, row_id, row_order]
+    phrases = phrases.select(*dict.fromkeys(columns))
+    if with_lines:
+        phrases = stored(phrases)  # two aggregations, each reads some columns
+    met = phrases.select("normalized_phrase", "phrase", "occurrence_count", row_order, source.alias("source")).repartition("normalized_phrase")
+    named = F.col("source") != ""
+    met = met.withColumn("k", F.dense_rank().over(Window.partitionBy("normalized_phrase").orderBy(F.when(named, F.col("source")).asc_nulls_last())))
+    out = met.groupBy("normalized_phrase").agg(
+        F.min_by("phrase", seen).alias("Phrase"), F.max(F.when(named, F.col("k"))).alias("SourceCount"), F.sum("occurrence_count").alias("OccurrenceCount"),
+        F.array_join(F.array_sort(F.collect_set(F.when(named & (F.col("k") <= EXAMPLE_IDS), F.col("source")))), ";").alias("ExampleCropIDs"),
+    )
+    own = [F.col("Phrase"), F.col("normalized_phrase").alias("NormalizedPhrase"), F.coalesce("SourceCount", F.lit(0)).cast("long").alias("SourceCount"), F.col("OccurrenceCount").cast("long"), F.col("ExampleCropIDs")]
+    if not with_lines:
+        return out.select(*own)
     # a stored prefix never equals a longer line, so lines beyond the prefix may repeat
+    rows = phrases.select("normalized_phrase", "source_line", seen.alias("seen"))
     key = F.when(F.length("source_line") <= LINE_PREFIX, F.col("source_line")).otherwise(F.concat("source_line", F.col("seen").cast("string")))
     lines = rows.where("source_line != ''").groupBy("normalized_phrase", key.alias("key")).agg(F.min(F.struct("seen", F.substring("source_line", 1, LINE_PREFIX).alias("line"))).alias("own"))
-    first_lines = lines.withColumn("k", rank("own")).where(F.col("k") <= EXAMPLE_LINES).groupBy("normalized_phrase").agg(F.array_join(F.transform(F.array_sort(F.collect_list("own")), lambda x: x["line"]), " | ").alias("ExampleTexts"))
-    out = totals
-    for part in (sources, first_ids, first_lines):
-        out = out.join(part, "normalized_phrase", "left")
-    return out.select("Phrase", F.col("normalized_phrase").alias("NormalizedPhrase"), F.coalesce("SourceCount", F.lit(0)).cast("long").alias("SourceCount"), F.col("OccurrenceCount").cast("long"), F.coalesce("ExampleCropIDs", F.lit("")).alias("ExampleCropIDs"), F.coalesce("ExampleTexts", F.lit("")).alias("ExampleTexts"))
+    lines = lines.withColumn("k", F.row_number().over(Window.partitionBy("normalized_phrase").orderBy("own"))).where(F.col("k") <= EXAMPLE_LINES)
+    first_lines = lines.groupBy("normalized_phrase").agg(F.array_join(F.transform(F.array_sort(F.collect_list("own")), lambda x: x["line"]), " | ").alias("ExampleTexts"))
+    return out.join(first_lines, "normalized_phrase", "left").select(*own, F.coalesce("ExampleTexts", F.lit("")).alias("ExampleTexts"))
 
 
 def synonym_candidates(df: DataFrame, terms: DataFrame, *, row_id: str = "crop_id", row_order: str = "row_ord", text: str = "raw_text", scorer: str = "token_set") -> DataFrame:

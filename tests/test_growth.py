@@ -48,3 +48,15 @@ def test_ngrams_are_counted_in_the_task_first(spark):
     assert grams.frequencies(tokens, 3).count() == 2 + 1 + 2 + 1 + 2  # with wąż, wąż bolt
     got = {r["Phrase"]: r["Count"] for r in mining.ngram_frequency(rows).collect()}
     assert got == {"red": 151, "bolt": 101, "red bolt": 100, "bolt red": 100, "red bolt red": 100, "bolt red bolt": 50, "wąż": 1, "wąż bolt": 1}
+
+
+def test_a_rollup_without_lines_stores_nothing(spark, monkeypatch):
+    rows = spark.createDataFrame([("b", 1, "Red bolt"), (" b ", 2, "red bolt"), (None, 3, "red bolt"), ("", 4, "red bolt"), ("a", 5, "réd bolt red bolt"), *[(f"c{i}", 6 + i, "red bolt") for i in range(5)], (None, 99, "blue gear")], "crop_id string, row_ord int, raw_text string")
+    phrases = mining.core_phrases(rows, "crop_id", "row_ord")
+    whole = mining.phrase_rollup(phrases).drop("ExampleTexts")
+    want = sorted(map(tuple, whole.collect()))
+    monkeypatch.setattr(mining, "stored", lambda df: 1 / 0)
+    got = sorted(map(tuple, mining.phrase_rollup(phrases.drop("source_line")).collect()))
+    assert got == want
+    assert ("red bolt", "red bolt", 7, 20, "a;b;c0;c1;c2") in [tuple(r) for r in got]
+    assert ("blue gear", "blue gear", 0, 2, "") in [tuple(r) for r in got]
