@@ -1,9 +1,12 @@
 """What must not grow with the tables: sides that go through the driver, rows that are shuffled or written more often than needed."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from strataq.functions import text as tx
-from strataq.operators import classify, grams, mining
+from strataq.operators import classify, grams, ink, mining
 
 
 def plan(df):
@@ -60,3 +63,33 @@ def test_a_rollup_without_lines_stores_nothing(spark, monkeypatch):
     assert got == want
     assert ("red bolt", "red bolt", 7, 20, "a;b;c0;c1;c2") in [tuple(r) for r in got]
     assert ("blue gear", "blue gear", 0, 2, "") in [tuple(r) for r in got]
+
+@pytest.mark.parametrize("dx, dy", [(4086, 250), (-10, -6), (8180, 3)])
+def test_parts_at_the_edges_of_tiles_are_linked(spark, dx, dy):
+    rng = random.Random(dx)
+    runs = [(p, dy + rng.randrange(12), x, x + rng.choice((1, 1, 2, 4))) for p in (1, 2) for _ in range(50 + 20 * p) for x in [dx + rng.randrange(20)]]
+    zones = [(1, dx + 5, dy + 2, dx + 14, dy + 9), (1, dx + 8, dy, dx + 12, dy + 12), (2, dx, dy + 5, dx + 20, dy + 7)]
+    pixels = {(p, y, x) for p, y, x0, x1 in runs for x in range(x0, x1)}
+    text = {(p, y, x) for p, x0, y0, x1, y1 in zones for y in range(y0, y1) for x in range(x0, x1)}
+    want, left = set(), set(pixels)
+    while left:
+        part, todo = set(), [left.pop()]
+        while todo:
+            p, y, x = here = todo.pop()
+            part.add(here)
+            near = {(p, y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        first, ys, xs = min(part), [c[1] for c in part], [c[2] for c in part]
+        want.add((first[0], (first[1] << 32) + first[2], min(xs), min(ys), max(xs) + 1, max(ys) + 1, len(part), len(part & text)))
+    got = ink.ink_components(spark.createDataFrame(runs, "page long, y long, x0 long, x1 long").repartition(5), spark.createDataFrame(zones, "page long, x0 long, y0 long, x1 long, y1 long"))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_ink_inside_a_tile_makes_no_links_that_are_shuffled(spark, monkeypatch):
+    links, closed = [], ink.graph.components
+    monkeypatch.setattr(ink.graph, "components", lambda df, *keys: links.append(df.count()) or closed(df, *keys))
+    runs = spark.createDataFrame([(1, y, x, x + 2) for y in range(3, 50) for x in range(5, 60, 4)], "page long, y long, x0 long, x1 long")
+    zones = spark.createDataFrame([], "page long, x0 long, y0 long, x1 long, y1 long")
+    assert ink.ink_components(runs, zones).count() == 14
+    assert links == [0]
