@@ -240,8 +240,7 @@ def absorb_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def box_components(spark: SparkSession, d: str) -> DataFrame:
-    own = boxes(spark, d)
-    return bx.components(own, bx.touch_pairs(own, 6)).select("page", "id", "component")
+    return bx.touch_components(boxes(spark, d), 6)
 
 
 def absorb_boxes(spark: SparkSession, d: str) -> DataFrame:
