@@ -244,8 +244,7 @@ def box_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def absorb_boxes(spark: SparkSession, d: str) -> DataFrame:
-    own = boxes(spark, d)
-    out = bx.merged(own, bx.absorb_pairs(own, 8, 0.25))
+    out = bx.absorb_merged(boxes(spark, d), 8, 0.25)
     return out.select("page", "id", *[F.col(s).cast("long").alias(s) for s in g.SIDES])
 
 

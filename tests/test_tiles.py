@@ -82,7 +82,7 @@ def test_no_pair_is_a_row(spark, monkeypatch):
     monkeypatch.setattr(tiles.graph, "components", lambda *a: 1 / 0)
     import __spark_entry__ as entry
 
-    for name, n in (("box_components", 6000),):
+    for name, n in (("box_components", 6000), ("absorb_boxes", None)):
         got = entry.queries()[name](spark, "/root/testdata/sf0.001")
         assert n in (None, got.count())
 
