@@ -111,3 +111,15 @@ def test_candidates_are_found_once(spark, monkeypatch):
     assert [(x["x0"], x["y0"], x["x1"], x["y1"], x["text_ids"]) for x in r] == [(90, 90, 720, 310, [10, 11, 11])]
     assert len(calls) == 3
     assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_details_make_no_pairs_of_cores(spark, monkeypatch):
+    """Page detection takes the same steps: near boxes are joined for small ones, texts and what is suppressed only."""
+    near, calls = bx.near_pairs, []
+    monkeypatch.setattr(bx, "near_pairs", lambda *a, **k: calls.append(a) or near(*a, **k))
+    comps = spark.createDataFrame([(1, 1, 100, 100, 300, 300, 9000, 0), (1, 2, 301, 100, 500, 300, 9000, 0), (2, 1, 100, 100, 400, 300, 9000, 0)], BOX + ", pixel_area long, text_pixels long")
+    native = spark.createDataFrame([(1, 10, 510, 200, 540, 210, "beside"), (2, 10, 150, 150, 180, 160, "inside")], BOX + ", text string")
+    pages = spark.createDataFrame([(1, 1000, 1000), (2, 1000, 1000)], "page long, w int, h int")
+    got = bx.detect_details(comps, native, native.limit(0), pages, bx.CATALOGUE).select("page", "id", "x0", "x1", "text_ids").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 90, 550, [10]), (2, 1, 90, 410, [10])]
+    assert len(calls) == 3
