@@ -123,13 +123,22 @@ def core_phrases(rows: DataFrame, keys: tuple[str, ...], lines: bool) -> DataFra
                 folded = own.words if same else pa.array(folds, pa.string())
                 ending, size = np.array([w in stop for w in words]), np.array([len(f) for f in folds])
                 number = np.array([numeric.issuperset(f) for f in folds])
+                pieces = []
                 for n, at, count in _core(own, start):
                     code = [own.code[at + k] for k in range(n)]
                     good = ~ending[code[0]] & ~ending[code[-1]] & (sum(size[c] for c in code) + n - 1 >= 4) & ~np.logical_and.reduce([number[c] for c in code])
                     at, count = at[good], count[good]
-                    phrase, row = own.joined(own.words, at, n), pa.array(row_of_line[line[at]])
-                    out = [b.column(k).take(row) for k in range(len(keys))] + [phrase, phrase if same else own.joined(folded, at, n), pa.array(count)]
-                    yield pa.RecordBatch.from_arrays([*out, texts.take(pa.array(line[at]))] if lines else out, names)
+                    phrase = own.joined(own.words, at, n)
+                    pieces.append(pa.table([pa.array(at), phrase, phrase if same else own.joined(folded, at, n), pa.array(count)], ["at", "phrase", "folded", "count"]))
+                # by place, the longest first: what is written (or shuffled) then has its words just before it, and is compressed to two thirds
+                found = pa.concat_tables(pieces[::-1]).combine_chunks()
+                order = np.argsort(found["at"].to_numpy(), kind="stable")
+                for k in range(0, len(order), TOGETHER):
+                    for part in found.take(pa.array(order[k : k + TOGETHER])).to_batches():
+                        own_line = line[part["at"].to_numpy()]
+                        row = pa.array(row_of_line[own_line])
+                        out = [b.column(c).take(row) for c in range(len(keys))] + part.columns[1:]
+                        yield pa.RecordBatch.from_arrays([*out, texts.take(pa.array(own_line))] if lines else out, names)
 
     names = [*keys, "phrase", "normalized_phrase", "occurrence_count", *["line"] * lines]
     types = {"phrase": "string", "normalized_phrase": "string", "occurrence_count": "long", "line": "string"}

@@ -136,3 +136,15 @@ def test_of_boxes_that_tie_for_the_last_place_only_so_many_are_cores(spark):
     got = {(r["page"], r["role"]): r["count"] for r in own.groupBy("page", "role").count().collect()}
     assert got == {(1, "core"): 3, (1, "small"): 9, (2, "core"): 2, (2, "small"): 7, (3, "core"): 5, (3, "small"): 26, (4, "core"): 6, (None, "core"): 2, (None, "small"): 6}
     assert sorted(r["x0"] for r in own.where("page = 3 and role = 'core'").collect()) == [0, 0, 1, 2, 3]
+
+
+def test_phrases_of_a_place_stand_together(spark, monkeypatch):
+    """Output is many times the text: a phrase is written just behind the one that has its words."""
+    text = "red bolt steel plate gear\nblue ring"
+    rows = spark.createDataFrame([(1, text), (2, "red bolt")], "id int, raw_text string").coalesce(1)
+    want = ["red bolt steel plate gear", "red bolt steel plate", "red bolt steel", "red bolt", "bolt steel plate gear", "bolt steel plate", "bolt steel", "steel plate gear", "steel plate", "plate gear", "blue ring"]
+    for together in (1 << 17, 2):  # rows are given on in slices
+        monkeypatch.setattr("strataq.operators.grams.TOGETHER", together)
+        got = mining.core_phrases(rows, "id").collect()
+        assert [r["phrase"] for r in got] == [*want, "red bolt"]
+        assert [r["source_line"] for r in got] == ["red bolt steel plate gear"] * 10 + ["blue ring", "red bolt"]
