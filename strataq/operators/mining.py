@@ -79,13 +79,18 @@ def phrase_rollup(phrases: DataFrame, row_id: str = "crop_id", row_order: str =
     phrases = phrases.select(*dict.fromkeys(columns))
     if with_lines:
         phrases = stored(phrases)  # two aggregations, each reads some columns
-    met = phrases.select("normalized_phrase", "phrase", "occurrence_count", row_order, source.alias("source")).repartition("normalized_phrase")
-    named = F.col("source") != ""
-    met = met.withColumn("k", F.dense_rank().over(Window.partitionBy("normalized_phrase").orderBy(F.when(named, F.col("source")).asc_nulls_last())))
-    out = met.groupBy("normalized_phrase").agg(
+    # dealt by its first two words, so that a phrase and what goes on from it are shuffled and written side by side
+    begins = F.substring_index("normalized_phrase", " ", 2)
+    surface = F.when(~F.col("phrase").eqNullSafe(F.col("normalized_phrase")), F.col("phrase"))
+    rest = F.expr("substring(normalized_phrase, length(substring_index(normalized_phrase, ' ', 2)) + 1)")
+    met = phrases.select(begins.alias("_begins"), rest.alias("_rest"), surface.alias("phrase"), "occurrence_count", *dict.fromkeys([row_id, row_order])).repartition("_begins")
+    met = met.select("_begins", "_rest", F.coalesce("phrase", F.concat("_begins", "_rest")).alias("phrase"), "occurrence_count", row_order, F.when(source != "", source).alias("source"))
+    met = met.withColumn("k", F.dense_rank().over(Window.partitionBy("_begins", "_rest").orderBy(F.col("source").asc_nulls_last())))
+    named = F.col("source").isNotNull()
+    out = met.groupBy("_begins", "_rest").agg(
         F.min_by("phrase", seen).alias("Phrase"), F.max(F.when(named, F.col("k"))).alias("SourceCount"), F.sum("occurrence_count").alias("OccurrenceCount"),
         F.array_join(F.array_sort(F.collect_set(F.when(named & (F.col("k") <= EXAMPLE_IDS), F.col("source")))), ";").alias("ExampleCropIDs"),
-    )
+    ).withColumn("normalized_phrase", F.concat("_begins", "_rest"))
     own = [F.col("Phrase"), F.col("normalized_phrase").alias("NormalizedPhrase"), F.coalesce("SourceCount", F.lit(0)).cast("long").alias("SourceCount"), F.col("OccurrenceCount").cast("long"), F.col("ExampleCropIDs")]
     if not with_lines:
         return out.select(*own)

@@ -94,8 +94,7 @@ def core_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phrase_rollup(spark: SparkSession, d: str) -> DataFrame:
-    rows = documents(spark, d).select("doc_id", F.col("doc_id").alias("row_ord"), "raw_text")
-    found = mn.phrase_rollup(mn.core_phrases(rows, "doc_id", "row_ord", source_line=False), "doc_id", "row_ord")
+    found = mn.phrase_rollup(mn.core_phrases(documents(spark, d), "doc_id", source_line=False), "doc_id", "doc_id")
     return found.select(F.col("NormalizedPhrase").alias("normalized_phrase"), F.col("Phrase").alias("surface"), F.col("SourceCount").alias("sources"), F.col("OccurrenceCount").alias("occurrences"), F.col("ExampleCropIDs").alias("ids"))
 
 

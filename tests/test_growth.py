@@ -148,3 +148,24 @@ def test_phrases_of_a_place_stand_together(spark, monkeypatch):
         got = mining.core_phrases(rows, "id").collect()
         assert [r["phrase"] for r in got] == [*want, "red bolt"]
         assert [r["source_line"] for r in got] == ["red bolt steel plate gear"] * 10 + ["blue ring", "red bolt"]
+
+
+def test_phrases_of_two_beginning_words_are_rolled_up_side_by_side(spark):
+    rows = [(i, f"{begin} {x}ab{i % 3} tail\n{begin} únd {x}") for i, begin in enumerate(["red bolt", "blue gear", "old ring", "réd bolt"] * 2) for x in "xyz"]
+    rows = spark.createDataFrame([(i, "\n".join(t for k, t in rows if k == i)) for i in range(8)], "id int, raw_text string")
+    phrases = mining.core_phrases(rows, "id", source_line=False)
+    want = {}
+    for r in phrases.collect():
+        want.setdefault(r["normalized_phrase"], []).append((r["id"], -r["occurrence_count"], r["phrase"]))
+    want = {k: (min(v)[2], len({x[0] for x in v}), -sum(x[1] for x in v), ";".join(sorted({str(x[0]) for x in v})[:5])) for k, v in want.items()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = mining.phrase_rollup(phrases, "id", "id").withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r["NormalizedPhrase"]: (r["Phrase"], r["SourceCount"], r["OccurrenceCount"], r["ExampleCropIDs"]) for r in got} == want and len(got) == len(want)
+    assert want["red bolt"][:2] == ("red bolt", 4)
+    places = {}
+    for r in got:
+        places.setdefault(" ".join(r["NormalizedPhrase"].split(" ")[:2]), []).append(r["at"])
+    assert max(map(len, places.values())) > 9 and all(len(set(x)) == 1 for x in places.values())
